@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.clock import DAY, col
+from eventloom.functions.arrays import array_mean, array_quantile, array_std
 from eventloom.operators.slices import Running, running, time_slice, with_position
+from eventloom.operators.timeline import over_range
 
 
 class Rows:
@@ -130,3 +132,36 @@ def workload(
     summed = running(period, [*keys, "_period"], order, "_slice", [Running("_s", "sum", F.col("_net"), 0)])
     low = running(summed, [*keys, "_period"], order, "_slice", [Running("_low", "min", F.col("_s"), 0)])
     return low.withColumn(name, F.col("_s") - F.least(F.lit(0.0), F.col("_low"))).select(*df.columns, name)
+
+
+def previous_row_windows(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: dict[str, str],
+    widths: dict[str, int],
+    stats: tuple[str, ...] = ("mean", "med", "p90", "std"),
+    slice_us: int | None = None,
+) -> DataFrame:
+    """Statistics of the time window that ends at the previous row: rows up to it, later than t_prev - w.
+
+    The window of a row is ``(t - w, t]`` cut at the row itself, so rows with an equal time that come
+    later in the order stay out; the result is then moved one row on. Columns are ``<value>_<stat>_<width>``.
+    """
+    makers = {"mean": array_mean, "med": lambda a: array_quantile(a, 0.5), "p90": lambda a: array_quantile(a, 0.9), "std": array_std}
+    tie = F.struct(*[F.col(o) for o in order])
+    frames = {
+        f"_{v}_{w}": (lambda r, c=c, us=us: F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("_tie"), F.col(c).alias("x")))).over(r(-us + 1, 0)))
+        for v, c in values.items()
+        for w, us in widths.items()
+    }
+    base = over_range(df.withColumn("_tie", tie), keys, order[0], max(widths.values()), frames, slice_us)
+    cols = []
+    for v in values:
+        for w in widths:
+            kept = F.transform(F.filter(f"_{v}_{w}", lambda e: e["_tie"] <= F.col("_tie")), lambda e: e["x"].cast("double"))
+            cols += [makers[s](kept).alias(f"_now_{v}_{s}_{w}") for s in stats]
+    now = base.select(*df.columns, *cols)
+    names = [f"{v}_{s}_{w}" for v in values for w in widths for s in stats]
+    moved = over_rows(now, keys, order, 1, {n: (lambda r, n=n: r.lag(f"_now_{n}")) for n in names})
+    return moved.drop(*[f"_now_{n}" for n in names])

@@ -8,6 +8,7 @@ all earlier slices. The results go back to the query rows through an equi-join o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -137,3 +138,47 @@ def trailing(
 def events(df: DataFrame, keys: list[str], at: str, tie: Column | None = None, **measures: Column | str) -> Stream:
     """A stream whose measures are given by name; ``events(df, ["k"], "t", n=F.lit(1))`` counts rows."""
     return Stream(df, keys, at, {n: col(m) for n, m in measures.items()}, tie)
+
+
+class Ranges:
+    """Window builder for :func:`over_range`: ``ranges(lo, hi)`` in microseconds."""
+
+    def __init__(self, order):
+        self.order = order
+
+    def __call__(self, lo: int, hi: int):
+        return self.order.rangeBetween(lo, hi)
+
+
+def over_range(
+    df: DataFrame,
+    keys: list[str],
+    at: str,
+    reach: int,
+    features: dict[str, Callable[[Ranges], Column]],
+    slice_us: int | None = None,
+) -> DataFrame:
+    """Append features over bounded time frames of the rows themselves (percentiles, lists).
+
+    For frames whose aggregate cannot be built from per-time totals; cost grows with the frame, so the
+    look-back should stay short. Rows within ``reach`` of the next slice are copied into it as context.
+    """
+    width = max(slice_us or max(8 * reach, DAY), reach, 1)
+    home = time_slice(F.col(at), width)
+    nxt = F.col("_home") + 1
+    copies = F.when(F.col(at) + F.lit(reach) >= nxt * F.lit(width), F.array("_home", nxt)).otherwise(F.array("_home"))
+    spread = df.withColumn("_home", home).withColumn("_slice", F.explode(copies))
+    ranges = Ranges(Window.partitionBy(*keys, "_slice").orderBy(at))
+    done = spread.select(*df.columns, "_home", "_slice", *[f(ranges).alias(n) for n, f in features.items()])
+    return done.where(F.col("_home") == F.col("_slice")).drop("_home", "_slice")
+
+
+def between_open(
+    queries: DataFrame, keys: list[str], start: str, end: str, stream: Stream, measure: str, name: str, slice_us: int | None = None
+) -> DataFrame:
+    """Sum of a measure over events strictly inside each row's own interval ``(start, end)``."""
+    upto = trailing(queries, keys, end, [stream], [Feature("_upto", "sum", measure, None, -1)], slice_us)
+    both = trailing(upto, keys, start, [stream], [Feature("_from", "sum", measure, None, 0)], slice_us)
+    inside = F.greatest(F.col("_upto") - F.col("_from"), F.lit(0))
+    known = F.col(start).isNotNull() & F.col(end).isNotNull()
+    return both.withColumn(name, F.when(known, F.when(F.col(start) < F.col(end), inside).otherwise(F.lit(0)))).drop("_upto", "_from")

@@ -26,6 +26,7 @@ def local_session(cores: str = "*", app: str = "eventloom", shuffle_partitions:
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", memory))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
