@@ -20,9 +20,10 @@ def epoch_us(ts: Column | str) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
 
-def whole_div(x: Column, width: int) -> Column:
-    """Floor division of a long by a positive constant, exact for negative values as well."""
-    return ((x - F.pmod(x, F.lit(width))) / F.lit(width)).cast("long")
+def whole_div(x: Column, width: Column | int) -> Column:
+    """Floor division of a long by a positive width, exact for negative values as well."""
+    w = width if isinstance(width, Column) else F.lit(width)
+    return ((x - F.pmod(x, w)) / w).cast("long")
 
 
 def seconds_between(later: Column | str, earlier: Column | str) -> Column:

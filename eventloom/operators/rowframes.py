@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.clock import DAY, col
+from eventloom.functions.clock import col
 from eventloom.functions.arrays import array_mean, array_quantile, array_std
-from eventloom.operators.slices import Running, running, time_slice, with_position
+from eventloom.operators.slices import Running, running, slice_width, time_slice, with_position
 from eventloom.operators.timeline import over_range
 
 
+def _slice_of(df: DataFrame, order: list[str], slice_us: int | None) -> Column:
+    width = F.lit(slice_us) if slice_us else slice_width([(df, order[0])])
+    return time_slice(F.col(order[0]), width)
+
+
 class Rows:
     """Window builder handed to feature functions: ``rows(-5, -1)`` or ``.order`` for lag."""
 
@@ -32,7 +37,7 @@ def over_rows(
     order: list[str],
     reach: int,
     features: dict[str, Callable[[Rows], Column]],
-    slice_us: int = 30 * DAY,
+    slice_us: int | None = None,
     chunk: int = 100_000,
 ) -> DataFrame:
     """Append features over at most ``reach`` preceding rows of each key.
@@ -40,7 +45,7 @@ def over_rows(
     ``order`` starts with a microsecond column and is unique within a key. Every key is cut into chunks
     of equal row count; the last ``reach`` rows of a chunk are copied into the next one as context.
     """
-    placed = with_position(df.withColumn("_slice", time_slice(F.col(order[0]), slice_us)), keys, order, "_slice", "_pos")
+    placed = with_position(df.withColumn("_slice", _slice_of(df, order, slice_us)), keys, order, "_slice", "_pos")
     at = F.col("_pos") - 1
     chunk = max(chunk, reach + 1)
     home = F.floor(at / F.lit(chunk))
@@ -66,13 +71,13 @@ def nearest_percentile(values: Column, q: float) -> Column:
 
 
 def run_length(
-    df: DataFrame, keys: list[str], order: list[str], flag: Column, name: str, shift: bool = True, slice_us: int = 30 * DAY
+    df: DataFrame, keys: list[str], order: list[str], flag: Column, name: str, shift: bool = True, slice_us: int | None = None
 ) -> DataFrame:
     """Length of the current run of ``flag``; with ``shift`` the run that ended at the previous row.
 
     The run reaches back to the last row where the flag was false, a running maximum over positions.
     """
-    cut = df.withColumn("_slice", time_slice(F.col(order[0]), slice_us)).withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    cut = df.withColumn("_slice", _slice_of(df, order, slice_us)).withColumn("_flag", F.coalesce(flag, F.lit(False)))
     placed = with_position(cut, keys, order, "_slice", "_pos")
     stop = Running("_stop", "max", F.when(~F.col("_flag"), F.col("_pos")), -1 if shift else 0)
     got = running(placed, keys, ["_pos"], "_slice", [stop])
@@ -83,27 +88,27 @@ def run_length(
 
 
 def islands(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "island", slice_us: int = 30 * DAY
+    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "island", slice_us: int | None = None
 ) -> DataFrame:
     """Number the stretches of equal consecutive values of each key, starting at 1."""
     seen = over_rows(
         df.withColumn("_value", value), keys, order, 1, {"_before": lambda r: r.lag(F.struct("_value"))}, slice_us
     )
     change = F.col("_before").isNull() | ~F.col("_before._value").eqNullSafe(F.col("_value"))
-    marked = seen.withColumn("_change", change.cast("long")).withColumn("_slice", time_slice(F.col(order[0]), slice_us))
+    marked = seen.withColumn("_change", change.cast("long")).withColumn("_slice", _slice_of(df, order, slice_us))
     got = running(marked, keys, order, "_slice", [Running(name, "sum", F.col("_change"), 0)])
     return got.drop("_value", "_before", "_change", "_slice")
 
 
 def since_change(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_us: int = 30 * DAY
+    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_us: int | None = None
 ) -> DataFrame:
     """Microseconds since the value last changed (0 on the row that changes it)."""
     seen = over_rows(
         df.withColumn("_value", value), keys, order, 1, {"_before": lambda r: r.lag(F.struct("_value"))}, slice_us
     )
     change = F.col("_before").isNull() | ~F.col("_before._value").eqNullSafe(F.col("_value"))
-    marked = seen.withColumn("_slice", time_slice(F.col(order[0]), slice_us))
+    marked = seen.withColumn("_slice", _slice_of(df, order, slice_us))
     got = running(marked, keys, order, "_slice", [Running("_since", "max", F.when(change, F.col(order[0])), 0)])
     return got.withColumn(name, F.col(order[0]) - F.col("_since")).drop("_value", "_before", "_slice", "_since")
 
@@ -116,7 +121,7 @@ def workload(
     drain_us: float,
     idle_us: int,
     name: str = "workload",
-    slice_us: int = 30 * DAY,
+    slice_us: int | None = None,
 ) -> DataFrame:
     """Reflected workload ``B = max(0, B + a - dt / drain)`` per key, restarted after an idle gap.
 
@@ -127,7 +132,7 @@ def workload(
     gap = F.col(order[0]) - F.col("_prev")
     restart = F.col("_prev").isNull() | (gap > F.lit(idle_us))
     net = F.when(restart, F.col("_a")).otherwise(F.col("_a") - gap / F.lit(float(drain_us)))
-    fed = seen.withColumn("_slice", time_slice(F.col(order[0]), slice_us)).withColumn("_restart", restart.cast("long")).withColumn("_net", net)
+    fed = seen.withColumn("_slice", _slice_of(df, order, slice_us)).withColumn("_restart", restart.cast("long")).withColumn("_net", net)
     period = running(fed, keys, order, "_slice", [Running("_period", "sum", F.col("_restart"), 0)])
     summed = running(period, [*keys, "_period"], order, "_slice", [Running("_s", "sum", F.col("_net"), 0)])
     low = running(summed, [*keys, "_period"], order, "_slice", [Running("_low", "min", F.col("_s"), 0)])

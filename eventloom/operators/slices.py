@@ -8,6 +8,7 @@ and whatever has to cross a slice border is carried over from one summary row pe
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,23 @@ from eventloom.functions.clock import whole_div
 UNBOUNDED = Window.unboundedPreceding
 
 
-def time_slice(at: Column, width_us: int) -> Column:
-    return whole_div(at, width_us)
+ROWS_PER_SLICE = 200_000
+
+
+def time_slice(at: Column, width: Column | int) -> Column:
+    return whole_div(at, width)
+
+
+def slice_width(sources: list[tuple[DataFrame, str]], rows: int = ROWS_PER_SLICE) -> Column:
+    """Slice width (µs) that leaves about ``rows`` rows per slice even if one key held every row.
+
+    A scalar subquery over count, minimum and maximum of the time columns; parquet answers it from one
+    narrow column. Pass a width of your own to the operators to save that scan.
+    """
+    narrow = reduce(lambda a, b: a.unionByName(b), [df.select(F.col(at).alias("t")) for df, at in sources])
+    pieces = F.ceil(F.count("t") / F.lit(float(rows)))
+    span = (F.max("t") - F.min("t")).cast("double") / F.greatest(pieces, F.lit(1))
+    return narrow.agg(F.coalesce(F.greatest(F.ceil(span), F.lit(1)), F.lit(1)).cast("long").alias("w")).scalar()
 
 
 def value_slice(x: Column, per_octave: int = 64) -> Column:
@@ -66,9 +82,20 @@ def combine(agg: str, earlier: Column, here: Column) -> Column:
     return (F.greatest if agg == "max" else F.least)(earlier, here)
 
 
-def carried(df: DataFrame, keys: list[str], slice_col: str, order: list[str], items: list[Running]) -> DataFrame:
-    """One row per (key, slice): the aggregates of all earlier slices as ``_in_<name>``."""
-    totals = df.groupBy(*keys, slice_col).agg(*[_total(i.agg, i.value, order).alias(f"_t_{i.name}") for i in items])
+def carried(
+    df: DataFrame, keys: list[str], slice_col: str, order: list[str], items: list[Running], same_as: list[str] | None = None
+) -> DataFrame:
+    """One row per (key, slice): the aggregates of all earlier slices as ``_in_<name>``.
+
+    ``same_as`` names numeric columns read here for no other reason than that the caller reads them too:
+    with equal columns both branches have the same shuffle below them and Spark runs it once.
+    """
+    totals = df.groupBy(*keys, slice_col).agg(
+        *[_total(i.agg, i.value, order).alias(f"_t_{i.name}") for i in items],
+        *[F.max(c).alias(f"_same_{c}") for c in same_as or []],
+    )
+    for c in same_as or []:
+        totals = totals.where(F.col(f"_same_{c}").isNull() | (F.col(f"_same_{c}") >= 0))
     earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(UNBOUNDED, -1)
     return totals.select(
         *keys, slice_col, *[_over(i.agg, F.col(f"_t_{i.name}"), earlier).alias(f"_in_{i.name}") for i in items]
@@ -82,13 +109,14 @@ def running(
     slice_col: str,
     items: list[Running],
     peers: bool = False,
+    same_as: list[str] | None = None,
 ) -> DataFrame:
     """Append running aggregates. Keys must not be null.
 
     ``slice_col`` must never fall along ``order``. With ``peers`` the single long order column is read
     as a range, so rows with an equal value share their result; otherwise rows are counted one by one.
     """
-    carry = carried(df, keys, slice_col, order, items)
+    carry = carried(df, keys, slice_col, order, items, same_as)
     base = Window.partitionBy(*keys, slice_col).orderBy(*order)
     joined = df.join(carry, [*keys, slice_col], "left")
     out = []

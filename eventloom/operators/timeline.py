@@ -1,9 +1,11 @@
 """Trailing and cumulative features of event streams, read at query times.
 
-Streams and query times are first reduced to one row per ``(key, time)``; partial aggregation does most
-of it before the shuffle, so any number of ties costs one row. Frames then run per ``(key, slice)``:
-rows a bounded frame may still reach are copied into the next slice, open-ended frames get the total of
-all earlier slices. The results go back to the query rows through an equi-join on ``(key, time)``.
+An event counts for the query times between its entry into the frame and its exit from it. Streams are
+therefore read as changes (plus on entry, minus on exit) on the query axis and reduced, together with the
+query times, to one row per ``(key, time)``; partial aggregation does most of it before the shuffle, so
+any number of ties costs one row. Every feature is then one running aggregate per ``(key, slice)`` plus
+the total of all earlier slices: the work is linear in the events however wide the frames are. Results go
+back to the query rows through an equi-join on ``(key, time)``.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.clock import DAY, col
-from eventloom.operators.slices import UNBOUNDED, Running, carried, combine, time_slice
+from eventloom.operators.slices import Running, running, slice_width, time_slice
 
 
 @dataclass(frozen=True)
@@ -60,16 +62,46 @@ def closed(name: str, agg: str, measure: str, width: int) -> Feature:
     return Feature(name, agg, measure, -width, 0)
 
 
-def _fold(agg: str, c: str) -> Column:
-    if agg == "last":
-        return F.max_by(F.col(c), F.col(f"_tie_{c}"))
-    return {"sum": F.sum, "max": F.max, "min": F.min}[agg](c)
+def _moments(stream: Stream, features: list[Feature]) -> DataFrame | None:
+    """The stream as changes on the query axis: a row per (event, moment) with one column per feature.
 
-
-def _over(agg: str, value: Column, window) -> Column:
-    if agg == "last":
-        return F.last(value, ignorenulls=True).over(window)
-    return {"sum": F.sum, "max": F.max, "min": F.min}[agg](value).over(window)
+    An event at e lies in ``[t + lo, t + hi]`` from query time ``e - hi`` on and leaves at
+    ``e - lo + 1``, so it enters with its measure and leaves with the negated one.
+    """
+    mine = [f for f in features if f.measure in stream.measures]
+    if not mine:
+        return None
+    lasts = [f for f in mine if f.agg == "last"]
+    enter = {-f.hi for f in mine}
+    leave = {-f.lo + 1 for f in mine if f.lo is not None}
+    options = []
+    for off in sorted(enter | leave):
+        cells = [(F.col("_e") + F.lit(off)).alias("_t")]
+        for f in mine:
+            m = F.col(f"_m_{f.measure}")
+            value = F.lit(None)
+            if -f.hi == off:
+                value = m
+            elif f.lo is not None and -f.lo + 1 == off:
+                value = -m
+            cells.append(value.alias(f"_f_{f.name}"))
+        cells += [(F.col("_tie") if -f.hi == off else F.lit(None)).alias(f"_tie_{f.name}") for f in lasts]
+        options.append(F.struct(*cells))
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(stream.keys)]
+    measures = [stream.measures[m].alias(f"_m_{m}") for m in sorted({f.measure for f in mine})]
+    tie = (stream.tie if stream.tie is not None else F.lit(0)).alias("_tie")
+    base = stream.df.where(F.col(stream.at).isNotNull()).select(*keys, F.col(stream.at).alias("_e"), *measures, tie)
+    kept = [c for c in base.columns if c.startswith("_k")]
+    if len(options) == 1:
+        return base.select(*kept, options[0].alias("_x")).select(*kept, "_x.*")
+    return base.select(*kept, F.inline(F.array(*options)))
+
+
+def _fold(f: Feature) -> Column:
+    c = F.col(f"_f_{f.name}")
+    if f.agg == "last":
+        return F.max_by(c, F.when(c.isNotNull(), F.col(f"_tie_{f.name}")))
+    return {"sum": F.sum, "max": F.max, "min": F.min}[f.agg](c)
 
 
 def trailing(
@@ -80,59 +112,28 @@ def trailing(
     features: list[Feature],
     slice_us: int | None = None,
 ) -> DataFrame:
-    """``queries`` with one column per feature. Sums over nothing are 0, other aggregates null."""
-    need = sorted({(f.agg, f.measure) for f in features})
-    lasts = {m for a, m in need if a == "last"}
-    reach = max([-f.lo for f in features if f.lo is not None], default=0)
-    width = max(slice_us or max(8 * reach, DAY), reach, 1)
-    ks = [f"_k{i}" for i in range(len(keys))]
+    """``queries`` with one column per feature. Sums over nothing are 0, other aggregates null.
 
-    parts = []
-    for s in streams:
-        cols = [F.col(k).alias(a) for k, a in zip(s.keys, ks)] + [F.col(s.at).alias("_t")]
-        cols += [m.alias(n) for n, m in s.measures.items()]
-        cols += [
-            (F.when(m.isNotNull(), s.tie) if s.tie is not None else m).alias(f"_tie_{n}")
-            for n, m in s.measures.items()
-            if n in lasts
-        ]
-        parts.append(s.df.where(F.col(s.at).isNotNull()).select(*cols))
+    Bounded frames are for sums only (entries minus exits); see :func:`over_range` for other aggregates.
+    Keys must not be null. Measure names are unique over the streams.
+    """
+    for f in features:
+        if f.lo is not None and f.agg != "sum":
+            raise ValueError(f"{f.name}: bounded frames are for sums")
+    ks = [f"_k{i}" for i in range(len(keys))]
+    parts = [p for p in (_moments(s, features) for s in streams) if p is not None]
     asked = queries.where(F.col(at).isNotNull())
     parts.append(asked.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(at).alias("_t"), F.lit(1).alias("_q")))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    line = union.groupBy(*ks, "_t").agg(
-        F.max("_q").alias("_q"), *[_fold(a, m).alias(f"_{a}_{m}") for a, m in need]
-    )
-
-    line = line.withColumn("_own", time_slice(F.col("_t"), width))
-    if reach:
-        nxt = F.col("_own") + 1
-        copies = F.when(F.col("_t") + F.lit(reach) >= nxt * F.lit(width), F.array("_own", nxt)).otherwise(F.array("_own"))
-        sliced = line.withColumn("_slice", F.explode(copies))
-    else:
-        sliced = line.withColumn("_slice", F.col("_own"))
-    mine = F.col("_slice") == F.col("_own")
-
-    open_ended = [f for f in features if f.lo is None]
-    if open_ended:
-        items = [Running(f.name, f.agg, F.col(f"_{f.agg}_{f.measure}")) for f in open_ended]
-        carry = carried(line.withColumnRenamed("_own", "_slice"), ks, "_slice", ["_t"], items)
-        sliced = sliced.join(carry, [*ks, "_slice"], "left")
-    base = Window.partitionBy(*ks, "_slice").orderBy("_t")
-    out = []
-    for f in features:
-        value = F.col(f"_{f.agg}_{f.measure}")
-        if f.lo is None:
-            here = _over(f.agg, F.when(mine, value), base.rangeBetween(UNBOUNDED, f.hi))
-            got = combine(f.agg, F.col(f"_in_{f.name}"), here)
-        else:
-            got = _over(f.agg, value, base.rangeBetween(f.lo, f.hi))
-            got = F.coalesce(got, F.lit(0)) if f.agg == "sum" else got
-        out.append(got.alias(f.name))
-    found = sliced.select(*ks, "_t", "_q", mine.alias("_mine"), *out).where("_mine and _q = 1").drop("_mine", "_q")
+    line = union.groupBy(*ks, "_t").agg(F.max("_q").alias("_q"), *[_fold(f).alias(f"_f_{f.name}") for f in features])
+    width = F.lit(slice_us) if slice_us else slice_width([(queries, at)])
+    line = line.withColumn("_slice", time_slice(F.col("_t"), width))
+    items = [Running(f.name, f.agg, F.col(f"_f_{f.name}"), 0) for f in features]
+    got = running(line, ks, ["_t"], "_slice", items, same_as=["_q"]).where("_q = 1")
     names = {a: k for a, k in zip(ks, keys)} | {"_t": at}
-    found = found.select(*[F.col(a).alias(n) for a, n in names.items()], *[f.name for f in features])
-    return queries.join(found, [*keys, at], "left").select(*queries.columns, *[f.name for f in features])
+    found = got.select(*[F.col(a).alias(n) for a, n in names.items()], *[f.name for f in features])
+    joined = queries.join(found, [*keys, at], "left")
+    return joined.select(*queries.columns, *[f.name for f in features])
 
 
 def events(df: DataFrame, keys: list[str], at: str, tie: Column | None = None, **measures: Column | str) -> Stream:
@@ -164,7 +165,7 @@ def over_range(
     look-back should stay short. Rows within ``reach`` of the next slice are copied into it as context.
     """
     width = max(slice_us or max(8 * reach, DAY), reach, 1)
-    home = time_slice(F.col(at), width)
+    home = time_slice(F.col(at), F.lit(width))
     nxt = F.col("_home") + 1
     copies = F.when(F.col(at) + F.lit(reach) >= nxt * F.lit(width), F.array("_home", nxt)).otherwise(F.array("_home"))
     spread = df.withColumn("_home", home).withColumn("_slice", F.explode(copies))

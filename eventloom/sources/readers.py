@@ -13,8 +13,15 @@ from pyspark.sql import types as T
 REFUSED_WORDS = ("ranking", "submitting", "submission", "test", "eval")
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    """One parquet table; its schema is read from the footer once per process and then declared."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     return df.select(*columns) if columns else df
 
 
