@@ -76,31 +76,31 @@ def _moments(stream: Stream, features: list[Feature]) -> DataFrame | None:
     leave = {-f.lo + 1 for f in mine if f.lo is not None}
     options = []
     for off in sorted(enter | leave):
-        cells = [(F.col("_e") + F.lit(off)).alias("_t")]
+        cells = [(F.col("__e") + F.lit(off)).alias("__t")]
         for f in mine:
-            m = F.col(f"_m_{f.measure}")
+            m = F.col(f"__m_{f.measure}")
             value = F.lit(None)
             if -f.hi == off:
                 value = m
             elif f.lo is not None and -f.lo + 1 == off:
                 value = -m
-            cells.append(value.alias(f"_f_{f.name}"))
-        cells += [(F.col("_tie") if -f.hi == off else F.lit(None)).alias(f"_tie_{f.name}") for f in lasts]
+            cells.append(value.alias(f"__f_{f.name}"))
+        cells += [(F.col("__tie") if -f.hi == off else F.lit(None)).alias(f"__tie_{f.name}") for f in lasts]
         options.append(F.struct(*cells))
-    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(stream.keys)]
-    measures = [stream.measures[m].alias(f"_m_{m}") for m in sorted({f.measure for f in mine})]
-    tie = (stream.tie if stream.tie is not None else F.lit(0)).alias("_tie")
-    base = stream.df.where(F.col(stream.at).isNotNull()).select(*keys, F.col(stream.at).alias("_e"), *measures, tie)
-    kept = [c for c in base.columns if c.startswith("_k")]
+    keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(stream.keys)]
+    measures = [stream.measures[m].alias(f"__m_{m}") for m in sorted({f.measure for f in mine})]
+    tie = (stream.tie if stream.tie is not None else F.lit(0)).alias("__tie")
+    base = stream.df.where(F.col(stream.at).isNotNull()).select(*keys, F.col(stream.at).alias("__e"), *measures, tie)
+    kept = [c for c in base.columns if c.startswith("__k")]
     if len(options) == 1:
-        return base.select(*kept, options[0].alias("_x")).select(*kept, "_x.*")
+        return base.select(*kept, options[0].alias("__x")).select(*kept, "__x.*")
     return base.select(*kept, F.inline(F.array(*options)))
 
 
 def _fold(f: Feature) -> Column:
-    c = F.col(f"_f_{f.name}")
+    c = F.col(f"__f_{f.name}")
     if f.agg == "last":
-        return F.max_by(c, F.when(c.isNotNull(), F.col(f"_tie_{f.name}")))
+        return F.max_by(c, F.when(c.isNotNull(), F.col(f"__tie_{f.name}")))
     return {"sum": F.sum, "max": F.max, "min": F.min}[f.agg](c)
 
 
@@ -120,17 +120,17 @@ def trailing(
     for f in features:
         if f.lo is not None and f.agg != "sum":
             raise ValueError(f"{f.name}: bounded frames are for sums")
-    ks = [f"_k{i}" for i in range(len(keys))]
+    ks = [f"__k{i}" for i in range(len(keys))]
     parts = [p for p in (_moments(s, features) for s in streams) if p is not None]
     asked = queries.where(F.col(at).isNotNull())
-    parts.append(asked.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(at).alias("_t"), F.lit(1).alias("_q")))
+    parts.append(asked.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(at).alias("__t"), F.lit(1).alias("__q")))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    line = union.groupBy(*ks, "_t").agg(F.max("_q").alias("_q"), *[_fold(f).alias(f"_f_{f.name}") for f in features])
+    line = union.groupBy(*ks, "__t").agg(F.max("__q").alias("__q"), *[_fold(f).alias(f"__f_{f.name}") for f in features])
     width = F.lit(slice_us) if slice_us else slice_width([(queries, at)])
-    line = line.withColumn("_slice", time_slice(F.col("_t"), width))
-    items = [Running(f.name, f.agg, F.col(f"_f_{f.name}"), 0) for f in features]
-    got = running(line, ks, ["_t"], "_slice", items, same_as=["_q"]).where("_q = 1")
-    names = {a: k for a, k in zip(ks, keys)} | {"_t": at}
+    line = line.withColumn("__slice", time_slice(F.col("__t"), width))
+    items = [Running(f.name, f.agg, F.col(f"__f_{f.name}"), 0) for f in features]
+    got = running(line, ks, ["__t"], "__slice", items, same_as=["__q"]).where("__q = 1")
+    names = {a: k for a, k in zip(ks, keys)} | {"__t": at}
     found = got.select(*[F.col(a).alias(n) for a, n in names.items()], *[f.name for f in features])
     joined = queries.join(found, [*keys, at], "left")
     return joined.select(*queries.columns, *[f.name for f in features])
