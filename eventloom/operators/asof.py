@@ -20,6 +20,7 @@ def asof(
     strict: bool = False,
     within_us: tuple[int, int] | None = None,
     slice_us: int | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """The latest right row at or before (``strict``: before) each left row's time, or nulls.
 
@@ -28,7 +29,7 @@ def asof(
     """
     payload = F.struct(F.col(right_at).alias("_at"), *[F.col(c).alias(n) for n, c in take.items()])
     side = Stream(right, right_keys or keys, right_at, {"_hit": payload}, F.col(tie) if tie else None)
-    got = trailing(left, keys, left_at, [side], [Feature("_hit", "last", "_hit", None, -1 if strict else 0)], slice_us)
+    got = trailing(left, keys, left_at, [side], [Feature("_hit", "last", "_hit", None, -1 if strict else 0)], slice_us, base)
     hit = F.col("_hit")
     if within_us is not None:
         age = F.col(left_at) - F.col("_hit._at")
@@ -44,13 +45,14 @@ def previous_event(df: DataFrame, keys: list[str], at: str, take: dict[str, str]
 
 def next_after(
     left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, name: str, right_keys: list[str] | None = None,
-    slice_us: int | None = None,
+    slice_us: int | None = None, base: DataFrame | None = None,
 ) -> DataFrame:
     """Time of the first right event strictly after each left time (an as-of on the mirrored axis)."""
     flipped_left = left.withColumn("_flip", -F.col(left_at))
     flipped_right = right.select(*(right_keys or keys), (-F.col(right_at)).alias("_flip"))
     side = Stream(flipped_right, right_keys or keys, "_flip", {"_next": F.col("_flip")})
-    got = trailing(flipped_left, keys, "_flip", [side], [Feature("_next", "max", "_next", None, -1)], slice_us)
+    asked = None if base is None else base.withColumn("_flip", -F.col(left_at))
+    got = trailing(flipped_left, keys, "_flip", [side], [Feature("_next", "max", "_next", None, -1)], slice_us, asked)
     return got.withColumn(name, -F.col("_next")).select(*left.columns, name)
 
 
@@ -81,7 +83,8 @@ def nearest_in_range(
     mirrored = right.withColumn("_flip", -F.col(right_at))
     ahead = Stream(mirrored, rk, "_flip", {"_ahead": body}, -F.col(right_id))
     got = trailing(
-        got.withColumn("_flip", -F.col(left_at)), keys, "_flip", [ahead], [Feature("_ahead", "last", "_ahead", None, -1)], slice_us
+        got.withColumn("_flip", -F.col(left_at)), keys, "_flip", [ahead], [Feature("_ahead", "last", "_ahead", None, -1)], slice_us,
+        left.withColumn("_flip", -F.col(left_at)),
     )
     back_gap = F.col(left_at) - F.col("_back.at")
     ahead_gap = F.col("_ahead.at") - F.col(left_at)

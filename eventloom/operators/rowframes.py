@@ -39,13 +39,19 @@ def over_rows(
     features: dict[str, Callable[[Rows], Column]],
     slice_us: int | None = None,
     chunk: int = 100_000,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Append features over at most ``reach`` preceding rows of each key.
 
+    ``base`` may name the source of ``df`` (same rows, keys and times, fewer features): slices and row
+    counts are then read from it, so a chain of calls does not repeat its own plan.
+
     ``order`` starts with a microsecond column and is unique within a key. Every key is cut into chunks
     of equal row count; the last ``reach`` rows of a chunk are copied into the next one as context.
     """
-    placed = with_position(df.withColumn("_slice", _slice_of(df, order, slice_us)), keys, order, "_slice", "_pos")
+    source = df if base is None else base
+    cut = _slice_of(source, order, slice_us)
+    placed = with_position(df.withColumn("_slice", cut), keys, order, "_slice", "_pos", source.withColumn("_slice", cut))
     at = F.col("_pos") - 1
     chunk = max(chunk, reach + 1)
     home = F.floor(at / F.lit(chunk))
@@ -160,13 +166,13 @@ def previous_row_windows(
         for v, c in values.items()
         for w, us in widths.items()
     }
-    base = over_range(df.withColumn("_tie", tie), keys, order[0], max(widths.values()), frames, slice_us)
+    framed = over_range(df.withColumn("_tie", tie), keys, order[0], max(widths.values()), frames, slice_us)
     cols = []
     for v in values:
         for w in widths:
             kept = F.transform(F.filter(f"_{v}_{w}", lambda e: e["_tie"] <= F.col("_tie")), lambda e: e["x"].cast("double"))
             cols += [makers[s](kept).alias(f"_now_{v}_{s}_{w}") for s in stats]
-    now = base.select(*df.columns, *cols)
+    now = framed.select(*df.columns, *cols)
     names = [f"{v}_{s}_{w}" for v in values for w in widths for s in stats]
-    moved = over_rows(now, keys, order, 1, {n: (lambda r, n=n: r.lag(f"_now_{n}")) for n in names})
+    moved = over_rows(now, keys, order, 1, {n: (lambda r, n=n: r.lag(f"_now_{n}")) for n in names}, base=df)
     return moved.drop(*[f"_now_{n}" for n in names])

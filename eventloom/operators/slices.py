@@ -126,9 +126,14 @@ def running(
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
-def with_position(df: DataFrame, keys: list[str], order: list[str], slice_col: str, name: str = "position") -> DataFrame:
-    """1-based position of every row in its key's total order (``order`` must be unique within a key)."""
-    counts = df.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_rows"))
+def with_position(
+    df: DataFrame, keys: list[str], order: list[str], slice_col: str, name: str = "position", base: DataFrame | None = None
+) -> DataFrame:
+    """1-based position of every row in its key's total order (``order`` must be unique within a key).
+
+    ``base`` may name a cheaper DataFrame with the same rows, keys and slices to count in.
+    """
+    counts = (df if base is None else base).groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(UNBOUNDED, -1)
     offsets = counts.select(*keys, slice_col, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*keys, slice_col).orderBy(*order))

@@ -111,9 +111,14 @@ def trailing(
     streams: list[Stream],
     features: list[Feature],
     slice_us: int | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """``queries`` with one column per feature. Sums over nothing are 0, other aggregates null.
 
+    ``base`` is a cheap DataFrame with the same key and time columns that covers the query times; give
+    the source of ``queries`` when ``queries`` itself already carries joined features, so that a chain of
+    calls reads its source and not its own plan again.
+
     Bounded frames are for sums only (entries minus exits); see :func:`over_range` for other aggregates.
     Keys must not be null. Measure names are unique over the streams.
     """
@@ -122,11 +127,12 @@ def trailing(
             raise ValueError(f"{f.name}: bounded frames are for sums")
     ks = [f"__k{i}" for i in range(len(keys))]
     parts = [p for p in (_moments(s, features) for s in streams) if p is not None]
-    asked = queries.where(F.col(at).isNotNull())
+    times = queries if base is None else base
+    asked = times.where(F.col(at).isNotNull())
     parts.append(asked.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(at).alias("__t"), F.lit(1).alias("__q")))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     line = union.groupBy(*ks, "__t").agg(F.max("__q").alias("__q"), *[_fold(f).alias(f"__f_{f.name}") for f in features])
-    width = F.lit(slice_us) if slice_us else slice_width([(queries, at)])
+    width = F.lit(slice_us) if slice_us else slice_width([(times, at)])
     line = line.withColumn("__slice", time_slice(F.col("__t"), width))
     items = [Running(f.name, f.agg, F.col(f"__f_{f.name}"), 0) for f in features]
     got = running(line, ks, ["__t"], "__slice", items, same_as=["__q"]).where("__q = 1")
@@ -175,11 +181,24 @@ def over_range(
 
 
 def between_open(
-    queries: DataFrame, keys: list[str], start: str, end: str, stream: Stream, measure: str, name: str, slice_us: int | None = None
+    queries: DataFrame,
+    keys: list[str],
+    start: str,
+    end: str,
+    stream: Stream,
+    measures: dict[str, str],
+    slice_us: int | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Sum of a measure over events strictly inside each row's own interval ``(start, end)``."""
-    upto = trailing(queries, keys, end, [stream], [Feature("_upto", "sum", measure, None, -1)], slice_us)
-    both = trailing(upto, keys, start, [stream], [Feature("_from", "sum", measure, None, 0)], slice_us)
-    inside = F.greatest(F.col("_upto") - F.col("_from"), F.lit(0))
+    """Sums over events strictly inside each row's own interval ``(start, end)``; ``measures`` maps names to measures."""
+    base = queries if base is None else base
+    upto = [Feature(f"__upto_{n}", "sum", m, None, -1) for n, m in measures.items()]
+    since = [Feature(f"__from_{n}", "sum", m, None, 0) for n, m in measures.items()]
+    got = trailing(queries, keys, end, [stream], upto, slice_us, base)
+    got = trailing(got, keys, start, [stream], since, slice_us, base)
     known = F.col(start).isNotNull() & F.col(end).isNotNull()
-    return both.withColumn(name, F.when(known, F.when(F.col(start) < F.col(end), inside).otherwise(F.lit(0)))).drop("_upto", "_from")
+    out = []
+    for n in measures:
+        inside = F.greatest(F.col(f"__upto_{n}") - F.col(f"__from_{n}"), F.lit(0))
+        out.append(F.when(known, F.when(F.col(start) < F.col(end), inside).otherwise(F.lit(0))).alias(n))
+    return got.select(*queries.columns, *out)

@@ -16,6 +16,7 @@ from eventloom.operators.timeline import Feature, Stream, before, between_open,
 def occupancy(
     df: DataFrame, keys: list[str], at: str, source: DataFrame, start: str, end: str, name: str,
     source_keys: list[str] | None = None, through_now: bool = False, own: int = 0, only: Column | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Intervals started but not ended at each query time, as a count difference.
 
@@ -27,13 +28,14 @@ def occupancy(
     weight = F.lit(1) if only is None else F.when(only, F.lit(1))
     begun = Stream(source, sk, start, {"_begun": weight})
     done = Stream(source.where(F.col(start).isNotNull()), sk, end, {"_done": weight})
-    got = trailing(df, keys, at, [begun, done], [Feature("__started", "sum", "_begun", None, hi), Feature("__ended", "sum", "_done", None, hi)])
+    got = trailing(df, keys, at, [begun, done], [Feature("__started", "sum", "_begun", None, hi), Feature("__ended", "sum", "_done", None, hi)], base=base)
     level = F.col("__started") - F.col("__ended") - F.lit(own)
     return got.withColumn(name, F.greatest(level, F.lit(0)) if own else level).drop("__started", "__ended")
 
 
 def surface_counts(
-    df: DataFrame, keys: list[str], at: str, streams: dict[str, DataFrame], widths: dict[str, int], since: bool = True
+    df: DataFrame, keys: list[str], at: str, streams: dict[str, DataFrame], widths: dict[str, int], since: bool = True,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Counts strictly before t per stream and width, and seconds since each stream's last event.
 
@@ -46,7 +48,7 @@ def surface_counts(
         features += [before(f"{s}_{w}", "sum", f"_n_{s}", us) for w, us in widths.items()]
         if since:
             features.append(before(f"_last_{s}", "max", f"_t_{s}", None))
-    got = trailing(df, keys, at, sources, features)
+    got = trailing(df, keys, at, sources, features, base=base)
     for s in streams:
         if since:
             got = got.withColumn(f"{s}_since", ((F.col(at) - F.col(f"_last_{s}")) / F.lit(SECOND)).cast("double")).drop(f"_last_{s}")
@@ -108,6 +110,7 @@ def headway_service(df: DataFrame, keys: list[str], order: list[str], sizes: tup
     meds = over_rows(
         with_gap, keys, order, max(sizes),
         {f"headway_med{k}": (lambda r, k=k: F.percentile("headway", 0.5).over(r(-k + 1, 0))) for k in sizes},
+        base=df,
     )
     for k in sizes:
         meds = meds.withColumn(f"rate{k}", F.lit(60.0) / F.greatest(F.col(f"headway_med{k}"), F.lit(1.0)))
@@ -120,6 +123,7 @@ def headway_excess(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     lists = over_rows(
         gaps, keys, order, 5,
         {"_five": lambda r: F.collect_list("headway").over(r(-4, 0)), "_three": lambda r: F.collect_list("headway").over(r(-2, 0))},
+        base=df,
     )
     pred = array_quantile(F.col("_five"), 0.5)
     mid = array_quantile(F.col("_three"), 0.5)
@@ -153,12 +157,12 @@ def release_bounds(
     df: DataFrame, keys: list[str], start: str, end: str, out_source: DataFrame, out_at: str, in_source: DataFrame, in_at: str
 ) -> DataFrame:
     """Events of two streams strictly inside each row's interval: counts, the first one, and the bounds it sets."""
-    outs = Stream(out_source, keys, out_at, {"_o": F.lit(1)})
-    ins = Stream(in_source, keys, in_at, {"_i": F.lit(1)})
-    got = between_open(df, keys, start, end, outs, "_o", "n_out")
-    got = between_open(got, keys, start, end, ins, "_i", "n_in")
-    both = out_source.select(*keys, F.col(out_at).alias("_at")).unionByName(in_source.select(*keys, F.col(in_at).alias("_at")))
-    got = next_after(got, both.where(F.col("_at").isNotNull()), keys, start, "_at", "_next")
+    outs = out_source.where(F.col(out_at).isNotNull()).select(*keys, F.col(out_at).alias("_at"), F.lit(1).alias("_o"), F.lit(0).alias("_i"))
+    ins = in_source.where(F.col(in_at).isNotNull()).select(*keys, F.col(in_at).alias("_at"), F.lit(0).alias("_o"), F.lit(1).alias("_i"))
+    both = outs.unionByName(ins)
+    stream = events(both, keys, "_at", _o="_o", _i="_i")
+    got = between_open(df, keys, start, end, stream, {"n_out": "_o", "n_in": "_i"})
+    got = next_after(got, both, keys, start, "_at", "_next", base=df)
     first = F.when((F.col("_next") < F.col(end)), F.col("_next"))
     length = F.greatest((F.col(end) - F.col(start)) / F.lit(SECOND), F.lit(0.0))
     return got.select(

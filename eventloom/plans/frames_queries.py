@@ -55,6 +55,7 @@ def b2(spark, folder):
     got = trailing(
         got, ["entity", "lane"], "moved_us", [events(o, ["entity", "lane"], "moved_us", n=one)],
         [until("lane_30d", "sum", "n", 30 * DAY)],
+        base=o,
     )
     return got.select("id", *[(F.col(c) - 1).alias(c) for c in ("n_10d", "n_30d", "lane_30d")])
 
@@ -87,7 +88,7 @@ def b4(spark, folder):
     """Events strictly inside each row's own interval, as a difference of running counts."""
     o = outs(spark, folder).select("id", "entity", "planned_us", "moved_us")
     s = events(ins(spark, folder), ["entity"], "moved_us", n=F.lit(1))
-    return between_open(o, ["entity"], "planned_us", "moved_us", s, "n", "inside").select("id", "inside")
+    return between_open(o, ["entity"], "planned_us", "moved_us", s, {"inside": "n"}).select("id", "inside")
 
 
 @query(

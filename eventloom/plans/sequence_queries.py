@@ -65,6 +65,7 @@ def w01(spark, folder):
             "lane_lag1": lambda r: r.lag("taken"),
             "lane_mean5": lambda r: full_only(F.round(F.avg("taken").over(r(-5, -1)), 6), "taken", r(-5, -1), 5),
         },
+        base=x,
     )
     return got.select("id", "mean5", "mean20", "med10", "std10", "p75_10", "p90_10", "lane_lag1", "lane_mean5")
 
@@ -175,13 +176,13 @@ b AS (SELECT id, entity, lane, pos, CAST(1.0 AS DOUBLE) AS load FROM x WHERE pos
   UNION ALL
   SELECT x.id, x.entity, x.lane, x.pos, CASE WHEN x.moved_us - x.prev > 20 * $DAY THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, b.load + 1.0 - (x.moved_us - x.prev) / CAST(7 * $DAY AS DOUBLE)) END
   FROM b JOIN x ON x.entity = b.entity AND x.lane = b.lane AND x.pos = b.pos + 1)
-SELECT id, round(load, 5) AS load FROM b""",
+SELECT id, CAST(round(load * 604800) AS BIGINT) AS load_seconds FROM b""",
 )
 def w23(spark, folder):
     """Reflected workload with a constant drain, restarted after a long idle gap."""
     o = outs(spark, folder).select("id", "entity", "lane", "moved_us")
     got = workload(o, ["entity", "lane"], ["moved_us", "id"], F.lit(1), 7 * DAY, 20 * DAY, "load")
-    return got.select("id", F.round("load", 5).alias("load"))
+    return got.select("id", F.round(F.col("load") * 604800).cast("long").alias("load_seconds"))
 
 
 @query(

@@ -74,7 +74,7 @@ def w03(spark, folder):
     m = moves(spark, folder).select("id", "entity", "lane", "moved_us", "phase")
     o, i = m.where("phase = 'OUT'").drop("phase"), m.where("phase = 'IN'").drop("phase")
     got = traffic.surface_counts(o, ["entity"], "moved_us", {"out": o, "in": i}, {"5d": 5 * DAY, "30d": 30 * DAY})
-    got = traffic.surface_counts(got, ["entity", "lane"], "moved_us", {"lane_out": o, "lane_in": i}, {"30d": 30 * DAY}, since=False)
+    got = traffic.surface_counts(got, ["entity", "lane"], "moved_us", {"lane_out": o, "lane_in": i}, {"30d": 30 * DAY}, since=False, base=o)
     return got.select(
         "id", "out_5d", "out_30d", F.round("out_since", 6).alias("out_since"), "in_5d", "in_30d", F.round("in_since", 6).alias("in_since"),
         "lane_out_30d", "lane_in_30d", (F.col("out_5d") + F.col("in_5d")).alias("pressure"),
@@ -97,8 +97,8 @@ def w07(spark, folder):
     keys = ["entity", "lane"]
     placed = with_position(o.withColumn("_s", time_slice(F.col("moved_us"), 400 * DAY)), keys, ["moved_us", "id"], "_s", "pos")
     s = events(o, keys, "moved_us", n=F.lit(1))
-    got = trailing(placed, keys, "moved_us", [s], [Feature("old_30", "sum", "n", None, -30 * DAY - 1), Feature("old_5", "sum", "n", None, -5 * DAY - 1)])
-    got = over_rows(got, keys, ["moved_us", "id"], 1, {"gap": lambda r: seconds_between("moved_us", r.lag("moved_us"))})
+    got = trailing(placed, keys, "moved_us", [s], [Feature("old_30", "sum", "n", None, -30 * DAY - 1), Feature("old_5", "sum", "n", None, -5 * DAY - 1)], base=o)
+    got = over_rows(got, keys, ["moved_us", "id"], 1, {"gap": lambda r: seconds_between("moved_us", r.lag("moved_us"))}, base=o)
     return got.select("id", (F.col("pos") - 1 - F.col("old_30")).alias("n_30d"), (F.col("pos") - 1 - F.col("old_5")).alias("n_5d"), "gap")
 
 
@@ -121,7 +121,7 @@ def w13(spark, folder):
         [events(o, ["entity"], "moved_us", n=F.lit(1)), events(i, ["entity"], "moved_us", a=F.lit(1), late=late)],
         [before("out_2d", "sum", "n", 2 * DAY), before("out_10d", "sum", "n", 10 * DAY), before("in_10d", "sum", "a", 10 * DAY), before("in_late_10d", "sum", "late", 10 * DAY)],
     )
-    got = over_rows(got, ["entity"], ["moved_us", "id"], 1, {"gap": lambda r: (F.col("moved_us") - r.lag("moved_us")) / F.lit(float(SECOND))})
+    got = over_rows(got, ["entity"], ["moved_us", "id"], 1, {"gap": lambda r: (F.col("moved_us") - r.lag("moved_us")) / F.lit(float(SECOND))}, base=o)
     return got.select("id", "out_2d", "out_10d", "in_10d", "in_late_10d", F.when(F.col("gap") > 0, F.round(F.lit(3600) / F.col("gap"), 6)).otherwise(F.lit(0.0)).alias("inverse_gap"))
 
 
@@ -217,7 +217,7 @@ def w18(spark, folder):
         o, keys, "at", [events(o, keys, "start_us", s=F.lit(1)), events(i, keys, "moved_us", a=F.lit(1))],
         [closed("same_out", "sum", "s", 15 * DAY), closed("same_in", "sum", "a", 15 * DAY)],
     )
-    got = trailing(got, ["entity"], "at", [events(i, ["entity"], "moved_us", a=F.lit(1))], [closed("all_in", "sum", "a", 15 * DAY)])
+    got = trailing(got, ["entity"], "at", [events(i, ["entity"], "moved_us", a=F.lit(1))], [closed("all_in", "sum", "a", 15 * DAY)], base=o)
     return got.select(
         "id", (F.col("same_out") - F.col("start_us").isNotNull().cast("long")).alias("same_out"), "same_in", (F.col("all_in") - F.col("same_in")).alias("other_in")
     )
@@ -244,9 +244,9 @@ def w19(spark, folder):
         o, ["entity"], "moved_us", [begun, done],
         [Feature("_b", "sum", "b"), Feature("_d", "sum", "d"), until("started_5d", "sum", "b", 5 * DAY)],
     ).withColumn("queue", F.greatest(F.col("_b") - F.col("_d") - 1, F.lit(0)))
-    got = traffic.occupancy(got, ["entity", "lane"], "moved_us", o, "start_us", "moved_us", "lane_queue", own=1)
+    got = traffic.occupancy(got, ["entity", "lane"], "moved_us", o, "start_us", "moved_us", "lane_queue", own=1, base=o)
     got = over_rows(
-        got, ["entity"], ["moved_us", "id"], 10, {f"growth{k}": (lambda r, k=k: F.col("queue") - r.lag("queue", k)) for k in (5, 10)}
+        got, ["entity"], ["moved_us", "id"], 10, {f"growth{k}": (lambda r, k=k: F.col("queue") - r.lag("queue", k)) for k in (5, 10)}, base=o
     )
     return got.select("id", "queue", "lane_queue", "started_5d", "growth5", "growth10")
 
@@ -275,8 +275,9 @@ def w20(spark, folder):
     got = trailing(
         got, keys, "start_us", [begun, done],
         [Feature("_b", "sum", "b", None, 0), Feature("_d", "sum", "d", None, 0), until("served_30d", "sum", "d", 30 * DAY), Feature("prev_kind", "last", "last")],
+        base=o,
     )
-    got = traffic.occupancy(got, [*keys, "kind"], "start_us", o, "start_us", "moved_us", "active_kind", through_now=True)
+    got = traffic.occupancy(got, [*keys, "kind"], "start_us", o, "start_us", "moved_us", "active_kind", through_now=True, base=o)
     lane = F.col("_b") - F.col("_d")
     return got.select(
         "id", "active", lane.alias("active_lane"), (F.col("active") - lane).alias("active_other"), "active_kind", "served_30d", "prev_kind",
@@ -305,7 +306,7 @@ def w21(spark, folder):
         [before("n_prev", "sum", "n", 30 * DAY), before("_p", "sum", "p", 30 * DAY), until("out_rate", "sum", "n", 5 * DAY), until("in_rate", "sum", "a", 5 * DAY)],
     )
     keys = ["entity", "lane"]
-    got = trailing(got, keys, "start_us", [events(o, keys, "start_us", n=F.lit(1), p="p")], [before("_ln", "sum", "n", 30 * DAY), before("_lp", "sum", "p", 30 * DAY)])
+    got = trailing(got, keys, "start_us", [events(o, keys, "start_us", n=F.lit(1), p="p")], [before("_ln", "sum", "n", 30 * DAY), before("_lp", "sum", "p", 30 * DAY)], base=o)
     return got.select(
         "id", "n_prev", F.round(ratio(F.col("_p"), F.col("n_prev")), 6).alias("p_mean"), F.round(ratio(F.col("_lp"), F.col("_ln")), 6).alias("p_lane"),
         "out_rate", "in_rate", F.round(F.col("out_rate") / (F.col("in_rate") + 1), 6).alias("out_in_ratio"),
@@ -334,6 +335,7 @@ def w22(spark, folder):
     got = trailing(
         got, keys, "moved_us", [begun, done],
         [Feature("_b", "sum", "b", None, 0), Feature("_d", "sum", "d", None, 0), until("_in", "sum", "b", 30 * DAY), until("_out", "sum", "n", 30 * DAY)],
+        base=o,
     )
     active = F.col("_b") - F.col("_d")
     return got.select(
