@@ -64,33 +64,38 @@ def quantiles(
     df: DataFrame,
     keys: list[str],
     value: Column | str,
-    probs: dict[str, float],
+    probs: dict[str, float | tuple[float, str]],
     method: str = "linear",
     weight: Column | None = None,
     count_name: str | None = None,
 ) -> DataFrame:
-    """Exact group quantiles, ``linear`` (interpolated) or ``nearest`` (rank rounded half up)."""
+    """Exact group quantiles, ``linear`` (interpolated) or ``nearest`` (rank rounded half up).
+
+    ``probs`` maps names to a probability, or to a pair of probability and its own method.
+    """
+    asked = {n: p if isinstance(p, tuple) else (p, method) for n, p in probs.items()}
 
     def ranks(n: Column) -> dict[str, Column]:
         out: dict[str, Column] = {}
-        for name, p in probs.items():
+        for name, (p, how) in asked.items():
             at = (n - 1) * F.lit(float(p))
-            if method == "nearest":
+            if how == "nearest":
                 out[name] = F.floor(at + F.lit(0.5))
             else:
                 out[f"_lo_{name}"] = F.floor(at)
                 out[f"_hi_{name}"] = F.ceil(at)
         return out
 
-    got = at_ranks(df, keys, value, ranks, weight, count_name or "_n")
-    if method == "nearest":
-        final = [F.col(n) for n in probs]
-    else:
-        final = []
-        for name, p in probs.items():
-            at = (F.col(count_name or "_n") - 1) * F.lit(float(p))
-            low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-            final.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    size = count_name or "_n"
+    got = at_ranks(df, keys, value, ranks, weight, size)
+    final = []
+    for name, (p, how) in asked.items():
+        if how == "nearest":
+            final.append(F.col(name))
+            continue
+        at = (F.col(size) - 1) * F.lit(float(p))
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        final.append((low + (high - low) * (at - F.floor(at))).alias(name))
     return got.select(*keys, *final, *([count_name] if count_name else []))
 
 
