@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.clock import col
-from eventloom.operators.slices import UNBOUNDED, Running, running, value_slice, with_position
+from eventloom.operators.slices import UNBOUNDED, Running, attach_row, running, value_slice, with_position
 
 
 def value_counts(df: DataFrame, keys: list[str], value: Column | str, weight: Column | None = None) -> DataFrame:
@@ -187,7 +187,7 @@ def top_sums(
     if keys:
         joined = df.join(sized, keys)
     else:
-        joined = df.select("*", *[sized.select(c).scalar().alias(c) for c in sized.columns])
+        joined = attach_row(df, sized)
     aggs = []
     for k in names:
         above = F.sum(F.when(v > F.col(k), v).otherwise(F.lit(0.0)))

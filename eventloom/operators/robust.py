@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.rows import clip, finite
 from eventloom.operators.ranks import average_ranks, quantiles
-
-
-def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach the single row of ``row`` to every row, as scalar subqueries."""
-    return df.select("*", *[row.select(c).scalar().alias(c) for c in row.columns])
+from eventloom.operators.slices import attach_row
 
 
 def winsorised_mean(df: DataFrame, keys: list[str], x: str, share: float = 0.05, name: str = "winsor") -> DataFrame:
@@ -87,10 +83,9 @@ def variance_share(df: DataFrame, factors: dict[str, list[str]], y: str) -> Data
     whole = df.agg(F.avg(y).alias("m"), F.var_pop(y).alias("v"), F.count(y).alias("n"))
     for name, keys in factors.items():
         g = df.groupBy(*keys).agg(F.count(y).alias("_n"), F.avg(y).alias("_m"))
-        m, v, n = (whole.select(c).scalar() for c in ("m", "v", "n"))
-        one = g.agg(
+        one = attach_row(g, whole).agg(
             F.lit(name).alias("factor"), F.count(F.lit(1)).alias("groups"),
-            (F.sum(F.col("_n") * F.pow(F.col("_m") - m, 2)) / F.nullif(F.max(v * n), F.lit(0.0))).alias("eta2"),
+            (F.sum(F.col("_n") * F.pow(F.col("_m") - F.col("m"), 2)) / F.nullif(F.max(F.col("v") * F.col("n")), F.lit(0.0))).alias("eta2"),
         )
         out = one if out is None else out.unionByName(one)
     return out

@@ -144,9 +144,14 @@ def with_position(
     )
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Attach the single row of ``row`` to every row, through one scalar subquery and no join."""
+    one = row.select(F.struct(*row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", one).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in row.columns])
+
+
 def with_totals(df: DataFrame, keys: list[str], totals: list[Column]) -> DataFrame:
     """Attach whole-key aggregates by a join, so that no key is gathered in one window task."""
     if not keys:
-        one = df.agg(*totals)
-        return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
+        return attach_row(df, df.agg(*totals))
     return df.join(df.groupBy(*keys).agg(*totals), keys, "left")

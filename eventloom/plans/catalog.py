@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.plans import encode_queries, frames_queries, sequence_queries, traffic_queries  # noqa: F401
+from eventloom.plans import encode_queries, frames_queries, profile_queries, score_queries, sequence_queries, traffic_queries  # noqa: F401
 from eventloom.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "b1_strictly_before"
