@@ -22,9 +22,9 @@ def array_std(a: Column) -> Column:
     return F.when(n > 1, F.sqrt(ss / F.nullif(n - 1, F.lit(0))))
 
 
-def array_quantile(a: Column, q: float) -> Column:
-    """Interpolated quantile of an array of non-null numbers."""
-    ordered = F.array_sort(a)
+def array_quantile(a: Column, q: float, ordered: bool = False) -> Column:
+    """Interpolated quantile of an array of non-null numbers; ``ordered`` if it is sorted already."""
+    ordered = a if ordered else F.sort_array(a)
     at = (F.size(a) - 1) * F.lit(float(q))
     low = F.try_element_at(ordered, F.floor(at).cast("int") + 1)
     high = F.try_element_at(ordered, F.ceil(at).cast("int") + 1)
@@ -33,7 +33,7 @@ def array_quantile(a: Column, q: float) -> Column:
 
 def category_counts(a: Column) -> Column:
     """Counts of the distinct values of an array, in ascending order of the value."""
-    return F.transform(F.array_sort(F.array_distinct(a)), lambda v: F.size(F.filter(a, lambda x: x == v)))
+    return F.transform(F.sort_array(F.array_distinct(a)), lambda v: F.size(F.filter(a, lambda x: x == v)))
 
 
 def entropy(a: Column) -> Column:
@@ -45,7 +45,7 @@ def entropy(a: Column) -> Column:
 
 def dominant(a: Column) -> Column:
     """Most frequent value of an array, the smallest one on ties, with its count."""
-    values = F.array_sort(F.array_distinct(a))
+    values = F.sort_array(F.array_distinct(a))
     pairs = F.transform(values, lambda v: F.struct(F.size(F.filter(a, lambda x: x == v)).alias("count"), v.alias("value")))
     best = F.aggregate(
         pairs,

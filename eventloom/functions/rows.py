@@ -42,7 +42,7 @@ def row_range(*cols) -> Column:
 
 def row_median(*cols) -> Column:
     """Median of the non-null values (mean of the two middle ones when even)."""
-    vals = F.array_sort(present(*cols))
+    vals = F.sort_array(present(*cols))
     n = F.size(vals)
     low = F.try_element_at(vals, F.floor((n + 1) / 2).cast("int"))
     high = F.try_element_at(vals, F.floor((n + 2) / 2).cast("int"))

@@ -69,9 +69,9 @@ def full_only(agg: Column, value: Column | str, window, n: int) -> Column:
     return F.when(F.count(col(value)).over(window) == n, agg)
 
 
-def nearest_percentile(values: Column, q: float) -> Column:
-    """Nearest-rank percentile of an array of non-null values."""
-    ordered = F.array_sort(values)
+def nearest_percentile(values: Column, q: float, ordered: bool = False) -> Column:
+    """Nearest-rank percentile of an array of non-null values; ``ordered`` if it is sorted already."""
+    ordered = values if ordered else F.sort_array(values)
     at = F.floor((F.size(ordered) - 1) * F.lit(q) + F.lit(0.5)).cast("int") + 1
     return F.when(F.size(ordered) > 0, F.try_element_at(ordered, at))
 
@@ -159,7 +159,9 @@ def previous_row_windows(
     The window of a row is ``(t - w, t]`` cut at the row itself, so rows with an equal time that come
     later in the order stay out; the result is then moved one row on. Columns are ``<value>_<stat>_<width>``.
     """
-    makers = {"mean": array_mean, "med": lambda a: array_quantile(a, 0.5), "p90": lambda a: array_quantile(a, 0.9), "std": array_std}
+    makers = {
+        "mean": array_mean, "med": lambda a: array_quantile(a, 0.5, ordered=True), "p90": lambda a: array_quantile(a, 0.9, ordered=True), "std": array_std,
+    }
     tie = F.struct(*[F.col(o) for o in order])
     frames = {
         f"_{v}_{w}": (lambda r, c=c, us=us: F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("_tie"), F.col(c).alias("x")))).over(r(-us + 1, 0)))
@@ -167,11 +169,13 @@ def previous_row_windows(
         for w, us in widths.items()
     }
     framed = over_range(df.withColumn("_tie", tie), keys, order[0], max(widths.values()), frames, slice_us)
-    cols = []
+    cols, sorts = [], {}
     for v in values:
         for w in widths:
             kept = F.transform(F.filter(f"_{v}_{w}", lambda e: e["_tie"] <= F.col("_tie")), lambda e: e["x"].cast("double"))
-            cols += [makers[s](kept).alias(f"_now_{v}_{s}_{w}") for s in stats]
+            sorts[f"_{v}_{w}"] = F.sort_array(kept)
+            cols += [makers[s](F.col(f"_{v}_{w}")).alias(f"_now_{v}_{s}_{w}") for s in stats]
+    framed = framed.withColumns(sorts)
     now = framed.select(*df.columns, *cols)
     names = [f"{v}_{s}_{w}" for v in values for w in widths for s in stats]
     moved = over_rows(now, keys, order, 1, {n: (lambda r, n=n: r.lag(f"_now_{n}")) for n in names}, base=df)

@@ -93,9 +93,10 @@ def window_quantiles_asof(
     """Median, p75 and p90 of the window ``(s - w, s]`` at the last source event at or before t."""
     kept = source.where(F.col(value).isNotNull() & F.col(source_at).isNotNull()).select(*keys, source_at, F.col(value).cast("double").alias("_v"))
     lists = over_range(kept, keys, source_at, width, {"_list": lambda r: F.collect_list("_v").over(r(-width + 1, 0))})
+    lists = lists.withColumn("_list", F.sort_array("_list"))
     stats = lists.select(
-        *keys, source_at, array_quantile(F.col("_list"), 0.5).alias("_med"),
-        nearest_percentile(F.col("_list"), 0.75).alias("_p75"), nearest_percentile(F.col("_list"), 0.90).alias("_p90"),
+        *keys, source_at, array_quantile(F.col("_list"), 0.5, ordered=True).alias("_med"),
+        nearest_percentile(F.col("_list"), 0.75, ordered=True).alias("_p75"), nearest_percentile(F.col("_list"), 0.90, ordered=True).alias("_p90"),
     )
     return asof(df, stats, keys, at, source_at, {f"{prefix}_med": "_med", f"{prefix}_p75": "_p75", f"{prefix}_p90": "_p90"}, tie="_med")
 
