@@ -111,3 +111,10 @@ def split_by_phase(df: DataFrame, phase: str, out_value: str, origin: str, desti
     is_out = F.col(phase) == F.lit(out_value)
     named = df.withColumn(entity, F.when(is_out, F.col(origin)).otherwise(F.col(destination)))
     return named.where(is_out), named.where(~is_out)
+
+
+def join_filled(df: DataFrame, table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Left join of numeric attributes; missing ones take the attribute's mean over the table."""
+    means = table.agg(*[F.avg(c).alias(c) for c in columns])
+    joined = df.join(table.select(*keys, *columns), keys, "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), means.select(c).scalar()) for c in columns})
