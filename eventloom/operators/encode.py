@@ -22,6 +22,22 @@ def group_stats(df: DataFrame, keys: list[str], y: str) -> DataFrame:
     return plain.join(ranks, keys)
 
 
+def group_stats_levels(df: DataFrame, levels: dict[str, list[str]], y: str) -> DataFrame:
+    """:func:`group_stats` at several key levels in one pass, as with grouping sets.
+
+    Every row is read once and repeated per level with the keys of that level only; ``level`` names it and
+    keys that are not part of a level are null.
+    """
+    names = sorted({k for keys in levels.values() for k in keys})
+    kinds = dict(df.dtypes)
+    cells = [
+        F.struct(F.lit(level).alias("level"), *[(F.col(k) if k in keys else F.lit(None).cast(kinds[k])).alias(k) for k in names])
+        for level, keys in levels.items()
+    ]
+    spread = df.select(F.explode(F.array(*cells)).alias("key"), F.col(y))
+    return group_stats(spread, ["key"], y).select("key.*", "n", "mean", "std", "med", "p25", "p75", "p90")
+
+
 def prefixed(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return table.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in table.columns if c not in keys])
 

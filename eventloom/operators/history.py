@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.clock import SECOND
 from eventloom.operators.rowframes import over_rows
-from eventloom.operators.slices import UNBOUNDED
+from eventloom.operators.slices import UNBOUNDED, text_slice, with_position
 
 PAD, UNKNOWN = 0, 1
 
@@ -41,16 +41,15 @@ def histories(
 def vocabulary(df: DataFrame, column: str, min_count: int = 1) -> DataFrame:
     """Ids of categories by falling frequency, name on ties; 0 is padding and 1 is unknown.
 
-    The table has one row per category. It is numbered inside frequency groups with a running offset, so
-    no task orders more than the categories of one frequency.
+    The table has one row per category. It is numbered inside frequency groups, cut by the first bytes of
+    the name, with running offsets; the many categories seen once do not meet in one task.
     """
     seen = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n"))
     seen = seen.where(F.col("n") >= min_count)
     levels = seen.groupBy("n").agg(F.count(F.lit(1)).alias("_m"))
     above = levels.select("n", F.coalesce(F.sum("_m").over(Window.orderBy(F.col("n").desc()).rowsBetween(UNBOUNDED, -1)), F.lit(0)).alias("_above"))
-    inside = F.row_number().over(Window.partitionBy("n").orderBy("category"))
-    numbered = seen.join(above, ["n"]).select("category", "n", (F.col("_above") + inside + F.lit(UNKNOWN)).cast("long").alias("code"))
-    return numbered
+    placed = with_position(seen.withColumn("_slice", text_slice(F.col("category"))), ["n"], ["category"], "_slice", "_inside")
+    return placed.join(above, ["n"]).select("category", "n", (F.col("_above") + F.col("_inside") + F.lit(UNKNOWN)).cast("long").alias("code"))
 
 
 def encode(df: DataFrame, column: str, vocab: DataFrame, name: str) -> DataFrame:

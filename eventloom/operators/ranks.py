@@ -136,7 +136,7 @@ def ranked(df: DataFrame, keys: list[str], value: str, tie: list[str], name: str
     """1-based position by value, ties broken by ``tie``; the whole order never meets in one task."""
     v = F.col(value).cast("double")
     base = df.withColumn("_v", -v if descending else v).withColumn("_b", value_slice(F.col("_v")))
-    return with_position(base, keys, ["_v", *tie], "_b", name).drop("_v", "_b")
+    return with_position(base, keys, ["_v", *tie], "_b", name, spread_ties=True).drop("_v", "_b")
 
 
 def even_bins(df: DataFrame, value: str, tie: list[str], bins: int, name: str = "bin") -> DataFrame:

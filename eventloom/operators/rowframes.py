@@ -40,18 +40,20 @@ def over_rows(
     slice_us: int | None = None,
     chunk: int = 100_000,
     base: DataFrame | None = None,
+    spread_ties: bool = False,
 ) -> DataFrame:
     """Append features over at most ``reach`` preceding rows of each key.
 
     ``base`` may name the source of ``df`` (same rows, keys and times, fewer features): slices and row
-    counts are then read from it, so a chain of calls does not repeat its own plan.
+    counts are then read from it, so a chain of calls does not repeat its own plan. ``spread_ties`` also
+    spreads rows that share one time, for coarse clocks.
 
     ``order`` starts with a microsecond column and is unique within a key. Every key is cut into chunks
     of equal row count; the last ``reach`` rows of a chunk are copied into the next one as context.
     """
     source = df if base is None else base
     cut = _slice_of(source, order, slice_us)
-    placed = with_position(df.withColumn("_slice", cut), keys, order, "_slice", "_pos", source.withColumn("_slice", cut))
+    placed = with_position(df.withColumn("_slice", cut), keys, order, "_slice", "_pos", source.withColumn("_slice", cut), spread_ties)
     at = F.col("_pos") - 1
     chunk = max(chunk, reach + 1)
     home = F.floor(at / F.lit(chunk))

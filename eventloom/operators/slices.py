@@ -127,21 +127,46 @@ def running(
 
 
 def with_position(
-    df: DataFrame, keys: list[str], order: list[str], slice_col: str, name: str = "position", base: DataFrame | None = None
+    df: DataFrame, keys: list[str], order: list[str], slice_col: str, name: str = "position",
+    base: DataFrame | None = None, spread_ties: bool = False, limit: int = 5 * ROWS_PER_SLICE,
 ) -> DataFrame:
     """1-based position of every row in its key's total order (``order`` must be unique within a key).
 
-    ``base`` may name a cheaper DataFrame with the same rows, keys and slices to count in.
+    ``base`` may name a cheaper DataFrame with the same rows, keys and slices to count in. With
+    ``spread_ties`` slices of more than ``limit`` rows are cut again by their order values and by ranges
+    of the last order column (a whole number), so that one value shared by very many rows is spread too.
     """
-    counts = (df if base is None else base).groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(UNBOUNDED, -1)
-    offsets = counts.select(*keys, slice_col, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy(*keys, slice_col).orderBy(*order))
-    return (
-        df.join(offsets, [*keys, slice_col], "left")
-        .withColumn(name, (F.col("_offset") + inside).cast("long"))
-        .drop("_offset")
-    )
+    source = df if base is None else base
+    counts = source.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_rows"))
+    if not spread_ties:
+        earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(UNBOUNDED, -1)
+        offsets = counts.select(*keys, slice_col, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+        inside = F.row_number().over(Window.partitionBy(*keys, slice_col).orderBy(*order))
+        placed = df.join(offsets, [*keys, slice_col], "left")
+        return placed.withColumn(name, (F.col("_offset") + inside).cast("long")).drop("_offset")
+
+    heavy = counts.where(F.col("_rows") > limit).select(*keys, slice_col, F.lit(True).alias("_heavy"))
+    width = slice_width([(source, order[-1])])
+    columns = {f"_p{i}": F.col(c) for i, c in enumerate(order[:-1])} | {"_p_tie": whole_div(F.col(order[-1]), width)}
+
+    def cut(d: DataFrame) -> DataFrame:
+        marked = d.join(heavy, [*keys, slice_col], "left")
+        parts = {n: F.when(F.col("_heavy"), c).otherwise(F.lit(0)) for n, c in columns.items()}
+        return marked.withColumns(parts).drop("_heavy")
+
+    group = [*keys, slice_col, *columns]
+    sizes = cut(source).groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy(slice_col, *columns).rowsBetween(UNBOUNDED, -1)
+    offsets = sizes.select(*group, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    placed = cut(df).join(offsets, group, "left")
+    return placed.withColumn(name, (F.col("_offset") + inside).cast("long")).drop("_offset", *columns)
+
+
+def text_slice(text: Column, size: int = 3) -> Column:
+    """A slice number from the first bytes of a string, in the order Spark sorts strings."""
+    head = F.hex(F.substring(F.encode(text, "UTF-8"), 1, size))
+    return F.conv(F.rpad(head, 2 * size, "0"), 16, 10).cast("long")
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

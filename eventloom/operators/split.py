@@ -17,7 +17,7 @@ def by_period(df: DataFrame, period: str, held_out: list[int]) -> tuple[DataFram
 def time_position(df: DataFrame, at: str, tie: str, name: str = "position") -> DataFrame:
     """1-based position in one global order of (time, tie), computed per time slice."""
     cut = df.withColumn("_slice", time_slice(F.col(at), slice_width([(df, at)])))
-    return with_position(cut, [], [at, tie], "_slice", name).drop("_slice")
+    return with_position(cut, [], [at, tie], "_slice", name, spread_ties=True).drop("_slice")
 
 
 def position_folds(df: DataFrame, at: str, tie: str, folds: int, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.clock import DAY, col
+from eventloom.functions.clock import col
 from eventloom.operators.slices import Running, running, slice_width, time_slice
 
 
@@ -170,7 +170,7 @@ def over_range(
     For frames whose aggregate cannot be built from per-time totals; cost grows with the frame, so the
     look-back should stay short. Rows within ``reach`` of the next slice are copied into it as context.
     """
-    width = max(slice_us or max(8 * reach, DAY), reach, 1)
+    width = max(slice_us or 8 * reach, reach, 1)
     home = time_slice(F.col(at), F.lit(width))
     nxt = F.col("_home") + 1
     copies = F.when(F.col(at) + F.lit(reach) >= nxt * F.lit(width), F.array("_home", nxt)).otherwise(F.array("_home"))

@@ -52,14 +52,8 @@ UNION ALL SELECT 'en', entity, NULL, NULL, {STATS} FROM tr GROUP BY entity""",
 def a01(spark, folder):
     """A1: n, mean, std, median and nearest percentiles at four key levels."""
     tr, _ = train_val(spark, folder)
-    parts = []
-    for level, keys in LEVELS.items():
-        g = encode.group_stats(tr, keys, "y")
-        names = [F.col(k) if k in keys else F.lit(None).cast("string" if k == "lane" else "long").alias(k) for k in ("entity", "slot", "lane")]
-        parts.append(
-            g.select(F.lit(level).alias("level"), *names, "n", F.round("mean", 6).alias("mean"), F.round("std", 3).alias("std"), "med", "p25", "p75", "p90")
-        )
-    return ranks.union_all(parts)
+    g = encode.group_stats_levels(tr, LEVELS, "y")
+    return g.select("level", "entity", "slot", "lane", "n", F.round("mean", 6).alias("mean"), F.round("std", 3).alias("std"), "med", "p25", "p75", "p90")
 
 
 @query(

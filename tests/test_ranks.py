@@ -59,3 +59,20 @@ def test_tail_split_is_exact(spark):
     got = split.tail_split(df, "t", "id", 0.15).collect()
     order = sorted(((r.t, r.id, r.in_tail) for r in got))
     assert [x[2] for x in order] == [False] * 34 + [True] * 7
+
+
+def test_positions_with_spread_ties(spark):
+    from eventloom.operators.slices import text_slice, with_position
+
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(2), float(rng.choice([0, 0, 0, 7, rng.randrange(40)]))) for i in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "id long, k long, v double").withColumn("s", F.floor(F.col("v") / 8))
+    got = with_position(df, ["k"], ["v", "id"], "s", "pos", spread_ties=True, limit=10).collect()
+    assert len(got) == len(rows)
+    for k in (0, 1):
+        want = [x[0] for x in sorted((x for x in rows if x[1] == k), key=lambda x: (x[2], x[0]))]
+        assert [r.id for r in sorted((r for r in got if r.k == k), key=lambda r: r.pos)] == want
+        assert sorted(r.pos for r in got if r.k == k) == list(range(1, len(want) + 1))
+    words = ["", "a", "ab", "abcd", "abc", "b", "Z", "é", "zz"]
+    ordered = [(r.w, r.b) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", text_slice(F.col("w")).alias("b")).orderBy("w").collect()]
+    assert [b for _, b in ordered] == sorted(b for _, b in ordered)
