@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -130,11 +131,14 @@ def regimes(df: DataFrame, features: list[str], ks: list[int], name: str, seed:
     """Cluster standardised states; the number of clusters with the best silhouette wins."""
     filled = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
     raw = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="_raw").transform(filled)
-    scaled = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True).fit(raw).transform(raw)
+    scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)
+    scaled = scaler.fit(raw).transform(raw)
+    kept = scaled.select("_features").persist(StorageLevel.MEMORY_AND_DISK)  # read again by every fit; rebuilt if lost
     scores, models = {}, {}
     for k in ks:
-        models[k] = KMeans(featuresCol="_features", predictionCol=name, k=k, seed=seed).fit(scaled)
-        scores[k] = ClusteringEvaluator(featuresCol="_features", predictionCol=name).evaluate(models[k].transform(scaled))
+        models[k] = KMeans(featuresCol="_features", predictionCol=name, k=k, seed=seed).fit(kept)
+        scores[k] = ClusteringEvaluator(featuresCol="_features", predictionCol=name).evaluate(models[k].transform(kept))
+    kept.unpersist()
     best = max(scores, key=scores.get)
     return models[best].transform(scaled).select(*df.columns, name), best, scores
 

@@ -13,6 +13,9 @@ from eventloom.operators.slices import Running, running, slice_width, time_slice
 from eventloom.operators.timeline import over_range
 
 
+CHUNK_ROWS = 100_000
+
+
 def _slice_of(df: DataFrame, order: list[str], slice_us: int | None) -> Column:
     width = F.lit(slice_us) if slice_us else slice_width([(df, order[0])])
     return time_slice(F.col(order[0]), width)
@@ -38,7 +41,7 @@ def over_rows(
     reach: int,
     features: dict[str, Callable[[Rows], Column]],
     slice_us: int | None = None,
-    chunk: int = 100_000,
+    chunk: int | None = None,
     base: DataFrame | None = None,
     spread_ties: bool = False,
 ) -> DataFrame:
@@ -55,7 +58,7 @@ def over_rows(
     cut = _slice_of(source, order, slice_us)
     placed = with_position(df.withColumn("_slice", cut), keys, order, "_slice", "_pos", source.withColumn("_slice", cut), spread_ties)
     at = F.col("_pos") - 1
-    chunk = max(chunk, reach + 1)
+    chunk = max(chunk or CHUNK_ROWS, reach + 1)
     home = F.floor(at / F.lit(chunk))
     copies = F.when(F.pmod(at, F.lit(chunk)) >= chunk - reach, F.array(home, home + 1)).otherwise(F.array(home))
     spread = placed.withColumn("_home", home).withColumn("_chunk", F.explode(copies))

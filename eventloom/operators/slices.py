@@ -25,14 +25,14 @@ def time_slice(at: Column, width: Column | int) -> Column:
     return whole_div(at, width)
 
 
-def slice_width(sources: list[tuple[DataFrame, str]], rows: int = ROWS_PER_SLICE) -> Column:
-    """Slice width (µs) that leaves about ``rows`` rows per slice even if one key held every row.
+def slice_width(sources: list[tuple[DataFrame, str]], rows: int | None = None) -> Column:
+    """Slice width (µs) that leaves about ``rows`` (``ROWS_PER_SLICE``) rows per slice even if one key held every row.
 
     A scalar subquery over count, minimum and maximum of the time columns; parquet answers it from one
     narrow column. Pass a width of your own to the operators to save that scan.
     """
     narrow = reduce(lambda a, b: a.unionByName(b), [df.select(F.col(at).alias("t")) for df, at in sources])
-    pieces = F.ceil(F.count("t") / F.lit(float(rows)))
+    pieces = F.ceil(F.count("t") / F.lit(float(rows or ROWS_PER_SLICE)))
     span = (F.max("t") - F.min("t")).cast("double") / F.greatest(pieces, F.lit(1))
     return narrow.agg(F.coalesce(F.greatest(F.ceil(span), F.lit(1)), F.lit(1)).cast("long").alias("w")).scalar()
 
@@ -128,12 +128,12 @@ def running(
 
 def with_position(
     df: DataFrame, keys: list[str], order: list[str], slice_col: str, name: str = "position",
-    base: DataFrame | None = None, spread_ties: bool = False, limit: int = 5 * ROWS_PER_SLICE,
+    base: DataFrame | None = None, spread_ties: bool = False, limit: int | None = None,
 ) -> DataFrame:
     """1-based position of every row in its key's total order (``order`` must be unique within a key).
 
     ``base`` may name a cheaper DataFrame with the same rows, keys and slices to count in. With
-    ``spread_ties`` slices of more than ``limit`` rows are cut again by their order values and by ranges
+    ``spread_ties`` slices of more than ``limit`` rows (five slices' worth) are cut again by their order values and by ranges
     of the last order column (a whole number), so that one value shared by very many rows is spread too.
     """
     source = df if base is None else base
@@ -145,7 +145,7 @@ def with_position(
         placed = df.join(offsets, [*keys, slice_col], "left")
         return placed.withColumn(name, (F.col("_offset") + inside).cast("long")).drop("_offset")
 
-    heavy = counts.where(F.col("_rows") > limit).select(*keys, slice_col, F.lit(True).alias("_heavy"))
+    heavy = counts.where(F.col("_rows") > (limit or 5 * ROWS_PER_SLICE)).select(*keys, slice_col, F.lit(True).alias("_heavy"))
     width = slice_width([(source, order[-1])])
     columns = {f"_p{i}": F.col(c) for i, c in enumerate(order[:-1])} | {"_p_tie": whole_div(F.col(order[-1]), width)}
 
