@@ -101,7 +101,7 @@ def nearest_in_range(
 
 
 def exists_in_range(
-    left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_at: str, right_at: str,
+    left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str,
     lo_us: int, hi_us: int, name: str, right_keys: list[str] | None = None,
 ) -> DataFrame:
     """Flag left rows that have any right row of the same keys inside the range.

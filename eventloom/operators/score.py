@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.rows import finite, ladder, ratio
+from eventloom.functions.rows import finite, ratio
 from eventloom.operators.ranks import quantile_bin, quantiles, top_sums
-from eventloom.operators.robust import attach_row
+from eventloom.operators.slices import attach_row
 
 
 def with_errors(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -250,6 +250,3 @@ def quantile_compression(df: DataFrame, y: str, p: str, probs: dict[str, float])
         for k in probs
     ])))
 
-
-def bands(x: Column, edges: list[float]) -> Column:
-    return ladder(x, edges)

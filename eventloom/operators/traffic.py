@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.arrays import array_quantile, array_sum, dominant, entropy
-from eventloom.functions.clock import SECOND
-from eventloom.functions.rows import ratio
+from eventloom.functions.clock import SECOND, whole_div
 from eventloom.operators.asof import asof, next_after
+from eventloom.operators.ranks import quantiles
 from eventloom.operators.rowframes import nearest_percentile, over_rows, since_change
 from eventloom.operators.timeline import Feature, Stream, before, between_open, events, over_range, trailing, until
 
@@ -185,9 +185,6 @@ def binned_state(
     Bins run from the first to the last event of the key. Counts come from the timeline; a row reaches
     only the few bins that look back on it, so medians group bounded sets.
     """
-    from eventloom.functions.clock import whole_div
-    from eventloom.operators.ranks import quantiles
-
     own_bin = whole_div(F.col(at), bin_us)
     span = df.groupBy(*keys).agg(F.min(own_bin).alias("_lo"), F.max(own_bin).alias("_hi"))
     bins = span.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("bin")).withColumn("_at", F.col("bin") * F.lit(bin_us))
@@ -197,6 +194,3 @@ def binned_state(
     med = quantiles(seen, [*keys, "bin"], "_v", {"median": 0.5})
     return got.drop("_at").join(med, [*keys, "bin"], "left")
 
-
-def share(part: Column, whole: Column) -> Column:
-    return ratio(part, whole)

@@ -8,7 +8,7 @@ from eventloom.functions.clock import hour_of, month_of, seconds_between
 from eventloom.operators import encode, ranks, robust
 from eventloom.operators.rowframes import over_rows
 from eventloom.plans.registry import query
-from eventloom.plans.tables import CTES, moves, outs
+from eventloom.plans.tables import CTES, outs
 
 VALIDATION_MONTHS = (1, 7)
 

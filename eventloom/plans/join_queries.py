@@ -111,7 +111,7 @@ def j11(spark, folder):
 def j12(spark, folder):
     """Whether any counterpart lies inside a time range."""
     o = outs(spark, folder).select("id", "slot", "moved_us")
-    return joins.exists_in_range(o, ins(spark, folder).select("slot", "moved_us"), ["slot"], "id", "moved_us", "moved_us", -20 * DAY, 5 * DAY, "near").select("id", "near")
+    return joins.exists_in_range(o, ins(spark, folder).select("slot", "moved_us"), ["slot"], "moved_us", "moved_us", -20 * DAY, 5 * DAY, "near").select("id", "near")
 
 
 @query(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions.clock import seconds_between
-from eventloom.functions.rows import clip, gate
-from eventloom.operators import encode, history, ranks, robust, score
+from eventloom.functions.rows import clip, gate, ladder
+from eventloom.operators import history, ranks, robust, score
 from eventloom.plans.encode_queries import train_val
 from eventloom.plans.registry import query
 from eventloom.plans.tables import CTES, outs, ticks
@@ -127,9 +127,9 @@ def d07(spark, folder):
     got = score.banded(
         scored(spark, folder), "y", "late",
         {
-            "outcome": score.bands(F.col("y"), [1800.0, 43200.0, 86400.0]),
-            "error": score.bands(F.col("ab"), [60.0, 600.0, 3600.0, 43200.0]),
-            "residual": score.bands(F.col("r"), [-3600.0, 0.0, 3600.0]),
+            "outcome": ladder(F.col("y"), [1800.0, 43200.0, 86400.0]),
+            "error": ladder(F.col("ab"), [60.0, 600.0, 3600.0, 43200.0]),
+            "residual": ladder(F.col("r"), [-3600.0, 0.0, 3600.0]),
         },
     )
     return tidy(got)

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.functions.clock import DAY, HOUR, SECOND, hour_of, seconds_between, whole_div
+from eventloom.functions.clock import DAY, SECOND, seconds_between
 from eventloom.functions.rows import ratio
-from eventloom.operators import asof as joins
 from eventloom.operators import traffic
-from eventloom.operators.rowframes import islands, over_rows, run_length, workload
-from eventloom.operators.slices import Running, running, time_slice, with_position
-from eventloom.operators.timeline import Feature, Stream, before, closed, events, trailing, until
+from eventloom.operators.rowframes import over_rows
+from eventloom.operators.slices import time_slice, with_position
+from eventloom.operators.timeline import Feature, before, closed, events, trailing, until
 from eventloom.plans.registry import query
-from eventloom.plans.tables import ins, moves, outs, ticks
+from eventloom.plans.tables import ins, moves, outs
 
 
 def pair_counts(left: str, right: str, keys: list[str], cols: str, extra: str = "", at: str = "moved_us", r_at: str = "moved_us", reach: str = "60 * $DAY") -> str:

@@ -35,7 +35,7 @@ def test_nearest_exists_and_next(spark):
     a, b = rows(3, 60), rows(4, 40)
     left, right = (spark.createDataFrame(x, "id long, k long, t long, v long") for x in (a, b))
     near = {r.id: r.hit for r in joins.nearest_in_range(left, right, ["k"], "t", "id", "t", -4, 2, {"hit": "id"}, slice_us=7).collect()}
-    seen = {r.id: r.any for r in joins.exists_in_range(left, right, ["k"], "id", "t", "t", -4, 2, "any").collect()}
+    seen = {r.id: r.any for r in joins.exists_in_range(left, right, ["k"], "t", "t", -4, 2, "any").collect()}
     after = {r.id: r.nxt for r in joins.next_after(left, right, ["k"], "t", "t", "nxt", slice_us=7).collect()}
     for i, k, t, _ in a:
         ok = [x for x in b if x[1] == k and -4 <= x[2] - t <= 2]
