@@ -132,7 +132,9 @@ def trailing(
     parts.append(asked.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(at).alias("__t"), F.lit(1).alias("__q")))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     line = union.groupBy(*ks, "__t").agg(F.max("__q").alias("__q"), *[_fold(f).alias(f"__f_{f.name}") for f in features])
-    width = F.lit(slice_us) if slice_us else slice_width([(times, at)])
+    # streams count too: few query times may face very many events
+    sized = [(times, at)] + [(s.df, s.at) for s in streams if s.df is not times and s.df is not queries]
+    width = F.lit(slice_us) if slice_us else slice_width(sized)
     line = line.withColumn("__slice", time_slice(F.col("__t"), width))
     items = [Running(f.name, f.agg, F.col(f"__f_{f.name}"), 0) for f in features]
     got = running(line, ks, ["__t"], "__slice", items, same_as=["__q"]).where("__q = 1")
