@@ -78,24 +78,39 @@ def _sketch(batches: Iterator[pd.DataFrame], window: int, bits: int) -> Iterator
     one, two = once.reshape(2 * BLOCKS, -1), twice.reshape(2 * BLOCKS, -1)
     for k in range(2 * BLOCKS):
         if one[k].any():
-            yield pd.DataFrame({"block": [k], "once": [zlib.compress(one[k], 1)], "twice": [zlib.compress(two[k], 1) if two[k].any() else b""]})
+            yield pd.DataFrame({"block": [k], "once": [_gaps(one[k])], "twice": [_gaps(two[k])]})
+
+
+def _gaps(bitmap: np.ndarray) -> bytes:
+    """A sparse bitmap as the gaps between its bits, a byte each; 255 stands for 255 and goes on."""
+    at = np.flatnonzero(np.unpackbits(bitmap, bitorder="little"))
+    gap = np.diff(at, prepend=0)
+    past = np.cumsum(gap // 255 + 1)
+    out = np.full(past[-1] if len(past) else 0, 255, np.uint8)
+    out[past - 1] = gap % 255
+    return out.tobytes()
+
+
+def _bits(gaps: bytes) -> np.ndarray:
+    """Where the bits of such a bitmap are."""
+    gap = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(gap, dtype=np.int64)[gap < 255]
 
 
 def _merge(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     """Add the sketches' blocks, which come sorted by block; one block is held at a time."""
-    block, once, twice = None, np.zeros(width, np.uint8), np.zeros(width, np.uint8)
-    done = lambda: pd.DataFrame({"block": [block], "twice": [zlib.compress(twice, 1)]})
+    block, once, twice = None, np.zeros(8 * width, bool), np.zeros(8 * width, bool)
+    done = lambda: pd.DataFrame({"block": [block], "twice": [zlib.compress(np.packbits(twice, bitorder="little"), 1)]})
     for pdf in batches:
         for k, one, two in zip(pdf["block"], pdf["once"], pdf["twice"]):
             if k != block:
                 if block is not None:
                     yield done()
-                block, once, twice = k, np.zeros(width, np.uint8), np.zeros(width, np.uint8)
-            more = np.frombuffer(zlib.decompress(one), np.uint8)
-            twice |= once & more
-            once |= more
-            if two:
-                twice |= np.frombuffer(zlib.decompress(two), np.uint8)
+                block, once, twice = k, np.zeros(8 * width, bool), np.zeros(8 * width, bool)
+            at = _bits(one)
+            twice[at[once[at]]] = True
+            once[at] = True
+            twice[_bits(two)] = True
     if block is not None:
         yield done()
 

@@ -20,8 +20,8 @@ _own: list[str] = []
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings: those of the library, and Arrow batches that bound a task's memory with long texts."""
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
