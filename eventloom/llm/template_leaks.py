@@ -90,8 +90,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matches = matches.withColumn("_words", F.col("_windows") + F.col("_width") - 1).join(items, "_item")
     matches = matches.where(F.col("_words") >= F.least(F.lit(LEAST_WORDS), F.size("_iw")))
     both = rows.join(matches, "_id").withColumn("_dw", tagged_words(F.col("_text")))
-    at = F.sequence(F.col("_first") + 1, F.col("_past"))
-    pairs = F.filter(F.transform(at, lambda i: F.struct(F.get("_iw", i - 1).alias("x"), F.get("_dw", i - 1 + F.col("_diagonal")).alias("y"))), lambda p: _is_slot(p["x"]) & F.coalesce(_is_slot(p["y"]), F.lit(False)))
+    # cut both word lists to the match, then pair them: no lambda looks at a whole text
+    wide = (F.col("_past") - F.col("_first")).cast("int")
+    mine_cut, its_cut = F.slice("_dw", (F.col("_first") + F.col("_diagonal") + 1).cast("int"), wide), F.slice("_iw", (F.col("_first") + 1).cast("int"), wide)
+    pairs = F.filter(F.zip_with(its_cut, mine_cut, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: _is_slot(p["x"]) & F.coalesce(_is_slot(p["y"]), F.lit(False)))
     judged = both.withColumn("_pairs", pairs)
     different = F.array_distinct("_pairs")
     consistent = (F.size(different) == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["x"])))) & (F.size(different) == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["y"]))))
