@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.shared import NO_ID, id_or_none, texts
+from eventloom.llm.shared import NO_ID, id_or_none, texts, written
 from eventloom.llm.words import mix, word_hashes
 
 BITS, FACTORS = 18, 8
@@ -114,9 +114,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["toxic"].cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     known = known.where(fold(F.col("_id")) != 0).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` rows of 12 bytes
-    rows = texts(docs).join(F.broadcast(known), "_id").mapInPandas(_features, "_toxic int, _set binary").orderBy("_set").limit(2 * sample).collect()
-    different = {bytes(r["_set"]): r["_toxic"] for r in rows}  # copies of a text count once
-    return learn([np.frombuffer(s, np.int32) for s in different], np.array(list(different.values()), np.float64))
+    rows = written(texts(docs).join(F.broadcast(known), "_id").mapInPandas(_features, "_toxic int, _set binary"), "sample")
+    different: dict[bytes, int] = {}  # copies of a text count once
+    for r in rows.limit(2 * sample).toLocalIterator():  # ids that repeat do not lift the bound
+        different[bytes(r["_set"])] = r["_toxic"]
+    known_sets = sorted(different.items())
+    return learn([np.frombuffer(s, np.int32) for s, _ in known_sets], np.array([y for _, y in known_sets], np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
