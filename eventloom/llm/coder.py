@@ -13,8 +13,8 @@ import numpy as np
 
 from eventloom.llm.words import _LOWER_SPACES, _SPACES, word_hashes
 
-#: Words kept before the cache starts anew, and words given to the tokenizer in one string.
-CACHE_WORDS, TOGETHER = 300_000, 500
+#: Words kept before the cache starts anew (about 50 bytes each), and words given to the tokenizer in one string.
+CACHE_WORDS, TOGETHER = 2_000_000, 500
 
 
 class Coder:
@@ -29,11 +29,18 @@ class Coder:
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.begin, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by key
+        self.words, self.begin, self.count = 0, np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known words among sorted keys, and which are known."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.place[at], self.keys[at] == keys
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Tokenise new words, many in one string, and part the ids by where they stand."""
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
@@ -42,7 +49,7 @@ class Coder:
             ids = np.array(coded.ids, np.uint32)
             owner = np.searchsorted(starts, np.array([o[0] for o in coded.offsets], np.int64), "right") - 1
             n = np.bincount(owner, minlength=len(some))[: len(some)] if len(ids) else np.zeros(len(some), np.int64)
-            first = len(self.place)
+            first = self.words
             while first + len(some) > len(self.begin):
                 self.begin, self.count = np.concatenate((self.begin, self.begin * 0)), np.concatenate((self.count, self.count * 0))
             while self.used + len(ids) > len(self.flat):
@@ -51,7 +58,11 @@ class Coder:
             self.begin[first : first + len(some)] = self.used + np.cumsum(n) - n
             self.count[first : first + len(some)] = n
             self.used += len(ids)
-            self.place.update(zip(keys[at : at + TOGETHER], range(first, first + len(some))))
+            self.words += len(some)
+        both = np.concatenate((self.keys, keys))
+        order = np.argsort(both, kind="stable")
+        self.keys = both[order]
+        self.place = np.concatenate((self.place, np.arange(self.words - len(words), self.words, dtype=np.int32)))[order]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
@@ -66,22 +77,20 @@ class Coder:
             spans.append((s, e))
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         keys, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
-        if len(self.place) + len(keys) > CACHE_WORDS:
+        if self.words + len(keys) > CACHE_WORDS:
             self.reset()
-        known = self.place.get
-        names = keys.tolist()
-        missing = [k for k, name in enumerate(names) if known(name) is None]
-        if missing:
+        missing = np.flatnonzero(~self.find(keys)[1])
+        if len(missing):
             ends = np.cumsum(sizes)
             owner = np.searchsorted(ends, first[missing], "right")
             words = []
             for doc, at in zip(owner, first[missing]):
                 k = at - (ends[doc] - sizes[doc])
                 words.append(raws[doc][spans[doc][0][k] : spans[doc][1][k]].decode("utf-8", "surrogatepass"))
-            self.learn([names[k] for k in missing], words)
-        place = np.fromiter(map(known, names), np.int64, len(names))[inverse]
+            self.learn(keys[missing], words)
+        place = self.find(keys)[0][inverse]
         n = self.count[place]
-        past = np.cumsum(n)
+        past = np.cumsum(n, dtype=np.int64)
         ids = self.flat[np.repeat(self.begin[place] - past + n, n) + np.arange(past[-1] if len(past) else 0)]
         upto = np.concatenate(([0], past))[np.cumsum([0] + sizes)]
         end = np.array([self.end_id], np.uint32)
