@@ -2,34 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Public holidays of 2025 (month-day) of ten airports' regions, UTC dates.
-HOLIDAYS_2025 = {
-    "EDDF": "01-01 04-18 04-21 05-01 05-29 06-09 10-03 12-25 12-26",
-    "EDDM": "01-01 01-06 04-18 04-21 05-01 05-29 06-09 06-19 10-03 12-25 12-26",
-    "EGLL": "01-01 04-18 04-21 05-05 05-26 08-25 12-25 12-26",
-    "EHAM": "01-01 04-18 04-21 04-26 05-05 05-29 06-09 12-25 12-26",
-    "LEBL": "01-01 01-06 04-18 05-01 06-24 08-15 09-11 10-12 11-01 12-06 12-08 12-25",
-    "LEMD": "01-01 01-06 04-18 05-01 08-15 10-12 11-01 12-06 12-08 12-25",
-    "LFPG": "01-01 04-21 05-01 05-08 05-29 06-09 07-14 08-15 11-01 11-11 12-25",
-    "LIRF": "01-01 01-06 04-21 04-25 05-01 06-02 08-15 11-01 12-08 12-25 12-26",
-    "LSZH": "01-01 04-18 04-21 05-01 05-29 06-09 08-01 12-25 12-26",
-    "LTFM": "01-01 03-30 03-31 04-01 04-23 05-01 05-19 06-06 06-07 06-08 06-09 07-15 08-30 10-29",
-}
-
-
-def holiday_table(spark: SparkSession) -> DataFrame:
-    """(entity, day) rows of the fixed list; about a hundred rows."""
-    rows = [(e, date.fromisoformat(f"2025-{d}")) for e, days in HOLIDAYS_2025.items() for d in days.split()]
-    return spark.createDataFrame(rows, "entity string, day date")
-
 
 def flag_days(df: DataFrame, days: DataFrame, entity: str, day: Column, name: str) -> DataFrame:
-    """True where (entity, day) is listed; every row stays once."""
+    """True where (entity, day) is a row of ``days``; every row stays once."""
     listed = days.select(F.col("entity").alias(entity), F.col("day").alias("_day")).distinct().withColumn("_listed", F.lit(True))
     got = df.withColumn("_day", day).join(listed, [entity, "_day"], "left")
     return got.withColumn(name, F.coalesce("_listed", F.lit(False))).select(*df.columns, name)

@@ -57,7 +57,8 @@ def entity_experts(
     counts = {r[entity]: r["n"] for r in train.where(F.col(entity).isin(entities)).groupBy(entity).agg(F.count(F.lit(1)).alias("n")).collect()}
     strong = [e for e in entities if counts.get(e, 0) >= min_rows]
     pooled = residual_boost(train, apply_to, features, y, base, name, **kw)
-    parts = [pooled.where(~F.col(entity).isin(strong)) if strong else pooled]
+    # rows without an entity have no expert: the pooled model is theirs
+    parts = [pooled.where(~F.coalesce(F.col(entity).isin(strong), F.lit(False))) if strong else pooled]
     for e in strong:
         one = F.col(entity) == F.lit(e)
         parts.append(residual_boost(train.where(one), apply_to.where(one), features, y, base, name, **kw))
@@ -67,13 +68,14 @@ def entity_experts(
     return out
 
 
-def slice_specialist(train: DataFrame, apply_to: DataFrame, mask: Column, features: list[str], y: str, general: str, name: str, **kw) -> DataFrame:
-    """A model around the slice's own mean for the masked rows, the general prediction elsewhere."""
+def slice_specialist(train: DataFrame, apply_to: DataFrame, mask: Column, features: list[str], y: str, general: str, name: str, bounds: tuple[float, float] | None = None, **kw) -> DataFrame:
+    """A model around the slice's own mean for the masked rows, the general prediction elsewhere; ``bounds`` clips the specialist."""
     part = train.where(mask)
     centre = part.agg(F.avg(y)).scalar()
     centred = part.withColumn("_centre", centre)
     special = residual_boost(centred, apply_to.withColumn("_centre", centre), features, y, "_centre", "_special", **kw)
-    return special.withColumn(name, F.when(mask, clip(F.col("_special"), 0.0, 200000.0)).otherwise(F.col(general))).drop("_centre", "_special")
+    chosen = clip(F.col("_special"), *bounds) if bounds else F.col("_special")
+    return special.withColumn(name, F.when(mask, chosen).otherwise(F.col(general))).drop("_centre", "_special")
 
 
 def balanced_weight(flag: Column, share: Column) -> Column:
@@ -92,11 +94,16 @@ def tail_probability(train: DataFrame, apply_to: DataFrame, features: list[str],
 
 
 def propensity(train: DataFrame, apply_to: DataFrame, features: list[str], event: Column, name: str) -> DataFrame:
-    """Probability of selection from a logistic regression on standardised inputs."""
-    model = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=50, standardization=True).fit(
-        assemble(train.withColumn("_label", event.cast("double")), features)
-    )
-    return model.transform(assemble(apply_to, features)).select(*apply_to.columns, vector_to_array("probability")[1].alias(name))
+    """Probability of selection from a logistic regression on standardised inputs; a missing input is its mean, with a flag beside it."""
+    means = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first()
+
+    def filled(df: DataFrame) -> DataFrame:
+        values = {f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(means[c] or 0.0))) for c in features}
+        flags = {f"_m_{c}": F.col(c).isNull().cast("double") for c in features}
+        return VectorAssembler(inputCols=[*values, *flags], outputCol="_features").transform(df.withColumns(values | flags))
+
+    model = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=50, standardization=True).fit(filled(train.withColumn("_label", event.cast("double"))))
+    return model.transform(filled(apply_to)).select(*apply_to.columns, vector_to_array("probability")[1].alias(name))
 
 
 def seed_average(train: DataFrame, apply_to: DataFrame, features: list[str], y: str, base: str, seeds: list[int], name: str, **kw) -> DataFrame:
@@ -107,14 +114,13 @@ def seed_average(train: DataFrame, apply_to: DataFrame, features: list[str], y:
     return got.withColumn(name, mean_of([f"_p{s}" for s in seeds])).drop(*[f"_p{s}" for s in seeds])
 
 
-def isotonic(train: DataFrame, apply_to: DataFrame, x: str, y: str, name: str, step: float = 1.0) -> DataFrame:
-    """Monotone calibration of a score. Scores are read in whole steps, so the fit sees one weighted
-    point per step (at most 200,000) however many rows there are."""
-    at = F.round(clip(F.col(x), 0.0, 200000.0) / F.lit(step)) * F.lit(step)
-    points = train.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(at.alias("_at")).agg(F.avg(y).alias("_label"), F.count(F.lit(1)).cast("double").alias("_w"))
+def isotonic(train: DataFrame, apply_to: DataFrame, x: str, y: str, name: str) -> DataFrame:
+    """Monotone calibration of a score of any range. The fit sees one weighted point for each distinct finite score; rows without one get null."""
+    usable = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    points = train.where(usable(x) & usable(y)).groupBy(F.col(x).cast("double").alias("_at")).agg(F.avg(y).alias("_label"), F.count(F.lit(1)).cast("double").alias("_w"))
     model = IsotonicRegression(featuresCol="_at", labelCol="_label", weightCol="_w").fit(points)
-    got = model.transform(apply_to.withColumn("_at", F.coalesce(at, F.lit(0.0))))
-    return got.select(*apply_to.columns, F.when(F.col(x).isNotNull(), F.col("prediction")).alias(name))
+    got = model.transform(apply_to.withColumn("_at", F.when(usable(x), F.col(x).cast("double")).otherwise(F.lit(0.0))))
+    return got.select(*apply_to.columns, F.when(usable(x), F.col("prediction")).alias(name))
 
 
 def group_isotonic(train: DataFrame, apply_to: DataFrame, group: str, values: list, x: str, y: str, name: str) -> DataFrame:

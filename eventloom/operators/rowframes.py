@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.clock import col
 from eventloom.functions.arrays import array_mean, array_quantile, array_std
-from eventloom.operators.slices import Running, running, slice_width, time_slice, with_position
+from eventloom.operators.slices import Running, running, slice_width, solid_keys, time_slice, with_position
 from eventloom.operators.timeline import over_range
 
 
@@ -51,11 +51,17 @@ def over_rows(
     counts are then read from it, so a chain of calls does not repeat its own plan. ``spread_ties`` also
     spreads rows that share one time, for coarse clocks.
 
-    ``order`` starts with a microsecond column and is unique within a key. Every key is cut into chunks
+    ``order`` starts with a microsecond column and is unique within a key. All rows come back: a null key is a key of its
+    own, and rows without a time have null features and count for no other row. Every key is cut into chunks
     of equal row count; the last ``reach`` rows of a chunk are copied into the next one as context.
     """
     source = df if base is None else base
-    cut = _slice_of(source, order, slice_us)
+    cut = F.coalesce(_slice_of(source, order, slice_us), F.lit(0))
+    names = df.columns
+    df, keys_in = solid_keys(df, keys, order[0])
+    source, keys_in = solid_keys(source, keys, order[0])
+    timed = F.col(order[0]).isNotNull()
+    keys = keys_in
     placed = with_position(df.withColumn("_slice", cut), keys, order, "_slice", "_pos", source.withColumn("_slice", cut), spread_ties)
     at = F.col("_pos") - 1
     chunk = max(chunk or CHUNK_ROWS, reach + 1)
@@ -64,7 +70,7 @@ def over_rows(
     spread = placed.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
     rows = Rows(Window.partitionBy(*keys, "_chunk").orderBy("_pos"))
     done = spread.select(
-        *df.columns, "_home", "_chunk", *[make(rows).alias(n) for n, make in features.items()]
+        *names, "_home", "_chunk", *[F.when(timed, make(rows)).alias(n) for n, make in features.items()]
     )
     return done.where(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
 

@@ -21,6 +21,17 @@ UNBOUNDED = Window.unboundedPreceding
 ROWS_PER_SLICE = 200_000
 
 
+def solid_keys(df: DataFrame, keys: list[str], at: str) -> tuple[DataFrame, list[str]]:
+    """Key columns that hold no null: each key with a stand-in, and one number that says which keys, or the time, were null.
+
+    A null key is then a group of its own, and rows without a time are a group apart, so neither is lost in a join.
+    """
+    kinds = dict(df.dtypes)
+    plain = {f"_key{i}": F.coalesce(F.col(k), F.lit("1970-01-01" if kinds[k] in ("date", "timestamp", "timestamp_ntz") else "0" if kinds[k] != "boolean" else "false").cast(kinds[k])) for i, k in enumerate(keys)}
+    nulls = sum((F.when(F.col(k).isNull(), F.lit(2**i)).otherwise(F.lit(0)) for i, k in enumerate(keys + [at])), F.lit(0))
+    return df.withColumns(plain | {"_key_nulls": nulls}), [*plain, "_key_nulls"]
+
+
 def time_slice(at: Column, width: Column | int) -> Column:
     return whole_div(at, width)
 
@@ -174,9 +185,3 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     one = row.select(F.struct(*row.columns).alias("_row")).scalar()
     return df.withColumn("_row", one).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in row.columns])
 
-
-def with_totals(df: DataFrame, keys: list[str], totals: list[Column]) -> DataFrame:
-    """Attach whole-key aggregates by a join, so that no key is gathered in one window task."""
-    if not keys:
-        return attach_row(df, df.agg(*totals))
-    return df.join(df.groupBy(*keys).agg(*totals), keys, "left")

@@ -57,7 +57,3 @@ def domain_shift(train: DataFrame, val: DataFrame, columns: list[str]) -> DataFr
             )
         )
     return union_all(parts)
-
-
-def matching(df: DataFrame, predicate: Column) -> DataFrame:
-    return df.where(F.coalesce(predicate, F.lit(False)))

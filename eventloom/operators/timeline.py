@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.clock import col
-from eventloom.operators.slices import Running, running, slice_width, time_slice
+from eventloom.operators.slices import Running, running, slice_width, solid_keys, time_slice
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,10 @@ def _moments(stream: Stream, features: list[Feature]) -> DataFrame | None:
         cells += [(F.col("__tie") if -f.hi == off else F.lit(None)).alias(f"__tie_{f.name}") for f in lasts]
         options.append(F.struct(*cells))
     keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(stream.keys)]
-    measures = [stream.measures[m].alias(f"__m_{m}") for m in sorted({f.measure for f in mine})]
+    # what is not a finite number would stay in every later sum of its key: it counts as missing
+    summed = {f.measure for f in mine if f.agg == "sum"}
+    finite = lambda c: F.when(F.abs(c.cast("double")) < F.lit(float("inf")), c)
+    measures = [(finite(stream.measures[m]) if m in summed else stream.measures[m]).alias(f"__m_{m}") for m in sorted({f.measure for f in mine})]
     tie = (stream.tie if stream.tie is not None else F.lit(0)).alias("__tie")
     base = stream.df.where(F.col(stream.at).isNotNull()).select(*keys, F.col(stream.at).alias("__e"), *measures, tie)
     kept = [c for c in base.columns if c.startswith("__k")]
@@ -170,15 +173,18 @@ def over_range(
     """Append features over bounded time frames of the rows themselves (percentiles, lists).
 
     For frames whose aggregate cannot be built from per-time totals; cost grows with the frame, so the
-    look-back should stay short. Rows within ``reach`` of the next slice are copied into it as context.
+    look-back should stay short. All rows come back: a null key is a key of its own, rows without a time have null features. Rows within ``reach`` of the next slice are copied into it as context.
     """
+    names = df.columns
+    df, keys = solid_keys(df, keys, at)
     width = max(slice_us or 8 * reach, reach, 1)
-    home = time_slice(F.col(at), F.lit(width))
+    home = F.coalesce(time_slice(F.col(at), F.lit(width)), F.lit(0))
     nxt = F.col("_home") + 1
     copies = F.when(F.col(at) + F.lit(reach) >= nxt * F.lit(width), F.array("_home", nxt)).otherwise(F.array("_home"))
     spread = df.withColumn("_home", home).withColumn("_slice", F.explode(copies))
     ranges = Ranges(Window.partitionBy(*keys, "_slice").orderBy(at))
-    done = spread.select(*df.columns, "_home", "_slice", *[f(ranges).alias(n) for n, f in features.items()])
+    timed = F.col(at).isNotNull()
+    done = spread.select(*names, "_home", "_slice", *[F.when(timed, f(ranges)).alias(n) for n, f in features.items()])
     return done.where(F.col("_home") == F.col("_slice")).drop("_home", "_slice")
 
 

@@ -8,7 +8,7 @@ from eventloom.functions.clock import DAY, SECOND, seconds_between
 from eventloom.functions.rows import ratio
 from eventloom.operators import traffic
 from eventloom.operators.rowframes import over_rows
-from eventloom.operators.slices import time_slice, with_position
+from eventloom.operators.slices import slice_width, time_slice, with_position
 from eventloom.operators.timeline import Feature, before, closed, events, trailing, until
 from eventloom.plans.registry import query
 from eventloom.plans.tables import ins, moves, outs
@@ -94,7 +94,7 @@ def w07(spark, folder):
     """Lane memory; rows before the current one in sort order count even when their time is equal."""
     o = outs(spark, folder).select("id", "entity", "lane", "moved_us")
     keys = ["entity", "lane"]
-    placed = with_position(o.withColumn("_s", time_slice(F.col("moved_us"), 400 * DAY)), keys, ["moved_us", "id"], "_s", "pos")
+    placed = with_position(o.withColumn("_s", time_slice(F.col("moved_us"), slice_width([(o, "moved_us")]))), keys, ["moved_us", "id"], "_s", "pos")
     s = events(o, keys, "moved_us", n=F.lit(1))
     got = trailing(placed, keys, "moved_us", [s], [Feature("old_30", "sum", "n", None, -30 * DAY - 1), Feature("old_5", "sum", "n", None, -5 * DAY - 1)], base=o)
     got = over_rows(got, keys, ["moved_us", "id"], 1, {"gap": lambda r: seconds_between("moved_us", r.lag("moved_us"))}, base=o)
@@ -231,12 +231,14 @@ e AS (SELECT a.id, a.entity, a.moved_us, greatest((SELECT count(*) FROM m b WHER
     - (SELECT count(*) FROM m b WHERE b.entity = a.entity AND b.lane = a.lane AND b.moved_us < a.moved_us) - 1, 0) AS lane_queue,
   (SELECT count(*) FROM m b WHERE b.entity = a.entity AND b.start_us > a.moved_us - 5 * $DAY AND b.start_us <= a.moved_us) AS started_5d
   FROM m a)
-SELECT id, queue, lane_queue, started_5d, queue - lag(queue, 5) OVER o AS growth5, queue - lag(queue, 10) OVER o AS growth10
-FROM e WINDOW o AS (PARTITION BY entity ORDER BY moved_us, id)""",
+SELECT a.id, queue, lane_queue, started_5d, queue - lag(queue, 5) OVER o AS growth5, queue - lag(queue, 10) OVER o AS growth10,
+  round(queue / greatest(started_5d, 1), 6) AS queue_per_start
+FROM outs a LEFT JOIN e ON a.id = e.id WINDOW o AS (PARTITION BY a.entity ORDER BY a.moved_us, a.id)""",
 )
 def w19(spark, folder):
-    """Occupancy at completion by entity and lane, recent starts, growth against 5 and 10 rows back."""
-    o = outs(spark, folder).where("start_us IS NOT NULL").select("id", "entity", "lane", "moved_us", "start_us")
+    """Occupancy at completion by entity and lane, recent starts and the ratio, growth against 5 and 10 of all rows back."""
+    rows = outs(spark, folder).select("id", "entity", "lane", "moved_us", "start_us")
+    o = rows.where("start_us IS NOT NULL")
     begun = events(o, ["entity"], "start_us", b=F.lit(1))
     done = events(o, ["entity"], "moved_us", d=F.lit(1))
     got = trailing(
@@ -244,10 +246,12 @@ def w19(spark, folder):
         [Feature("_b", "sum", "b"), Feature("_d", "sum", "d"), until("started_5d", "sum", "b", 5 * DAY)],
     ).withColumn("queue", F.greatest(F.col("_b") - F.col("_d") - 1, F.lit(0)))
     got = traffic.occupancy(got, ["entity", "lane"], "moved_us", o, "start_us", "moved_us", "lane_queue", own=1, base=o)
+    got = rows.join(got.select("id", "queue", "lane_queue", "started_5d"), "id", "left")
     got = over_rows(
-        got, ["entity"], ["moved_us", "id"], 10, {f"growth{k}": (lambda r, k=k: F.col("queue") - r.lag("queue", k)) for k in (5, 10)}, base=o
+        got, ["entity"], ["moved_us", "id"], 10, {f"growth{k}": (lambda r, k=k: F.col("queue") - r.lag("queue", k)) for k in (5, 10)}, base=rows
     )
-    return got.select("id", "queue", "lane_queue", "started_5d", "growth5", "growth10")
+    per_start = F.round(F.col("queue") / F.greatest(F.col("started_5d"), F.lit(1)), 6)
+    return got.select("id", "queue", "lane_queue", "started_5d", "growth5", "growth10", per_start.alias("queue_per_start"))
 
 
 @query(
@@ -261,12 +265,13 @@ e AS (SELECT a.id, a.kind, a.start_us,
   (SELECT count(*) FROM m b WHERE b.entity = a.entity AND b.lane = a.lane AND b.moved_us > a.start_us - 30 * $DAY AND b.moved_us <= a.start_us) AS served_30d,
   (SELECT max_by(b.kind, (b.moved_us, b.id)) FROM m b WHERE b.entity = a.entity AND b.lane = a.lane AND b.moved_us < a.start_us) AS prev_kind
   FROM m a)
-SELECT id, active, active_lane, active - active_lane AS active_other, active_kind, served_30d, prev_kind, round(active_lane / greatest(served_30d, 0.5), 6) AS queue_service
-FROM e""",
+SELECT a.id, active, active_lane, active - active_lane AS active_other, active_kind, served_30d, prev_kind, round(active_lane / CASE WHEN served_30d < 0.5 THEN 0.5 ELSE served_30d END, 6) AS queue_service
+FROM outs a LEFT JOIN e ON a.id = e.id""",
 )
 def w20(spark, folder):
-    """Occupancy at the start clock by entity, lane and class, service counts, class of the previous completion."""
-    o = outs(spark, folder).where("start_us IS NOT NULL").select("id", "entity", "lane", "kind", "moved_us", "start_us")
+    """Occupancy at the start clock by entity, lane and class, service counts, class of the previous completion; null without that clock."""
+    rows = outs(spark, folder).select("id", "entity", "lane", "kind", "moved_us", "start_us")
+    o = rows.where("start_us IS NOT NULL")
     keys = ["entity", "lane"]
     got = traffic.occupancy(o, ["entity"], "start_us", o, "start_us", "moved_us", "active", through_now=True)
     begun = events(o, keys, "start_us", b=F.lit(1))
@@ -278,9 +283,10 @@ def w20(spark, folder):
     )
     got = traffic.occupancy(got, [*keys, "kind"], "start_us", o, "start_us", "moved_us", "active_kind", through_now=True, base=o)
     lane = F.col("_b") - F.col("_d")
+    got = rows.select("id").join(got.drop("entity", "lane", "kind", "moved_us", "start_us"), "id", "left")
     return got.select(
         "id", "active", lane.alias("active_lane"), (F.col("active") - lane).alias("active_other"), "active_kind", "served_30d", "prev_kind",
-        F.round(lane / F.greatest(F.col("served_30d").cast("double"), F.lit(0.5)), 6).alias("queue_service"),
+        F.round(lane / F.when(F.col("served_30d") < 0.5, F.lit(0.5)).otherwise(F.col("served_30d").cast("double")), 6).alias("queue_service"),
     )
 
 
@@ -291,11 +297,11 @@ e AS (SELECT a.id, count(b.id) AS n_prev, avg(b.p) AS p_mean FROM m a LEFT JOIN
 l AS (SELECT a.id, avg(b.p) AS p_lane FROM m a LEFT JOIN m b ON a.entity = b.entity AND a.lane = b.lane AND b.start_us >= a.start_us - 30 * $DAY AND b.start_us < a.start_us GROUP BY a.id),
 r AS (SELECT a.id, count(b.id) AS out_rate FROM m a LEFT JOIN m b ON a.entity = b.entity AND b.start_us > a.start_us - 5 * $DAY AND b.start_us <= a.start_us GROUP BY a.id),
 i AS (SELECT a.id, count(b.id) AS in_rate FROM m a LEFT JOIN ins b ON a.entity = b.entity AND b.moved_us > a.start_us - 5 * $DAY AND b.moved_us <= a.start_us GROUP BY a.id)
-SELECT id, n_prev, round(p_mean, 6) AS p_mean, round(p_lane, 6) AS p_lane, out_rate, in_rate, round(out_rate / (in_rate + 1), 6) AS out_in_ratio
-FROM e JOIN l USING (id) JOIN r USING (id) JOIN i USING (id)""",
+SELECT outs.id, n_prev, round(p_mean, 6) AS p_mean, round(p_lane, 6) AS p_lane, out_rate, in_rate, round(out_rate / (in_rate + 1), 6) AS out_in_ratio
+FROM outs LEFT JOIN e USING (id) LEFT JOIN l USING (id) LEFT JOIN r USING (id) LEFT JOIN i USING (id)""",
 )
 def w21(spark, folder):
-    """Bank at the start clock: strict trailing means of durations, start and arrival rates and their ratio."""
+    """Bank at the start clock: strict trailing means of durations, start and arrival rates and their ratio; null without that clock."""
     m = moves(spark, folder).select("id", "entity", "lane", "moved_us", "start_us", "phase", seconds_between("moved_us", "start_us").cast("double").alias("p"))
     o = m.where("phase = 'OUT' AND start_us IS NOT NULL")
     i = m.where("phase = 'IN'")
@@ -306,6 +312,7 @@ def w21(spark, folder):
     )
     keys = ["entity", "lane"]
     got = trailing(got, keys, "start_us", [events(o, keys, "start_us", n=F.lit(1), p="p")], [before("_ln", "sum", "n", 30 * DAY), before("_lp", "sum", "p", 30 * DAY)], base=o)
+    got = m.where("phase = 'OUT'").select("id").join(got.drop("entity", "lane", "moved_us", "start_us", "phase", "p"), "id", "left")
     return got.select(
         "id", "n_prev", F.round(ratio(F.col("_p"), F.col("n_prev")), 6).alias("p_mean"), F.round(ratio(F.col("_lp"), F.col("_ln")), 6).alias("p_lane"),
         "out_rate", "in_rate", F.round(F.col("out_rate") / (F.col("in_rate") + 1), 6).alias("out_in_ratio"),

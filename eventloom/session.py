@@ -6,8 +6,6 @@ import os
 
 from pyspark.sql import SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Set the SQL options the operators need; safe to call on a session somebody else made."""
@@ -36,8 +34,3 @@ def local_session(cores: str = "*", app: str = "eventloom", shuffle_partitions:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
-
-
-def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder named by the cluster, or ``fallback`` where none is named."""
-    return spark.conf.get(CHECKPOINT_KEY, None) or fallback

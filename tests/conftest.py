@@ -5,12 +5,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from eventloom.session import checkpoint_folder, local_session  # noqa: E402
+from eventloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session("4", "eventloom-tests", 4, "4g")
-    session.sparkContext.setCheckpointDir(checkpoint_folder(session, str(tmp_path_factory.mktemp("checkpoint"))))
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
