@@ -8,6 +8,7 @@ a bounded cache; only new words meet the tokenizer. Ids equal those of the whole
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
@@ -95,3 +96,9 @@ class Coder:
         upto = np.concatenate(([0], past))[np.cumsum([0] + sizes)]
         end = np.array([self.end_id], np.uint32)
         return [np.concatenate((ids[a:b], end)) for a, b in zip(upto[:-1], upto[1:])]
+
+
+@lru_cache(maxsize=1)
+def coder(path: str, end_id: int) -> Coder:
+    """The coder of this Python worker, with the words that its earlier tasks met."""
+    return Coder(path, end_id)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.coder import Coder
+from eventloom.llm.coder import coder
 from eventloom.llm.shared import id_or_none, texts
 from eventloom.llm.words import sliding
 
@@ -126,7 +126,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, shard = Coder(tokenizer, end_id), TaskContext.get().partitionId()
+        own, shard = coder(tokenizer, end_id), TaskContext.get().partitionId()
         chunk = before = size = 0
         ids: list[int] = []
         coded: list[np.ndarray] = []
@@ -135,7 +135,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             return pd.DataFrame({"shard": [shard], "chunk": [chunk], "before": [before], "n_ids": [size], "content": [chunk_bytes(ids, coded)]})
 
         for pdf in batches:
-            for i, x in zip(pdf["_id"], coder.encode(list(pdf["_text"]))):
+            for i, x in zip(pdf["_id"], own.encode(list(pdf["_text"]))):
                 ids.append(i)
                 coded.append(x)
                 size += len(x)

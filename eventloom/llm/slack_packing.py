@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.coder import Coder
+from eventloom.llm.coder import coder
 from eventloom.llm.shared import id_or_none, texts, written
 
 CAPACITY = 4096
@@ -90,10 +90,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(tokenizer, end_id)
+        own = coder(tokenizer, end_id)
         for pdf in batches:
             rows = []
-            for i, ids in zip(pdf["_id"], coder.encode(list(pdf["_text"]))):
+            for i, ids in zip(pdf["_id"], own.encode(list(pdf["_text"]))):
                 raw = ids.astype("<u4")
                 for at in range(0, len(raw), capacity):
                     part = raw[at : at + capacity]
