@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.shared import id_or_none, texts
-from eventloom.llm.words import window_hashes, word_hashes, words_of
+from eventloom.llm.words import mix, window_hashes, word_hashes, words_of
 
 WINDOW = 20
 LEAST_BITS, MOST_BITS, BLOCKS = 16, 28, 128
 #: Windows that a task gathers before it looks at them.
 CHUNK = 1_000_000
+#: Buckets of documents for each shuffle partition, by which starts to be removed are gathered.
+BUCKETS = 4
 
 
 def _cells(w: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -163,37 +165,92 @@ def _spread(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"_key": ids * 0x61C8864F + 1, "_more": np.zeros(len(ids), np.int64), "_id": ids, "_starts": parts})
 
 
-def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by window, document and start: all but the first of each window are removed."""
+def _packed(doc: np.ndarray, at: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Starts gathered by bucket of documents: a row a bucket, with its documents, how many starts each has, and the starts."""
+    bucket = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((at, doc, bucket))
+    bucket, doc, at = bucket[order], doc[order], at[order].astype("<i4")
+    fresh = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else [])
+    counts = np.diff(fresh, append=len(doc)).astype("<i4")
+    ids, of = doc[fresh].astype("<i8"), bucket[fresh]
+    edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else np.zeros(1, np.int64)
+    ends = np.concatenate((fresh, [len(doc)]))
+    rows = [(int(of[x]), ids[x:y].tobytes(), counts[x:y].tobytes(), at[ends[x] : ends[y]].tobytes()) for x, y in zip(edge[:-1], edge[1:])]
+    return pd.DataFrame(rows, columns=["_bucket", "_docs", "_counts", "_ats"])
+
+
+def _later(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by window, document and start: all but the first of each window are removed. They leave a task by bucket."""
     one, two, doc, at = (np.zeros(0, np.int64),) * 4
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for pdf in batches:
-        yield pdf.loc[pdf["_starts"].notna(), ["_id", "_starts"]]
+        known = pdf[pdf["_starts"].notna()]
+        if len(known):
+            starts = np.frombuffer(b"".join(known["_starts"]), "<i4").astype(np.int64)
+            held.append((np.repeat(known["_id"].to_numpy(), known["_starts"].map(len).to_numpy() // 4), starts))
+            size += len(starts)
         pdf = pdf[pdf["_starts"].isna()]
-        if not len(pdf):
-            continue
-        more = pdf["_more"].to_numpy()
-        # the last window's earliest row leads the next batch, so that its later rows are still known
-        o, w, d, a = (np.concatenate((x[:1], y)) for x, y in zip((one, two, doc, at), (pdf["_key"].to_numpy(), more >> 32, pdf["_id"].to_numpy(), more & 0xFFFFFFFF)))
-        fresh = np.concatenate(([True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])))
-        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        out = (d != d[first]) | (a != a[first])
-        yield _spread(d[out], a[out])[["_id", "_starts"]]
-        k = first[-1]
-        one, two, doc, at = o[k : k + 1], w[k : k + 1], d[k : k + 1], a[k : k + 1]
+        if len(pdf):
+            more = pdf["_more"].to_numpy()
+            # the last window's earliest row leads the next batch, so that its later rows are still known
+            o, w, d, a = (np.concatenate((x[:1], y)) for x, y in zip((one, two, doc, at), (pdf["_key"].to_numpy(), more >> 32, pdf["_id"].to_numpy(), more & 0xFFFFFFFF)))
+            fresh = np.concatenate(([True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])))
+            first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            out = (d != d[first]) | (a != a[first])
+            held.append((d[out], a[out]))
+            size += int(out.sum())
+            k = first[-1]
+            one, two, doc, at = o[k : k + 1], w[k : k + 1], d[k : k + 1], a[k : k + 1]
+        if size >= CHUNK:
+            yield _packed(*(np.concatenate(x) for x in zip(*held)), buckets)
+            held, size = [], 0
+    if size:
+        yield _packed(*(np.concatenate(x) for x in zip(*held)), buckets)
+
+
+def _by_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed rows sorted by bucket: each document's starts, as runs (first, one past the last); one bucket is held at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    bucket = None
+
+    def runs() -> pd.DataFrame:
+        doc, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order].astype(np.int64)
+        again = np.concatenate(([False], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])))
+        doc, at = doc[~again], at[~again]
+        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))))
+        tail = np.concatenate((head[1:], [len(doc)])) - 1
+        pairs, of = np.stack((at[head], at[tail] + 1), 1).astype("<i4"), doc[head]
+        cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        return pd.DataFrame({"_id": of[cut], "_runs": [x.tobytes() for x in np.split(pairs, cut[1:])]})
+
+    for pdf in batches:
+        for k, docs, counts, ats in zip(pdf["_bucket"], pdf["_docs"], pdf["_counts"], pdf["_ats"]):
+            if k != bucket and held:
+                yield runs()
+                held = []
+            bucket = k
+            held.append((np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<i4")), np.frombuffer(ats, "<i4")))
+    if held:
+        yield runs()
 
 
 def _cover(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for i, text, spans in zip(pdf["_id"], pdf["_text"], pdf["_all"]):
+        for i, text, runs in zip(pdf["_id"], pdf["_text"], pdf["_runs"]):
             words = words_of(text)
             kept = words
-            if spans is not None and len(spans):
+            if runs is not None and len(runs):
                 step = np.zeros(len(words) + 1, np.int64)
-                at = np.frombuffer(b"".join(spans), "<i4")
-                at = np.unique(at[at + window <= len(words)])
-                step[at] += 1
-                step[at + window] -= 1
+                first, past = np.frombuffer(runs, "<i4").reshape(-1, 2).T
+                # starts beyond the last window can only come from another text with this id
+                past = np.minimum(past, len(words) - window + 1)
+                first, past = first[first < past], past[first < past]
+                np.add.at(step, first, 1)
+                np.add.at(step, past + window - 1, -1)
                 covered = np.cumsum(step)[:-1] > 0
                 kept = [w for w, c in zip(words, covered) if not c]
             joined = b" ".join(kept)
@@ -221,7 +278,9 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame
     sketch = spark.sparkContext.broadcast([zlib.compress(b"".join(blocks.get(row * BLOCKS + k, bytes(width)) for k in range(BLOCKS)), 1) for row in (0, 1)])
     del blocks
     found = rows.mapInPandas(lambda b: _starts(b, window, bits, sketch), "_key bigint, _more bigint, _id bigint, _starts binary")
-    dealt = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_key").sortWithinPartitions("_key", F.shiftright("_more", 32), "_id", "_more")
-    spans = dealt.mapInPandas(_later, "_id bigint, _starts binary").groupBy("_id").agg(F.collect_list("_starts").alias("_all"))
-    out = rows.join(spans, "_id", "left").mapInPandas(lambda b: _cover(b, window), "_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartition(tasks, "_key").sortWithinPartitions("_key", F.shiftright("_more", 32), "_id", "_more")
+    packed = dealt.mapInPandas(lambda b: _later(b, BUCKETS * tasks), "_bucket int, _docs binary, _counts binary, _ats binary")
+    removed = packed.repartition(tasks, "_bucket").sortWithinPartitions("_bucket").mapInPandas(_by_document, "_id bigint, _runs binary")
+    out = rows.join(removed, "_id", "left").mapInPandas(lambda b: _cover(b, window), "_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     return out.select(id_or_none("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
