@@ -6,8 +6,6 @@ per group, never the rows.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,28 +100,44 @@ def group_bias(train: DataFrame, apply_to: DataFrame, keys: list[str], y: str, p
     return apply_to.join(g, keys, "left").withColumn(name, F.col(p) + F.coalesce("_bias", F.lit(0.0))).drop("_bias")
 
 
+def _nonnegative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The w >= 0 that minimises w'aw - 2b'w, by active sets."""
+    d = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    a, b = a / np.outer(d, d), b / d
+    w, active = np.zeros(len(b)), np.zeros(len(b), bool)
+    least = 1e-10 * max(float(np.abs(b).max()), 1e-300)
+    for _ in range(10 * len(b)):
+        gain = np.where(active, -np.inf, b - a @ w)
+        if gain.max() <= least:
+            break
+        active[gain.argmax()] = True
+        while active.any():
+            aim = np.zeros(len(b))
+            at = np.flatnonzero(active)
+            aim[at] = np.linalg.lstsq(a[np.ix_(at, at)], b[at], rcond=None)[0]
+            low = active & (aim <= 0)
+            if not low.any():
+                w = aim
+                break
+            step = (w[low] / np.maximum(w[low] - aim[low], 1e-300)).min()
+            w = w + step * (aim - w)
+            active &= w > 1e-14
+            w[~active] = 0.0
+    return w / d
+
+
 def nonnegative_weights(df: DataFrame, experts: list[str], y: str) -> dict[str, float]:
-    """Non-negative least-squares weights of a few experts, scaled to sum to one.
+    """Non-negative least-squares weights of experts, scaled to sum to one.
 
-    Spark sums the cross products; the best of the supports of at most six experts is then found exactly.
+    Spark sums the cross products (one number for each pair of experts); an active set is then solved on them: the expert that lowers
+    the error most joins, and those that its solution would turn negative leave on the way there.
     """
-    if len(experts) > 6:
-        raise ValueError("at most six experts")
     terms = [F.col(c).cast("double") for c in experts] + [F.col(y).cast("double")]
     flat = df.where(finite(*experts, y)).agg(F.array(*[F.sum(a * b) for i, a in enumerate(terms) for b in terms[i:]]).alias("g")).first()["g"]
+    if flat[0] is None:  # no usable row
+        return dict.fromkeys(experts, 0.0)
     m = _unpack(np.asarray(flat, dtype=float), len(terms))
-    a, b, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
-    best, best_error = np.zeros(len(experts)), yy
-    for size in range(1, len(experts) + 1):
-        for chosen in combinations(range(len(experts)), size):
-            at = list(chosen)
-            w = _scaled_solve(a[np.ix_(at, at)], b[at])
-            if (w < 0).any():
-                continue
-            error = yy - 2 * w @ b[at] + w @ a[np.ix_(at, at)] @ w
-            if error < best_error:
-                best, best_error = np.zeros(len(experts)), error
-                best[at] = w
+    best = _nonnegative(m[:-1, :-1], m[:-1, -1])
     total = best.sum()
     return {c: float(x / total) if total > 0 else 0.0 for c, x in zip(experts, best)}
 

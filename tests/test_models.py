@@ -21,6 +21,17 @@ def test_group_ols_and_nonnegative_weights(spark):
     mixed = df.select("a", (-F.col("a")).alias("c"), F.lit(3.0).alias("d"), (F.col("a") * 0.5 + 1.5).alias("y"))
     w = calib.nonnegative_weights(mixed, ["a", "c", "d"], "y")
     assert w["c"] == 0.0 and abs(w["a"] - 0.5) < 1e-6 and abs(w["d"] - 0.5) < 1e-6
+    assert calib.nonnegative_weights(mixed.where("a < 0"), ["a", "c"], "y") == {"a": 0.0, "c": 0.0}
+
+
+def test_nonnegative_active_set_is_the_best_support():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 8):
+        for _ in range(20):
+            x, y = rng.normal(size=(40, n)), rng.normal(size=40)
+            w = calib._nonnegative(x.T @ x, x.T @ y)
+            left = x.T @ (y - x @ w)
+            assert (w >= 0).all() and (left < 1e-6).all() and (np.abs(left[w > 0]) < 1e-6).all()
 
 
 def pool(y, w):
