@@ -49,10 +49,10 @@ class Machine:
         full = np.flatnonzero(sizes)
         if len(full):
             at = (np.cumsum(sizes) - sizes)[full]
-            v = self.vectors[flat]
+            v = self.vectors.take(flat, 0)
             total = np.add.reduceat(v, at)
-            pairs = ((total**2).sum(1) - np.add.reduceat((v**2).sum(1), at)) / 2
-            out[full] += np.add.reduceat(self.weights[flat], at) + pairs
+            pairs = ((total**2).sum(1) - np.add.reduceat(np.einsum("ij,ij->i", v, v), at)) / 2
+            out[full] += np.add.reduceat(self.weights.take(flat), at) + pairs
         return out
 
     def score(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -74,6 +74,7 @@ def learn(sets: list[np.ndarray], labels: np.ndarray, rounds: int | None = None,
     seen = np.bincount(np.concatenate(sets), minlength=size) >= max(SUPPORT, SHARE * len(sets))
     sets = [s[seen[s]] for s in sets]
     m.vectors[seen] = rng.normal(0, 0.01, (int(seen.sum()), FACTORS))
+    met, number = np.zeros(size, bool), np.zeros(size, np.int64)
     for _ in range(rounds):
         order = rng.permutation(len(sets))
         for k in range(0, len(order), batch):
@@ -82,18 +83,26 @@ def learn(sets: list[np.ndarray], labels: np.ndarray, rounds: int | None = None,
             flat = np.concatenate([sets[i] for i in some])
             if not len(flat):
                 continue
-            error = 1 / (1 + np.exp(-np.clip(m.raw(flat, sizes), -30, 30))) - labels[some]
+            v, w = m.vectors.take(flat, 0), m.weights.take(flat)
+            x, total = np.full(len(some), m.bias, np.float64), np.zeros((len(some), FACTORS), np.float32)
+            full = np.flatnonzero(sizes)
+            at = (np.cumsum(sizes) - sizes)[full]
+            total[full] = np.add.reduceat(v, at)
+            x[full] += np.add.reduceat(w, at) + ((total[full] ** 2).sum(1) - np.add.reduceat(np.einsum("ij,ij->i", v, v), at)) / 2
+            error = 1 / (1 + np.exp(-np.clip(x, -30, 30))) - labels[some]
             m.bias -= rate * float(error.sum()) / 10
             own = np.repeat(np.arange(len(some)), sizes)
-            total = np.zeros((len(some), FACTORS), np.float32)
-            full = np.flatnonzero(sizes)
-            total[full] = np.add.reduceat(m.vectors[flat], (np.cumsum(sizes) - sizes)[full])
-            f, at = np.unique(flat, return_inverse=True)
-            e = error[own].astype(np.float32)
-            g = np.bincount(at, e, len(f)).astype(np.float32) + shrink * m.weights[f]
+            met[flat] = True  # the batch's features in order, without a sort
+            f = np.flatnonzero(met)
+            met[f] = False
+            number[f] = np.arange(len(f))
+            at = number[flat]
+            e = np.bincount(at, error.take(own), len(f)).astype(np.float32)
+            g = e + shrink * m.weights[f]
             # d/dv = sum of errors times (the set's total less the feature's own vector)
-            push = e[:, None] * (total[own] - m.vectors[flat])
-            gv = np.stack([np.bincount(at, push[:, d], len(f)) for d in range(FACTORS)], 1).astype(np.float32) + shrink * m.vectors[f]
+            push = error[:, None] * total
+            gv = np.stack([np.bincount(at, push[:, d].take(own), len(f)) for d in range(FACTORS)], 1).astype(np.float32)
+            gv += (shrink - e[:, None]) * m.vectors[f]
             m.weights[f] -= rate * g
             m.vectors[f] -= 0.1 * rate * np.clip(gv, -1, 1)
     return m
