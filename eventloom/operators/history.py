@@ -80,8 +80,8 @@ def scale(df: DataFrame, columns: list[str], fitted: DataFrame, limit: float = 8
 
 
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """A repeatable random sample of ``n`` rows: the smallest hashes of (id, seed)."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    """A repeatable random sample of ``n`` rows: the smallest MD5 sums of "id:seed", ties by id."""
+    h = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
     return df.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h")
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.clock import date_of, epoch_us, month_of, seconds_between
 from eventloom.operators import history, profile, split
+from eventloom.operators.asof import keep_last
 from eventloom.plans.encode_queries import train_val
 from eventloom.plans.registry import query
 from eventloom.plans.tables import moves, outs, ticks
-from eventloom.sources.readers import read_guarded, read_table, split_by_phase
+from eventloom.sources.readers import join_filled, read_drifting, read_guarded, read_table, split_by_phase
+from eventloom.sources.weather import decode
 
 NULL_COLS = ["start_us", "filed_us", "lodged_us", "planned_us"]
 
@@ -142,9 +144,9 @@ def f05(spark, folder):
     return outs(spark, folder).groupBy("entity", "lane").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("max_y")).orderBy(F.col("max_y").desc(), "entity", "lane")
 
 
-@query("f08_seeded_sample")
+@query("f08_seeded_sample", "WITH $MOVES SELECT id, entity, y FROM outs ORDER BY md5(id || ':11'), id LIMIT 500")
 def f08(spark, folder):
-    """F8: repeatable random sample of a given size (the hash has no SQL twin; tested against its definition)."""
+    """F8: repeatable random sample of a given size."""
     return history.sample_rows(outs(spark, folder).select("id", "entity", "y"), "id", 500, 11)
 
 
@@ -192,3 +194,39 @@ def s03(spark, folder):
     return out.unionByName(inc).groupBy("phase", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s05_keep_last", "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC) = 1")
+def s05(spark, folder):
+    """Of rows with the same key the last one stays."""
+    li = read_table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate"])
+    return keep_last(li, ["l_orderkey"], F.struct("l_shipdate", "l_linenumber", "l_suppkey", "l_quantity")).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+
+
+@query("s06_drifting_union", """WITH u AS (SELECT doc_id, lang, NULL::BIGINT AS toxic FROM documents UNION ALL SELECT doc_id, NULL, toxic FROM labels)
+SELECT lang, toxic, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM u GROUP BY lang, toxic""")
+def s06(spark, folder):
+    """Files whose columns differ, as one table with typed nulls."""
+    u = read_drifting(spark, [f"{folder}/documents.parquet", f"{folder}/labels.parquet"], {"doc_id": "bigint", "lang": "string", "toxic": "bigint"})
+    return u.groupBy("lang", "toxic").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@query("s07_attributes_filled", """WITH s AS (SELECT s_suppkey, s_acctbal FROM supplier WHERE s_nationkey < 20)
+SELECT l_orderkey, l_linenumber, l_suppkey, round(coalesce(s_acctbal, (SELECT avg(s_acctbal) FROM s)), 4) AS balance FROM lineitem LEFT JOIN s ON l_suppkey = s_suppkey""")
+def s07(spark, folder):
+    """Attributes of a reference table; entities it lacks take the mean."""
+    s = read_table(spark, folder, "supplier").where("s_nationkey < 20").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("balance"))
+    li = read_table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey"])
+    return join_filled(li, s, ["l_suppkey"], ["balance"]).select("l_orderkey", "l_linenumber", "l_suppkey", F.round("balance", 4).alias("balance"))
+
+
+@query("p17_code_flags", """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS c, p_size / 10.0 AS v, CASE WHEN p_size % 3 > 0 THEN p_size END AS s, CASE WHEN p_size % 4 > 0 THEN p_size - 30 END AS p FROM part)
+SELECT p_partkey, coalesce(v < 1, false)::INT AS low_visibility, (coalesce(upper(c), '') LIKE '%FG%' OR coalesce(v < 0.5, false))::INT AS fog,
+  (regexp_matches(coalesce(upper(c), ''), 'RA|SN|DZ|SH|TS|GR|PL|IC') OR coalesce(p > 0, false))::INT AS wet, coalesce(s >= 20, false)::INT AS strong_wind FROM r""")
+def p17(spark, folder):
+    """Flags from report codes and measures, with codes and measures missing in places."""
+    p = read_table(spark, folder, "part", ["p_partkey", "p_type", "p_size"])
+    some = lambda test, c: F.when(test, c)
+    reports = p.select(
+        "p_partkey", some(F.col("p_partkey") % 5 > 0, F.col("p_type")).alias("wxcodes"), (F.col("p_size") / 10).alias("vsby"),
+        some(F.col("p_size") % 3 > 0, F.col("p_size")).alias("sknt"), some(F.col("p_size") % 4 > 0, F.col("p_size") - 30).alias("p01i"),
+    )
+    return decode(reports).select("p_partkey", "low_visibility", "fog", "wet", "strong_wind")

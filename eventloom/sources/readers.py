@@ -13,15 +13,9 @@ from pyspark.sql import types as T
 REFUSED_WORDS = ("ranking", "submitting", "submission", "test", "eval")
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """One parquet table; its schema is read from the footer once per process and then declared."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """One parquet table, with the schema its footer has now."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
@@ -58,17 +52,18 @@ def read_csv_tolerant(
     """CSV files read by header name; missing columns become typed nulls and bad cells become null.
 
     Every file's header is read on its own (one line per file), so column order and presence may differ
-    between files. ``_file`` keeps the source path and ``_line`` the order within the scan.
+    between files. ``_place`` is a path's place in ``paths``, ``_file`` the file, ``_block`` where the file's split starts, and
+    ``_line`` grows with the lines of a split: in this order they are the order of reading.
     """
     formats = time_formats or {}
     parts = []
-    for path in paths:
+    for place, path in enumerate(paths):
         raw = spark.read.option("header", True).option("comment", comment).option("mode", "PERMISSIVE").csv(path)
         have = {c.strip().lower(): c for c in raw.columns}
         lost = [c for c in required if c.lower() not in have]
         if lost:
             raise ValueError(f"{path}: header lacks {lost}")
-        raw = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_line", F.monotonically_increasing_id())
+        raw = raw.withColumns({"_place": F.lit(place), "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
         cells = []
         for name, kind in fields.items():
             source = have.get(name.lower())
@@ -78,7 +73,7 @@ def read_csv_tolerant(
             text = F.trim(F.col(f"`{source}`"))
             text = F.when(text.isin(*null_values), None).otherwise(text)
             cells.append(_typed(text, kind, formats.get(name)).alias(name))
-        parts.append(raw.select(*cells, "_file", "_line"))
+        parts.append(raw.select(*cells, "_place", "_file", "_block", "_line"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -24,10 +24,8 @@ FLAGS = ["low_visibility", "fog", "wet", "strong_wind"]
 def read_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Reports of several overlapping files; of equal (station, time) the last one read is kept."""
     raw = read_csv_tolerant(spark, paths, REPORT_FIELDS, time_formats={"valid": REPORT_TIME}, required=("station", "valid"))
-    order = F.array(*[F.lit(p) for p in paths])
-    place = F.array_position(F.transform(order, lambda p: F.col("_file").endswith(p)), True)
     kept = raw.where(F.col("valid").isNotNull() & F.col("station").isNotNull())
-    return keep_last(kept, ["station", "valid"], F.struct(place, F.col("_line"))).drop("_file", "_line")
+    return keep_last(kept, ["station", "valid"], F.struct("_place", "_file", "_block", "_line")).drop("_place", "_file", "_block", "_line")
 
 
 def decode(reports: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_csv_table(df: DataFrame, path: str) -> None:
-    """A result table as one CSV file; meant for tables of report size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A result table as CSV, a file for each partition of its own, so that no task gathers it."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json_result(df: DataFrame, path: str) -> None:
-    """Metric rows as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Metric rows as JSON lines, a file for each partition."""
+    df.write.mode("overwrite").json(path)
 
 
 def splice(base: DataFrame, patch: DataFrame, key: str, value: str) -> DataFrame:
