@@ -14,6 +14,8 @@ from eventloom.plans.tables import ticks
 
 FEATURES = ["late", "taken", "hour", "month", "slot", "carrier", "kind"]
 SMALL = {"rounds": 4, "depth": 3}
+#: The entities that ``tables.moves`` makes.
+ENTITIES = list(range(10))
 
 
 def data(spark, folder):
@@ -23,10 +25,10 @@ def data(spark, folder):
 
 @query("m06_isotonic")
 def m06(spark, folder):
-    """M6: monotone calibration, global and for two entities."""
+    """M6: monotone calibration, global and for every entity."""
     tr, va = data(spark, folder)
     got = boost.isotonic(tr, va, "late", "y", "iso")
-    got = boost.group_isotonic(tr, got, "entity", [1, 2], "late", "y", "iso_entity")
+    got = boost.group_isotonic(tr, got, "entity", ENTITIES, "late", "y", "iso_entity")
     return got.select("id", "late", F.round("iso", 4).alias("iso"), F.round("iso_entity", 4).alias("iso_entity"))
 
 
@@ -42,7 +44,7 @@ def m07(spark, folder):
 def m08(spark, folder):
     """M8: one expert per entity with enough rows, the pooled one for the rest."""
     tr, va = data(spark, folder)
-    return boost.entity_experts(tr, va, "entity", [0, 1], 300, FEATURES, "y", "base", "p", **SMALL).select("id", "entity", F.round("p", 4).alias("p"))
+    return boost.entity_experts(tr, va, "entity", ENTITIES, 300, FEATURES, "y", "base", "p", **SMALL).select("id", "entity", F.round("p", 4).alias("p"))
 
 
 @query("m09_slice_specialist")
