@@ -2,7 +2,7 @@
 
 A text's template has typed placeholders for what a question can be re-parameterised with: numbers, units behind a number, and
 names (capitalised words that do not begin a sentence). Windows of WINDOW template words are hashed and joined with those of the
-benchmark items. Matched windows of one document and item on one diagonal (the offset between both) are a match; it counts when it covers LEAST_WORDS words
+benchmark items; a window with more than MOST_SLOTS slots, or nothing else, is hashed by its literal words, so verbatim text always meets. Matched windows of one document and item on one diagonal (the offset between both) are a match; it counts when it covers LEAST_WORDS words
 or a whole shorter item. Then the slots are compared: an item's value must stand for one value of the document throughout and the
 other way round, so a re-parameterised question is caught, and text that only looks alike is not.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.shared import id_or_none, texts
 
 WINDOW = 8
-#: Words that a match covers at least, and the most slots in a window: more would match on form alone.
+#: Words that a match covers at least, and the most slots in a template window: more would match on form alone.
 LEAST_WORDS, MOST_SLOTS = 13, 4
 #: Benchmark windows up to which their hashes are sent to every executor (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -49,19 +49,25 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 2)).otherwise(w)))
 
 
-def window_hashes(hashes: Column, k: int | Column) -> Column:
-    """Hash of every k consecutive entries; empty where there are fewer."""
-    n = F.size(hashes) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, k)))).otherwise(F.array().cast("array<bigint>"))
+def _n_slots(words: Column) -> Column:
+    return F.size(F.filter(words, _is_slot))
+
+
+def window_hashes(words: Column, hashes: Column, k: int | Column) -> Column:
+    """Hash of every k consecutive words, by ``hashes`` of their template; windows that have too many slots for it, which would match on
+    form alone, by their literal words. Empty where there are fewer words."""
+    n = F.size(words) - k + 1
+    few = lambda i: _n_slots(F.slice(words, i, k)) <= F.least(F.lit(MOST_SLOTS), (k if isinstance(k, Column) else F.lit(k)) - 1)
+    literal = lambda i: F.transform(F.slice(words, i, k), lambda w: F.when(_is_slot(w), F.substring(w, 3, 1 << 30)).otherwise(w))
+    hashed = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(few(i), F.xxhash64(F.slice(hashes, i, k))).otherwise(F.xxhash64(literal(i))))
+    return F.when(n > 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
 def _benchmark_windows(items: DataFrame) -> DataFrame:
     """(item, _k, _h, _ipos): windows of each item; an item shorter than WINDOW is one window of its own length."""
     k = F.least(F.size("_iw"), F.lit(WINDOW))
     rows = items.where(F.size("_iw") > 0).withColumn("_k", k).withColumn("_it", template(F.col("_iw")))
-    rows = rows.select("_item", "_iw", "_k", F.posexplode(window_hashes(F.col("_it"), F.col("_k"))).alias("_ipos", "_h"))
-    slots = F.size(F.filter(F.slice("_iw", F.col("_ipos") + 1, F.col("_k")), _is_slot))
-    return rows.where((slots <= MOST_SLOTS) & (slots < F.col("_k"))).select("_item", "_k", "_h", "_ipos")
+    return rows.select("_item", "_k", F.posexplode(window_hashes(F.col("_iw"), F.col("_it"), F.col("_k"))).alias("_ipos", "_h"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,14 +86,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = {r["_k"]: r["n"] for r in windows.groupBy("_k").agg(F.count("*").alias("n")).collect()}  # WINDOW rows at most
     if not sizes:
         sizes = {WINDOW: 0}
-    hashed = rows.select("_id", template(tagged_words(F.col("_text"))).alias("_t"))
+    hashed = rows.select("_id", tagged_words(F.col("_text")).alias("_w")).withColumn("_t", template(F.col("_w")))
     # one branch, or a few where the benchmark has items shorter than a window
-    mine = reduce(DataFrame.union, [hashed.select("_id", F.lit(k).alias("_k"), F.posexplode(window_hashes(F.col("_t"), k)).alias("_pos", "_h")) for k in sorted(sizes)])
+    mine = reduce(DataFrame.union, [hashed.select("_id", F.lit(k).alias("_k"), F.posexplode(window_hashes(F.col("_w"), F.col("_t"), k)).alias("_pos", "_h")) for k in sorted(sizes)])
     theirs = F.broadcast(windows) if sum(sizes.values()) <= BROADCAST_WINDOWS else windows
     hits = mine.join(theirs, ["_k", "_h"]).groupBy("_id", "_item", (F.col("_pos") - F.col("_ipos")).alias("_diagonal"))
-    matches = hits.agg(F.min("_ipos").alias("_first"), (F.max(F.col("_ipos") + F.col("_k"))).alias("_past"), F.countDistinct("_ipos").alias("_windows"), F.max("_k").alias("_width"))
-    # the words that matched windows cover, at least: all but a width less one are window starts
-    matches = matches.withColumn("_words", F.col("_windows") + F.col("_width") - 1).join(items, "_item")
+    matches = hits.agg(F.min("_ipos").alias("_first"), (F.max(F.col("_ipos") + F.col("_k"))).alias("_past"), F.collect_set("_ipos").alias("_starts"), F.max("_k").alias("_width"))
+    # the words that matched windows cover; the starts are as many as the item has windows at most
+    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + F.col("_width") - 1))))
+    matches = matches.withColumn("_words", F.size(covered)).drop("_starts").join(items, "_item")
     matches = matches.where(F.col("_words") >= F.least(F.lit(LEAST_WORDS), F.size("_iw")))
     both = rows.join(matches, "_id").withColumn("_dw", tagged_words(F.col("_text")))
     # cut both word lists to the match, then pair them: no lambda looks at a whole text

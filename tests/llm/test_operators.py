@@ -253,6 +253,27 @@ def test_template_leaks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in template_leaks.leaks(d.union(d), b.union(b)).collect()} == set(got)
 
 
+def leak_pairs(spark, docs, items):
+    d = prepare(spark).createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in template_leaks.leaks(d, b).collect()}
+
+
+def test_leaks_full_of_slots(spark):
+    """Items whose windows are mostly slots are found verbatim, and not by their form."""
+    items = {
+        "sum": "Solve 3x + 4y = 12, 5x - 2y = 8",
+        "list": "Which of these is the largest: 1,204,500 or 1,240,500 or 1,024,500 or 1,250,400?",
+        "table": "12 15 18 21 24 27 30 33 36 39 42 45 48 51 54 57",
+        "date": "2024-01-05 10.0.0.1",
+    }
+    docs = [(i, f"some words before. {t} and some behind") for i, t in enumerate(items.values())]
+    docs += [(9, "some words before. 92 95 98 91 94 97 90 93 96 99 92 95 98 91 94 97 and 2023-02-06 10.0.0.2")]
+    got = leak_pairs(spark, docs, list(items.items()))
+    assert set(got) == set(enumerate(items))
+    assert all(r["coverage"] == 1 and not r["reparameterised"] for r in got.values())
+
+
 @pytest.mark.parametrize("capacity", [4096, 4])
 def test_exact_duplicates(docs, texts, empty, capacity):
     norm = {i: SPACE.sub(" ", t or "") for i, t in texts.items()}
