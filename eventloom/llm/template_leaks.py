@@ -1,16 +1,17 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
-A text's template has typed placeholders for what a question can be re-parameterised with: numbers, units behind a number, and
-names (capitalised words that do not begin a sentence). Windows of WINDOW template words are hashed and joined with those of the
-benchmark items; a window with more than MOST_SLOTS slots, or nothing else, is hashed by its literal words, so verbatim text always meets. Matched windows of one document and item on one diagonal (the offset between both) are a match; it counts when it covers LEAST_WORDS words
-or a whole shorter item. Then the slots are compared: an item's value must stand for one value of the document throughout and the
-other way round, so a re-parameterised question is caught, and text that only looks alike is not.
+A text's template has typed placeholders for what a question can be re-parameterised with: numbers (one with its separators),
+units behind a number, and names (runs of capitalised words on a line, function words apart, wherever they stand). A text has two
+readings: by case, with names, and without case, where names are words like others, so that a copy in other case is found too.
+Windows of WINDOW template words are hashed and joined with those of the benchmark items; a window with more than MOST_SLOTS slots,
+or nothing else, is hashed by its literal words, so verbatim text always meets. Matched windows of one document and item on one
+diagonal (the offset between both) are a match; it counts when it covers LEAST_WORDS words or a whole shorter item. Then the slots
+are compared: an item's value must stand for one value of the document throughout and the other way round, so a re-parameterised
+question is caught, and text that only looks alike is not.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,46 +29,95 @@ UNITS = (
     "kilograms kilogram grams gram pounds pound ounces ounce tons tonnes liters litres liter litre gallons gallon hours hour minutes minute seconds second days day "
     "weeks week months month years year dollars dollar cents cent euros euro percent degrees degree km cm mm kg mg lb lbs oz ml mph kmh"
 ).split()
-MARK = "\u0001"
+#: Function words (English, Spanish, German, French) that may begin a sentence and are no part of a name.
+FUNCTION_WORDS = (
+    "a an the this that these those in on at by for from to of with without into after before during between under over about as if when while where which who whom whose what why how "
+    "and or but so then there here it its he she they we you his her their our your is are was were do does did can could will would should may must has have had let find solve "
+    "el la los las un una unos unas en de del al con sin por para si cuando donde que como y o pero se su sus es son der die das ein eine im am von zu mit ohne wenn wann wo wer wie und oder aber "
+    "le les une dans du des au aux avec sans pour par sur quand est sont et ou mais il elle ils elles"
+).split()
+#: First characters of a slot, the sign between a name's words, and the one in place of a number's separators.
+MARK, JOIN, POINT = "\u0001", "\u0002", "\u0003"
+#: The readings of a text.
+BY_CASE, CASELESS = 1, 0
+
+
+def _tagged(text: Column) -> Column:
+    """The text in lower case; a slot is the mark, its type (n name, s name behind the end of a sentence, d number, u unit) and its value."""
+    space = r"[\x20\x09-\x0D]+"
+    name = rf"(?=\p{{Lu}}\p{{Ll}})(?!(?i:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}\p{{N}}]))"
+    t = F.translate(text, MARK + JOIN + POINT, "   ")
+    t = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", POINT)
+    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},;])({space}){name}", f"$1{MARK}n")
+    t = F.regexp_replace(t, rf"(?<!\p{{L}}){name}", f"{MARK}s")
+    # a run of names on one line is one; its first word says nothing of a sentence's begin any more
+    t = F.regexp_replace(t, rf"(?=[\x20\x09]+{MARK}[ns])(?<={MARK}[ns]\p{{L}}{{1,60}})[\x20\x09]+{MARK}[ns]", JOIN)
+    t = F.regexp_replace(t, rf"{MARK}s(?=\p{{L}}+{JOIN})", f"{MARK}n")
+    t = F.regexp_replace(t, rf"(\p{{N}}[\p{{N}}{POINT}]*)", f" {MARK}d$1 ")
+    return F.regexp_replace(F.lower(t), rf"({MARK}d[\p{{N}}{POINT}]+[\x20-]+)(?:{MARK}[ns])?(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f"$1{MARK}u")
 
 
-def tagged_words(text: Column) -> Column:
-    """Words in lower case without signs; a slot is the mark, its type (n name, d number, u unit) and its value."""
-    t = F.regexp_replace(text, MARK, " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;])([\x20\x09-\x0D]+)(?=\p{Lu}\p{Ll})", f"$1{MARK}n")
-    t = F.regexp_replace(t, r"(\p{N}+)", f" {MARK}d$1 ")
-    t = F.regexp_replace(F.lower(t), rf"({MARK}d\p{{N}}+[\x20-]+)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f"$1{MARK}u")
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{N}}{MARK}]+"), lambda w: w != "")
+def tagged_words(tagged: Column, reading: int) -> Column:
+    """Words in lower case without signs, of a text from ``_tagged``; without case names are plain words."""
+    t = tagged if reading == BY_CASE else F.translate(F.regexp_replace(tagged, f"{MARK}[ns]", ""), JOIN, " ")
+    return F.filter(F.split(t, rf"[^\p{{L}}\p{{N}}{MARK}{JOIN}{POINT}]+"), lambda w: w != "")
 
 
 def _is_slot(w: Column) -> Column:
     return F.startswith(w, F.lit(MARK))
 
 
+def _literal(w: Column) -> Column:
+    return F.when(_is_slot(w), F.substring(w, 3, 1 << 30)).otherwise(w)
+
+
+def _begins(w: Column) -> Column:
+    return F.startswith(w, F.lit(MARK + "s"))
+
+
 def template(words: Column) -> Column:
     """Hashes of the template's words: a slot counts by its type only."""
-    return F.transform(words, lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 2)).otherwise(w)))
+    return F.transform(words, lambda w: F.xxhash64(F.when(_begins(w), F.lit(MARK + "n")).when(_is_slot(w), F.substring(w, 1, 2)).otherwise(w)))
+
+
+def _dense_starts(words: Column, k: Column, most: Column) -> Column:
+    """Starts of the windows of k words that hold more than ``most`` slots, from the places of the slots."""
+    slots = F.array_compact(F.transform(words, lambda w, i: F.when(_is_slot(w), i)))
+    # the slot ``most`` places further, bound beside each: a lambda that named the array would compute it anew for every slot
+    span = lambda p, q: F.sequence(F.greatest(q - k + 1, F.lit(0)), F.least(p, F.size(words) - k))
+    starts = F.zip_with(slots, F.slice(slots, most + 1, F.size(words)), lambda p, q: F.when(q - p < k, span(p, q)).otherwise(F.array().cast("array<int>")))
+    return F.array_distinct(F.flatten(starts))
 
 
-def _n_slots(words: Column) -> Column:
-    return F.size(F.filter(words, _is_slot))
+def windows_of(words: Column, hashes: Column, k: int | Column, reading: int, both: bool = True) -> Column:
+    """(_pos, _h) of every k consecutive words, hashed by ``hashes`` of their template. Windows with too many slots for it, which
+    would match on form alone, take names at the begin of a sentence as words, and if that is not enough, every slot. Empty where
+    there are fewer words. With ``both`` these windows come by their template too, which meets none of the other side's."""
+    k = k if isinstance(k, Column) else F.lit(k)
+    n, most = F.size(words) - k + 1, F.least(F.lit(MOST_SLOTS), k - 1)
 
+    def plain(i: Column) -> Column:
+        return F.struct(i.alias("_pos"), F.xxhash64(F.lit(reading), k, F.slice(hashes, i + 1, k)).alias("_h"))
 
-def window_hashes(words: Column, hashes: Column, k: int | Column) -> Column:
-    """Hash of every k consecutive words, by ``hashes`` of their template; windows that have too many slots for it, which would match on
-    form alone, by their literal words. Empty where there are fewer words."""
-    n = F.size(words) - k + 1
-    few = lambda i: _n_slots(F.slice(words, i, k)) <= F.least(F.lit(MOST_SLOTS), (k if isinstance(k, Column) else F.lit(k)) - 1)
-    literal = lambda i: F.transform(F.slice(words, i, k), lambda w: F.when(_is_slot(w), F.substring(w, 3, 1 << 30)).otherwise(w))
-    hashed = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(few(i), F.xxhash64(F.slice(hashes, i, k))).otherwise(F.xxhash64(literal(i))))
-    return F.when(n > 0, hashed).otherwise(F.array().cast("array<bigint>"))
+    def dense(i: Column) -> Column:
+        cut = F.slice(words, i + 1, k)
+        h = F.xxhash64(F.lit(reading), k, F.transform(cut, _literal))
+        if reading == BY_CASE:
+            few = F.size(F.filter(cut, lambda w: _is_slot(w) & ~_begins(w))) <= most
+            h = F.when(few, F.xxhash64(F.lit(reading), k, template(F.transform(cut, lambda w: F.when(_begins(w), _literal(w)).otherwise(w))))).otherwise(h)
+        return F.struct(i.alias("_pos"), h.alias("_h"))
+
+    starts, full = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), _dense_starts(words, k, most)
+    all_ = F.concat(F.transform(starts if both else F.array_except(starts, full), plain), F.transform(full, dense))
+    return F.when(n > 0, all_).otherwise(F.array().cast("array<struct<_pos:int,_h:bigint>>"))
 
 
 def _benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item, _k, _h, _ipos): windows of each item; an item shorter than WINDOW is one window of its own length."""
+    """(item, _reading, _k, _h, _ipos): windows of each item's readings; one shorter than WINDOW is one window of its own length."""
     k = F.least(F.size("_iw"), F.lit(WINDOW))
     rows = items.where(F.size("_iw") > 0).withColumn("_k", k).withColumn("_it", template(F.col("_iw")))
-    return rows.select("_item", "_k", F.posexplode(window_hashes(F.col("_iw"), F.col("_it"), F.col("_k"))).alias("_ipos", "_h"))
+    of = F.when(F.col("_reading") == BY_CASE, windows_of(F.col("_iw"), F.col("_it"), F.col("_k"), BY_CASE, False)).otherwise(windows_of(F.col("_iw"), F.col("_it"), F.col("_k"), CASELESS, False))
+    return rows.select("_item", "_reading", "_k", F.explode(of).alias("_w")).select("_item", "_reading", "_k", F.col("_w._pos").alias("_ipos"), F.col("_w._h").alias("_h"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,31 +130,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     either side gives an empty result.
     """
     rows = texts(docs)
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("_item"), tagged_words(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("_iw")).dropDuplicates()
+    items = benchmark.select(benchmark["item_id"].cast("string").alias("_item"), _tagged(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("_it"))
     items = items.withColumn("_item", F.coalesce("_item", F.lit(MARK)))
+    caseless = items.select("_item", F.lit(CASELESS).alias("_reading"), tagged_words(F.col("_it"), CASELESS).alias("_iw"))
+    # without names both readings are one
+    by_case = items.where(F.col("_it").rlike(f"{MARK}[ns]")).select("_item", F.lit(BY_CASE).alias("_reading"), tagged_words(F.col("_it"), BY_CASE).alias("_iw"))
+    items = caseless.union(by_case).dropDuplicates().withColumn("_iz", F.transform("_iw", lambda w: F.size(F.split(w, JOIN))))
     windows = _benchmark_windows(items)
-    sizes = {r["_k"]: r["n"] for r in windows.groupBy("_k").agg(F.count("*").alias("n")).collect()}  # WINDOW rows at most
+    sizes = {(r["_reading"], r["_k"]): r["n"] for r in windows.groupBy("_reading", "_k").agg(F.count("*").alias("n")).collect()}  # 2 * WINDOW rows at most
     if not sizes:
-        sizes = {WINDOW: 0}
-    hashed = rows.select("_id", tagged_words(F.col("_text")).alias("_w")).withColumn("_t", template(F.col("_w")))
-    # one branch, or a few where the benchmark has items shorter than a window
-    mine = reduce(DataFrame.union, [hashed.select("_id", F.lit(k).alias("_k"), F.posexplode(window_hashes(F.col("_w"), F.col("_t"), k)).alias("_pos", "_h")) for k in sorted(sizes)])
+        sizes = {(CASELESS, WINDOW): 0}
+    hashed = rows.select("_id", _tagged(F.col("_text")).alias("_t"))
+    readings = sorted({r for r, _ in sizes})
+    hashed = hashed.select("_id", *[tagged_words(F.col("_t"), r).alias(f"_w{r}") for r in readings])
+    hashed = hashed.select("*", *[template(F.col(f"_w{r}")).alias(f"_t{r}") for r in readings])
+    mine = hashed.select("_id", F.explode(F.concat(*[windows_of(F.col(f"_w{r}"), F.col(f"_t{r}"), k, r) for r, k in sorted(sizes)])).alias("_w")).select("_id", "_w._pos", "_w._h")
     theirs = F.broadcast(windows) if sum(sizes.values()) <= BROADCAST_WINDOWS else windows
-    hits = mine.join(theirs, ["_k", "_h"]).groupBy("_id", "_item", (F.col("_pos") - F.col("_ipos")).alias("_diagonal"))
+    hits = mine.join(theirs, "_h").groupBy("_id", "_item", "_reading", (F.col("_pos") - F.col("_ipos")).alias("_diagonal"))
     matches = hits.agg(F.min("_ipos").alias("_first"), (F.max(F.col("_ipos") + F.col("_k"))).alias("_past"), F.collect_set("_ipos").alias("_starts"), F.max("_k").alias("_width"))
     # the words that matched windows cover; the starts are as many as the item has windows at most
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + F.col("_width") - 1))))
-    matches = matches.withColumn("_words", F.size(covered)).drop("_starts").join(items, "_item")
-    matches = matches.where(F.col("_words") >= F.least(F.lit(LEAST_WORDS), F.size("_iw")))
-    both = rows.join(matches, "_id").withColumn("_dw", tagged_words(F.col("_text")))
+    matches = matches.withColumn("_covered", covered).drop("_starts").join(items, ["_item", "_reading"])
+    total = F.aggregate("_iz", F.lit(0), lambda n, z: n + z)
+    matches = matches.withColumn("_words", F.aggregate("_covered", F.lit(0), lambda n, p: n + F.element_at("_iz", p + 1))).withColumn("_total", total)
+    matches = matches.where(F.col("_words") >= F.least(F.lit(LEAST_WORDS), F.col("_total")))
+    tagged = rows.join(matches, "_id").withColumn("_t", _tagged(F.col("_text")))
+    both = tagged.withColumn("_dw", F.when(F.col("_reading") == BY_CASE, tagged_words(F.col("_t"), BY_CASE)).otherwise(tagged_words(F.col("_t"), CASELESS)))
     # cut both word lists to the match, then pair them: no lambda looks at a whole text
     wide = (F.col("_past") - F.col("_first")).cast("int")
     mine_cut, its_cut = F.slice("_dw", (F.col("_first") + F.col("_diagonal") + 1).cast("int"), wide), F.slice("_iw", (F.col("_first") + 1).cast("int"), wide)
-    pairs = F.filter(F.zip_with(its_cut, mine_cut, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: _is_slot(p["x"]) & F.coalesce(_is_slot(p["y"]), F.lit(False)))
+    kind = lambda w: F.when(_begins(w), F.concat(F.lit(MARK + "n"), F.substring(w, 3, 1 << 30))).otherwise(w)
+    zipped = F.zip_with(its_cut, mine_cut, lambda x, y: F.struct(kind(x).alias("x"), kind(y).alias("y")))
+
+    def pair(p: Column, i: Column) -> Column:
+        # a name at the match's border may have run together with a name outside
+        x, y = p["x"], p["y"]
+        loose = ((i == 0) | (i == F.col("_past") - F.col("_first") - 1)) & (F.size(F.split(x, JOIN)) < F.size(F.split(y, JOIN)))
+        same = (x == y) | (loose & (F.startswith(y, F.concat(x, F.lit(JOIN))) | F.endswith(y, F.concat(F.lit(JOIN), _literal(x)))))
+        return F.struct(x.alias("x"), y.alias("y"), loose.alias("loose"), same.alias("same"))
+
+    pairs = F.filter(F.transform(zipped, pair), lambda p: _is_slot(p["x"]) & F.coalesce(_is_slot(p["y"]), F.lit(False)))
     judged = both.withColumn("_pairs", pairs)
-    different = F.array_distinct("_pairs")
-    consistent = (F.size(different) == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["x"])))) & (F.size(different) == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["y"]))))
-    judged = judged.where(consistent).withColumn("_changed", F.exists("_pairs", lambda p: p["x"] != p["y"]))
-    best = judged.groupBy("_id", "_item").agg(F.max(F.struct("_words", (F.col("_words") / F.size("_iw")).alias("_share"), F.size("_pairs").alias("_slots"), "_changed")).alias("_b"))
+    judged = judged.withColumn("_different", F.array_distinct(F.transform(F.filter("_pairs", lambda p: ~p["loose"]), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
+    values = lambda side: F.size(F.array_distinct(F.transform("_different", lambda p: p[side])))
+    judged = judged.where((F.size("_different") == values("x")) & (F.size("_different") == values("y"))).withColumn("_changed", F.exists("_pairs", lambda p: ~p["same"]))
+    best = judged.groupBy("_id", "_item").agg(F.max(F.struct("_words", (F.col("_words") / F.col("_total")).alias("_share"), (~F.col("_changed")).alias("_same"), F.size("_pairs").alias("_slots"), "_changed")).alias("_b"))
     item = F.when(F.col("_item") != MARK, F.col("_item")).cast(benchmark.schema["item_id"].dataType)
     return best.select(id_or_none("_id").alias("doc_id"), item.alias("item_id"), F.col("_b._words").cast("bigint").alias("n_words"), F.col("_b._share").alias("coverage"), F.col("_b._slots").cast("bigint").alias("n_slots"), F.col("_b._changed").alias("reparameterised"))

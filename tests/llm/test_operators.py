@@ -274,6 +274,31 @@ def test_leaks_full_of_slots(spark):
     assert all(r["coverage"] == 1 and not r["reparameterised"] for r in got.values())
 
 
+def test_leaks_in_other_case_place_and_values(spark):
+    """Names at the begin of a sentence, copies in other case, names behind any sign, and values of several words or parts."""
+    apples = "Alice has 3 red apples and gives 2 of them to Tom. Alice then buys 5 pears."
+    train = "A train leaves Paris at noon and meets Anna near Berlin while Peter waits in Rome for 45 minutes with Maria"
+    trade = "A shop in New York sells 1,204,500 books a year, and the owner from New York pays 2.5 percent of it as rent"
+    items = [("apples", apples), ("train", train), ("trade", trade)]
+    docs = {
+        1: ("apples", apples.replace("Alice", "Maria").replace("3", "7")),
+        2: ("train", train.lower()),
+        3: ("train", train.upper()),
+        4: ("train", train.upper().replace("45", "95")),
+        5: ("trade", trade.replace("New York", "Berlin").replace("1,204,500", "950")),
+        6: ("trade", trade.replace("2.5", "12")),
+        7: ("apples", "Dear Reader " + apples + " Good"),
+        8: ("apples", "(" + apples.replace("to Tom", 'to "Tom"').replace("Alice", "Zoe").replace("Tom", "Ben") + ")"),
+    }
+    changed = {1, 4, 5, 6, 8}
+    # a name that stands for two is another story
+    wrong = [(20, apples.replace("Alice has", "Maria has").replace("Alice then", "Eve then"))]
+    got = leak_pairs(spark, [(i, "some words before: " + t) for i, (_, t) in docs.items()] + wrong, items)
+    assert set(got) == {(i, item) for i, (item, _) in docs.items()}
+    assert {i for (i, _), r in got.items() if r["reparameterised"]} == changed
+    assert all(r["coverage"] == 1 for r in got.values())
+
+
 @pytest.mark.parametrize("capacity", [4096, 4])
 def test_exact_duplicates(docs, texts, empty, capacity):
     norm = {i: SPACE.sub(" ", t or "") for i, t in texts.items()}
