@@ -9,39 +9,63 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import extendible_index, fm_toxicity, minmax_near, slack_packing, template_leaks
 from eventloom.llm.queries import END_ID, table, tokenizer_path
-from eventloom.llm.shared import new_path, prepare
+from eventloom.llm.shared import new_path, prepare, written
 
 
-def _same_id(docs: DataFrame, judged: DataFrame) -> F.Column:
-    return docs["doc_id"].eqNullSafe(judged["_doc"])
+#: A row's key, carried from the first stage on: decisions are taken by row, since ids may be null or repeat.
+ROW = "_pipeline_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with their key; where there is none yet, rows are numbered and written, so that the numbers stay."""
+    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """What the operators read, with the row's key as its id."""
+    return docs.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    return docs.join(judged, ROW, "left_anti")
+
+
+def _without_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group in ``groups`` (row's key, _group) stays: that of the smallest doc_id (null first), and of its rows the first."""
+    members = groups.join(docs.select(ROW, "doc_id"), ROW)
+    kept = members.groupBy("_group").agg(F.min(F.struct("doc_id", ROW)).alias("_kept"), F.count("*").alias("_n")).where("_n > 1")
+    return _without(docs, members.join(kept, "_group").where(F.col(ROW) != F.col(f"_kept.{ROW}")).select(ROW))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go; it learns from labels of documents given, outside the held-out fold."""
+    """Rows that the classifier calls toxic go; it learns from labels of documents given, outside the held-out fold."""
     prepare(spark)
-    judged = fm_toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(judged, _same_id(docs, judged), "left_anti")
+    docs = _keyed(docs)
+    machine = fm_toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, fm_toxicity.scored(_by_row(docs), machine).where("predicted = 1").select(F.col("doc_id").alias(ROW)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the smallest doc_id stays."""
+    """Of rows with equal texts one of the smallest doc_id stays."""
     prepare(spark)
-    judged = extendible_index.exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(judged, _same_id(docs, judged), "left_anti")
+    docs = _keyed(docs)
+    judged = extendible_index.exact_duplicates(_by_row(docs)).where("group_size > 1")
+    return _without_copies(docs, judged.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("_group")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
+    """Of each group of near copies one row of the smallest doc_id stays."""
     prepare(spark)
-    judged = minmax_near.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(judged, _same_id(docs, judged), "left_anti")
+    docs = _keyed(docs)
+    judged = minmax_near.near_duplicates(_by_row(docs))
+    return _without_copies(docs, judged.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, verbatim or re-parameterised, go."""
+    """Rows that hold a benchmark item, verbatim or re-parameterised, go."""
     prepare(spark)
-    judged = template_leaks.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(judged, _same_id(docs, judged), "left_anti")
+    docs = _keyed(docs)
+    return _without(docs, template_leaks.leaks(_by_row(docs), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)).distinct())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
