@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import countmin_spans, disclosure, extendible_index, fm_toxicity, html_regions, minmax_near, simple8b, slack_packing, sparse_suffix, template_leaks
+from eventloom.llm import countmin_spans, disclosure, extendible_index, fm_toxicity, html_regions, minmax_near, simple8b, slack_packing, source_divergence, sparse_suffix, template_leaks
 from eventloom.llm.shared import new_path, prepare
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -68,9 +68,25 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack(table(prepare(spark), sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.digest(*source_divergence.audit(table(prepare(spark), sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_main_text, op2_minmax_near, op3_sparse_suffix, op4_disclosure, op5_template_leaks, op6_countmin_windows, op7_simple8b, op8_extendible_index, op9_fm_toxicity, op10_slack_packing)
+    for f in (
+        op1_main_text,
+        op2_minmax_near,
+        op3_sparse_suffix,
+        op4_disclosure,
+        op5_template_leaks,
+        op6_countmin_windows,
+        op7_simple8b,
+        op8_extendible_index,
+        op9_fm_toxicity,
+        op10_slack_packing,
+        op11_source_divergence,
+    )
 }
 
 SQL: dict[str, str] = {
@@ -94,4 +110,34 @@ a AS (
   FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY p.doc_id)
 SELECT w.doc_id, coalesce(a.n_words, 0) AS n_words, coalesce(a.n_removed, 0) AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
 FROM w LEFT JOIN a ON w.doc_id = a.doc_id""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i FROM documents),
+w AS (
+  SELECT lang, source, i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM d),
+t AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT l.lang, count(t.term) AS v FROM (SELECT DISTINCT lang FROM g) l LEFT JOIN t ON l.lang = t.lang GROUP BY l.lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN t ON w.lang = t.lang AND w.term = t.term GROUP BY w.lang, w.source, w.term),
+a AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.c, 0) AS c
+  FROM g JOIN t ON g.lang = t.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+p AS (
+  SELECT a.lang, a.source, a.term, a.c, CAST(1 + (1000000000::HUGEINT * (a.c + 5)) // (sum(a.c) OVER (PARTITION BY a.lang, a.source) + 5 * v.v) AS BIGINT) AS p
+  FROM a JOIN v ON a.lang = v.lang),
+q AS (
+  SELECT x.lang, x.term, CAST(1 + (1000000000::HUGEINT * (x.c + 5)) // (sum(x.c) OVER (PARTITION BY x.lang) + 5 * v.v) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM a GROUP BY lang, term) x JOIN v ON x.lang = v.lang),
+r AS (
+  SELECT g.lang, g.source, h.source AS item, CAST(coalesce(f.f, 0) AS BIGINT) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source) f
+  ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+e AS (
+  SELECT p.lang, p.source, p.term AS item, p.p - q.q AS value, row_number() OVER (PARTITION BY p.lang, p.source ORDER BY p.p - q.q DESC, p.term) AS n
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+UNION ALL
+SELECT lang, source, 'term' AS part, item, value, CAST(n AS INTEGER) AS rank FROM e WHERE n <= 50""",
 }
