@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import countmin_spans, disclosure, extendible_index, fm_toxicity, html_regions, minmax_near, simple8b, slack_packing, source_divergence, sparse_suffix, template_leaks
+from eventloom.llm import collocations, countmin_spans, disclosure, extendible_index, fm_toxicity, html_regions, license_scan, minmax_near, simple8b, slack_packing, source_divergence, sparse_suffix, template_leaks
 from eventloom.llm.shared import new_path, prepare
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -72,6 +72,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.digest(*source_divergence.audit(table(prepare(spark), sf_dir, "documents")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,10 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_fm_toxicity,
         op10_slack_packing,
         op11_source_divergence,
+        op12_collocations,
+        op13_license_scan,
     )
 }
 
 SQL: dict[str, str] = {
+    "op13_license_scan": license_scan.sql(),
     "op8_extendible_index": r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -140,4 +151,33 @@ e AS (
 SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
 UNION ALL
 SELECT lang, source, 'term' AS part, item, value, CAST(n AS INTEGER) AS rank FROM e WHERE n <= 50""",
+    "op12_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws
+  FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+p AS (
+  SELECT lang, k, ws[i:i + k - 1] AS ph, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) r(k) WHERE len(ws) >= k)
+  GROUP BY lang, k, ph HAVING count(*) >= 100),
+b AS (
+  SELECT lang, part, max(f) AS f
+  FROM (SELECT lang, f, m, ph, unnest(range(1, k - m + 2)) AS i FROM p, range(2, 5) r(m) WHERE m < k) x, LATERAL (SELECT x.ph[x.i:x.i + x.m - 1] AS part)
+  GROUP BY lang, part),
+c AS (
+  SELECT p.lang, p.ph, p.k, p.f AS a FROM p LEFT JOIN b ON p.lang = b.lang AND p.ph = b.part
+  WHERE p.k >= 2 AND (b.f IS NULL OR 100 * b.f < 100 * p.f)),
+s AS (
+  SELECT c.lang, c.ph, c.a, j, x.f AS l, y.f AS r, t.n, CAST((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM c JOIN range(1, 5) q(j) ON j < c.k JOIN p x ON x.lang = c.lang AND x.ph = c.ph[1:j] JOIN p y ON y.lang = c.lang AND y.ph = c.ph[j + 1:c.k] JOIN t ON t.lang = c.lang),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) AS o FROM s) WHERE o = 1),
+z AS (
+  SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS INTEGER) AS rank,
+    array_to_string(ph, ' ') AS phrase, a, l, r, n, score
+  FROM m)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM z WHERE rank <= 2000""",
 }
