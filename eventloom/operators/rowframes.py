@@ -1,4 +1,4 @@
-"""Frames counted in rows: lags, "last n rows" statistics, run lengths, islands and workloads."""
+"""Frames counted in rows: lags and "last n rows" statistics, and windows that end at the previous row."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.clock import col
 from eventloom.functions.arrays import array_mean, array_quantile, array_std
-from eventloom.operators.slices import Running, running, slice_width, solid_keys, time_slice, with_position
+from eventloom.operators.slices import slice_width, solid_keys, time_slice, with_position
 from eventloom.operators.timeline import over_range
 
 
@@ -62,7 +62,7 @@ def over_rows(
     source, keys_in = solid_keys(source, keys, order[0])
     timed = F.col(order[0]).isNotNull()
     keys = keys_in
-    placed = with_position(df.withColumn("_slice", cut), keys, order, "_slice", "_pos", source.withColumn("_slice", cut), spread_ties)
+    placed = with_position(df.withColumn("_slice", cut), keys, order, "_slice", "_pos", source.withColumn("_slice", cut), spread_ties, solid=True)
     at = F.col("_pos") - 1
     chunk = max(chunk or CHUNK_ROWS, reach + 1)
     home = F.floor(at / F.lit(chunk))
@@ -87,75 +87,6 @@ def nearest_percentile(values: Column, q: float, ordered: bool = False) -> Colum
     return F.when(F.size(ordered) > 0, F.try_element_at(ordered, at))
 
 
-def run_length(
-    df: DataFrame, keys: list[str], order: list[str], flag: Column, name: str, shift: bool = True, slice_us: int | None = None
-) -> DataFrame:
-    """Length of the current run of ``flag``; with ``shift`` the run that ended at the previous row.
-
-    The run reaches back to the last row where the flag was false, a running maximum over positions.
-    """
-    cut = df.withColumn("_slice", _slice_of(df, order, slice_us)).withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    placed = with_position(cut, keys, order, "_slice", "_pos")
-    stop = Running("_stop", "max", F.when(~F.col("_flag"), F.col("_pos")), -1 if shift else 0)
-    got = running(placed, keys, ["_pos"], "_slice", [stop])
-    end = F.col("_pos") - 1 if shift else F.col("_pos")
-    length = end - F.coalesce(F.col("_stop"), F.lit(0))
-    length = F.when(end > 0, length) if shift else length
-    return got.withColumn(name, length.cast("long")).drop("_slice", "_flag", "_pos", "_stop")
-
-
-def islands(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "island", slice_us: int | None = None
-) -> DataFrame:
-    """Number the stretches of equal consecutive values of each key, starting at 1."""
-    seen = over_rows(
-        df.withColumn("_value", value), keys, order, 1, {"_before": lambda r: r.lag(F.struct("_value"))}, slice_us
-    )
-    change = F.col("_before").isNull() | ~F.col("_before._value").eqNullSafe(F.col("_value"))
-    marked = seen.withColumn("_change", change.cast("long")).withColumn("_slice", _slice_of(df, order, slice_us))
-    got = running(marked, keys, order, "_slice", [Running(name, "sum", F.col("_change"), 0)])
-    return got.drop("_value", "_before", "_change", "_slice")
-
-
-def since_change(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_us: int | None = None
-) -> DataFrame:
-    """Microseconds since the value last changed (0 on the row that changes it)."""
-    seen = over_rows(
-        df.withColumn("_value", value), keys, order, 1, {"_before": lambda r: r.lag(F.struct("_value"))}, slice_us
-    )
-    change = F.col("_before").isNull() | ~F.col("_before._value").eqNullSafe(F.col("_value"))
-    marked = seen.withColumn("_slice", _slice_of(df, order, slice_us))
-    got = running(marked, keys, order, "_slice", [Running("_since", "max", F.when(change, F.col(order[0])), 0)])
-    return got.withColumn(name, F.col(order[0]) - F.col("_since")).drop("_value", "_before", "_slice", "_since")
-
-
-def workload(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    arrivals: Column,
-    drain_us: float,
-    idle_us: int,
-    name: str = "workload",
-    slice_us: int | None = None,
-) -> DataFrame:
-    """Reflected workload ``B = max(0, B + a - dt / drain)`` per key, restarted after an idle gap.
-
-    With S the running sum of the net input of a busy period, B equals ``S - min(0, running min of S)``;
-    both run with a carry, so a period may span any number of slices.
-    """
-    seen = over_rows(df.withColumn("_a", arrivals.cast("double")), keys, order, 1, {"_prev": lambda r: r.lag(order[0])}, slice_us)
-    gap = F.col(order[0]) - F.col("_prev")
-    restart = F.col("_prev").isNull() | (gap > F.lit(idle_us))
-    net = F.when(restart, F.col("_a")).otherwise(F.col("_a") - gap / F.lit(float(drain_us)))
-    fed = seen.withColumn("_slice", _slice_of(df, order, slice_us)).withColumn("_restart", restart.cast("long")).withColumn("_net", net)
-    period = running(fed, keys, order, "_slice", [Running("_period", "sum", F.col("_restart"), 0)])
-    summed = running(period, [*keys, "_period"], order, "_slice", [Running("_s", "sum", F.col("_net"), 0)])
-    low = running(summed, [*keys, "_period"], order, "_slice", [Running("_low", "min", F.col("_s"), 0)])
-    return low.withColumn(name, F.col("_s") - F.least(F.lit(0.0), F.col("_low"))).select(*df.columns, name)
-
-
 def previous_row_windows(
     df: DataFrame,
     keys: list[str],

@@ -21,14 +21,14 @@ UNBOUNDED = Window.unboundedPreceding
 ROWS_PER_SLICE = 200_000
 
 
-def solid_keys(df: DataFrame, keys: list[str], at: str) -> tuple[DataFrame, list[str]]:
+def solid_keys(df: DataFrame, keys: list[str], at: str | None = None) -> tuple[DataFrame, list[str]]:
     """Key columns that hold no null: each key with a stand-in, and one number that says which keys, or the time, were null.
 
     A null key is then a group of its own, and rows without a time are a group apart, so neither is lost in a join.
     """
     kinds = dict(df.dtypes)
     plain = {f"_key{i}": F.coalesce(F.col(k), F.lit("1970-01-01" if kinds[k] in ("date", "timestamp", "timestamp_ntz") else "0" if kinds[k] != "boolean" else "false").cast(kinds[k])) for i, k in enumerate(keys)}
-    nulls = sum((F.when(F.col(k).isNull(), F.lit(2**i)).otherwise(F.lit(0)) for i, k in enumerate(keys + [at])), F.lit(0))
+    nulls = sum((F.when(F.col(k).isNull(), F.lit(2**i)).otherwise(F.lit(0)) for i, k in enumerate(keys + ([at] if at else []))), F.lit(0))
     return df.withColumns(plain | {"_key_nulls": nulls}), [*plain, "_key_nulls"]
 
 
@@ -121,12 +121,17 @@ def running(
     items: list[Running],
     peers: bool = False,
     same_as: list[str] | None = None,
+    solid: bool = False,
 ) -> DataFrame:
-    """Append running aggregates. Keys must not be null.
+    """Append running aggregates; a null key is a key of its own.
 
     ``slice_col`` must never fall along ``order``. With ``peers`` the single long order column is read
     as a range, so rows with an equal value share their result; otherwise rows are counted one by one.
+    ``solid`` says that no key is null, or that rows with a null key don't matter to the caller.
     """
+    names = df.columns
+    if keys and not solid:
+        df, keys = solid_keys(df, keys)
     carry = carried(df, keys, slice_col, order, items, same_as)
     base = Window.partitionBy(*keys, slice_col).orderBy(*order)
     joined = df.join(carry, [*keys, slice_col], "left")
@@ -134,44 +139,55 @@ def running(
     for i in items:
         frame = base.rangeBetween(UNBOUNDED, i.through) if peers else base.rowsBetween(UNBOUNDED, i.through)
         out.append(combine(i.agg, F.col(f"_in_{i.name}"), _over(i.agg, i.value, frame)).alias(i.name))
-    return joined.select(*[F.col(c) for c in df.columns], *out)
+    return joined.select(*[F.col(c) for c in names], *out)
 
 
 def with_position(
     df: DataFrame, keys: list[str], order: list[str], slice_col: str, name: str = "position",
-    base: DataFrame | None = None, spread_ties: bool = False, limit: int | None = None,
+    base: DataFrame | None = None, spread_ties: bool = False, limit: int | None = None, solid: bool = False,
 ) -> DataFrame:
     """1-based position of every row in its key's total order (``order`` must be unique within a key).
 
-    ``base`` may name a cheaper DataFrame with the same rows, keys and slices to count in. With
-    ``spread_ties`` slices of more than ``limit`` rows (five slices' worth) are cut again by their order values and by ranges
-    of the last order column (a whole number), so that one value shared by very many rows is spread too.
+    A null key is a key of its own (``solid`` says there is none). ``base`` may name a cheaper DataFrame with the same rows, keys
+    and slices to count in. With ``spread_ties`` slices of more than ``limit`` rows (five slices' worth) are cut again: into pieces
+    of their first order column's range, by order values, and by ranges of the last order column (a whole number), so that one
+    value shared by very many rows is spread too. Offsets are summed in two levels, over pieces and inside each piece.
     """
+    names = df.columns
     source = df if base is None else base
+    if keys and not solid:
+        source, _ = solid_keys(source, keys)
+        df, keys = solid_keys(df, keys)
     counts = source.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_rows"))
     if not spread_ties:
         earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(UNBOUNDED, -1)
         offsets = counts.select(*keys, slice_col, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
         inside = F.row_number().over(Window.partitionBy(*keys, slice_col).orderBy(*order))
         placed = df.join(offsets, [*keys, slice_col], "left")
-        return placed.withColumn(name, (F.col("_offset") + inside).cast("long")).drop("_offset")
+        return placed.select(*names, (F.col("_offset") + inside).cast("long").alias(name))
 
-    heavy = counts.where(F.col("_rows") > (limit or 5 * ROWS_PER_SLICE)).select(*keys, slice_col, F.lit(True).alias("_heavy"))
+    most, first = limit or 5 * ROWS_PER_SLICE, F.col(order[0]).cast("double")
+    counts = source.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"))
+    heavy = counts.where(F.col("_rows") > most).select(*keys, slice_col, "_lo", "_hi", F.ceil(F.col("_rows") / most).alias("_pieces"))
     width = slice_width([(source, order[-1])])
+    share = (first - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    piece = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_pieces")), F.col("_pieces") - 1)
     columns = {f"_p{i}": F.col(c) for i, c in enumerate(order[:-1])} | {"_p_tie": whole_div(F.col(order[-1]), width)}
 
     def cut(d: DataFrame) -> DataFrame:
-        marked = d.join(heavy, [*keys, slice_col], "left")
-        parts = {n: F.when(F.col("_heavy"), c).otherwise(F.lit(0)) for n, c in columns.items()}
-        return marked.withColumns(parts).drop("_heavy")
+        marked = d.join(heavy, [*keys, slice_col], "left").withColumn("_piece", F.coalesce(piece, F.lit(0)))
+        return marked.withColumns({n: F.when(F.col("_pieces").isNotNull(), c).otherwise(F.lit(0)) for n, c in columns.items()})
 
-    group = [*keys, slice_col, *columns]
+    whole, group = [*keys, slice_col, "_piece"], [*keys, slice_col, "_piece", *columns]
     sizes = cut(source).groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy(slice_col, *columns).rowsBetween(UNBOUNDED, -1)
-    offsets = sizes.select(*group, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(*whole).orderBy(*columns).rowsBetween(UNBOUNDED, -1)
+    # a row for each slice and piece: no more than rows / limit beyond the slices
+    outer = Window.partitionBy(*keys).orderBy(slice_col, "_piece").rowsBetween(UNBOUNDED, -1)
+    pieces = sizes.groupBy(*whole).agg(F.sum("_rows").alias("_rows")).select(*whole, F.coalesce(F.sum("_rows").over(outer), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*group, F.coalesce(F.sum("_rows").over(inner), F.lit(0)).alias("_offset")).join(pieces, whole)
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     placed = cut(df).join(offsets, group, "left")
-    return placed.withColumn(name, (F.col("_offset") + inside).cast("long")).drop("_offset", *columns)
+    return placed.select(*names, (F.col("_before") + F.col("_offset") + inside).cast("long").alias(name))
 
 
 def text_slice(text: Column, size: int = 3) -> Column:

@@ -123,7 +123,7 @@ def trailing(
     calls reads its source and not its own plan again.
 
     Bounded frames are for sums only (entries minus exits); see :func:`over_range` for other aggregates.
-    Keys must not be null. Measure names are unique over the streams.
+    Rows with a null key have null features. Measure names are unique over the streams.
     """
     for f in features:
         if f.lo is not None and f.agg != "sum":
@@ -140,7 +140,7 @@ def trailing(
     width = F.lit(slice_us) if slice_us else slice_width(sized)
     line = line.withColumn("__slice", time_slice(F.col("__t"), width))
     items = [Running(f.name, f.agg, F.col(f"__f_{f.name}"), 0) for f in features]
-    got = running(line, ks, ["__t"], "__slice", items, same_as=["__q"]).where("__q = 1")
+    got = running(line, ks, ["__t"], "__slice", items, same_as=["__q"], solid=True).where("__q = 1")
     names = {a: k for a, k in zip(ks, keys)} | {"__t": at}
     found = got.select(*[F.col(a).alias(n) for a, n in names.items()], *[f.name for f in features])
     joined = queries.join(found, [*keys, at], "left")

@@ -9,7 +9,8 @@ from eventloom.functions.arrays import array_quantile, array_sum, dominant, entr
 from eventloom.functions.clock import SECOND, whole_div
 from eventloom.operators.asof import asof, next_after
 from eventloom.operators.ranks import quantiles
-from eventloom.operators.rowframes import nearest_percentile, over_rows, since_change
+from eventloom.operators.rowframes import nearest_percentile, over_rows
+from eventloom.operators.scan import since_change
 from eventloom.operators.timeline import Feature, Stream, before, between_open, events, over_range, trailing, until
 
 

@@ -8,7 +8,8 @@ from eventloom.functions.arrays import array_mean
 from eventloom.functions.clock import DAY, HOUR, SECOND, seconds_between
 from eventloom.operators import asof as joins
 from eventloom.operators import history, ranks, traffic
-from eventloom.operators.rowframes import full_only, islands, nearest_percentile, over_rows, previous_row_windows, run_length, workload
+from eventloom.operators.rowframes import full_only, nearest_percentile, over_rows, previous_row_windows
+from eventloom.operators.scan import islands, run_length, workload
 from eventloom.operators.timeline import Stream
 from eventloom.plans.registry import query
 from eventloom.plans.tables import ins, moves, outs, ticks

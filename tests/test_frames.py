@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators.rowframes import islands, over_rows, previous_row_windows, run_length, since_change, workload
+from eventloom.operators.rowframes import over_rows, previous_row_windows
+from eventloom.operators.scan import islands, run_length, since_change, workload
 from eventloom.operators.slices import Running, running, time_slice, value_slice, with_position
 from eventloom.operators.timeline import Feature, before, between_open, closed, events, over_range, trailing, until
 
