@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from eventloom.llm.shared import written
 #: Occurrences of a candidate, the longest phrase in words, and phrases a language returns at most.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Phrases in a trie (some 40 bytes each with their words), and words in the table of codes sent to the tasks.
-TRIE_PHRASES, BROADCAST_WORDS = 500_000, 1_000_000
+TRIE_PHRASES, BROADCAST_WORDS = 200_000, 1_000_000
 #: Counters a task holds before it passes them on.
 HELD = 1_000_000
 #: The language of rows without one.
@@ -76,65 +77,74 @@ class Trie:
     @staticmethod
     def of(paths: np.ndarray, words: int) -> Trie:
         """The trie of phrases, given as rows of codes from 1 to ``words`` filled up with 0; every beginning is a phrase itself or is added."""
-        prefixes = [paths] + [np.concatenate([paths[:, :k], np.zeros((len(paths), paths.shape[1] - k), paths.dtype)], 1) for k in range(1, paths.shape[1])]
-        nodes = np.unique(np.concatenate(prefixes), axis=0)
+        width = paths.shape[1]
+        cut = lambda rows, k: np.where(np.arange(width) < np.reshape(k, (-1, 1)), rows, 0)
+        # rows as bytes sort like the rows themselves, so a parent is found by bisection
+        as_bytes = lambda rows: np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * width}").ravel()
+        nodes = np.concatenate([cut(paths, k) for k in range(1, width + 1)])
+        nodes = nodes[np.unique(as_bytes(nodes), return_index=True)[1]]
         nodes = nodes[nodes[:, 0] > 0]
         depth = (nodes > 0).sum(1)
-        nodes = nodes[np.argsort(depth, kind="stable")]
-        depth = np.sort(depth)
-        last = nodes[np.arange(len(nodes)), depth - 1] if len(nodes) else np.zeros(0, np.int64)
+        last = nodes[np.arange(len(nodes)), depth - 1].astype(np.int64)
+        inner = np.flatnonzero(depth > 1)
+        parent = np.searchsorted(as_bytes(nodes), as_bytes(cut(nodes[inner], depth[inner] - 1))) if len(inner) else inner
         # frequent followers get small symbols, so that the children of a state lie close together
-        uses = np.bincount(last[depth > 1], minlength=words + 1)
-        uses[0] = 0
-        order = np.argsort(-uses, kind="stable")
-        symbol = np.zeros(words + 1, np.int32)
+        uses = np.bincount(last[inner], minlength=words + 1)
         followers = int((uses > 0).sum())
-        symbol[order[:followers]] = np.arange(1, followers + 1)  # 0: never a follower
-        number = {tuple(r): i for i, r in enumerate(nodes.tolist())}
-        children: dict[int, list[int]] = {}
-        for i in range(len(nodes)):
-            d = int(depth[i])
-            if d > 1:
-                parent = nodes[i].copy()
-                parent[d - 1] = 0
-                children.setdefault(number[tuple(parent.tolist())], []).append(i)
-        # slot 0 is the root; a state without children points at the end, where no slot is anyone's
+        symbol = np.zeros(words + 1, np.int32)  # 0: never a follower
+        symbol[np.argsort(-uses, kind="stable")[:followers]] = np.arange(1, followers + 1)
+        wanted = symbol[last[inner]].astype(np.int64)
+
         heads = np.flatnonzero(depth == 1)
-        slot = np.full(len(nodes), -1, np.int64)
-        slot[heads] = np.arange(1, len(heads) + 1)
-        free_from = len(heads) + 1
-        size = free_from + 2 * max(len(nodes), 1) + 2 * (followers + 1)
-        used = np.zeros(size, bool)
-        used[:free_from] = True
+        slot = np.zeros(len(nodes), np.int64)
+        slot[heads] = np.arange(1, len(heads) + 1)  # slot 0 is the root
         offset = np.full(len(nodes), -1, np.int64)
-        lowest = free_from
-        for node in sorted(children, key=lambda x: (-len(children[x]), x)):
-            kids = np.array(children[node])
-            wanted = symbol[last[kids]].astype(np.int64)
-            begin = max(lowest, free_from)
-            while used[begin]:
-                begin += 1
-            lowest = begin
-            at, step = begin - int(wanted.min()), 1
+        used = np.ones(len(heads) + 1, bool)
+        used.resize(len(heads) + 2 * len(nodes) + 4 * followers + 64, refcheck=False)
+        order = np.lexsort((wanted, parent))
+        starts = np.flatnonzero(np.diff(parent[order], prepend=-1))
+        sizes = np.diff(starts, append=len(order))
+        lowest = len(heads) + 1  # all slots below are taken
+        begin: dict[int, int] = {}  # where a state of so many children last found room: before it there is hardly any
+        # states with many children first: they need room that later ones fill up
+        for g in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())]:
+            kids = order[starts[g] : starts[g] + sizes[g]]
+            need = wanted[kids] - wanted[kids[0]]
+            alike = len(kids).bit_length()
+            seen, reach = max(lowest, int(wanted[kids[0]]), begin.get(alike, 0)), 256
             while True:
-                if at + followers + 1 >= len(used):
-                    used = np.concatenate([used, np.zeros(len(used), bool)])
-                if at >= 0 and not used[at + wanted].any():
+                if seen + reach + followers + 1 > len(used):
+                    used.resize(2 * len(used) + reach, refcheck=False)
+                free = seen + np.flatnonzero(~used[seen : seen + reach])
+                for n in need[1:]:
+                    if not len(free):
+                        break
+                    free = free[~used[free + n]]
+                if len(free):
                     break
-                # the further the search, the larger its steps: few slots stay empty, and no state searches for long
-                at += max(1, step // 64)
-                step += 1
-            offset[node] = at
-            used[at + wanted] = True
-            slot[kids] = at + wanted
-        top = int(slot.max()) + 1 if len(nodes) else 1
-        base = np.full(top, top, np.int32)
-        check = np.full(top + followers + 2, -1, np.int32)
-        place = np.zeros((top, paths.shape[1]), np.int32)
+                seen, reach = seen + reach, min(8 * reach, 1 << 18)
+            at, begin[alike] = int(free[0]), max(seen, begin.get(alike, 0))
+            offset[parent[kids[0]]] = at - int(wanted[kids[0]])
+            used[at + need] = True
+            slot[inner[kids]] = at + need
+            while used[lowest]:
+                lowest += 1
+        # a single child can stand in any free slot beyond its symbol
+        single = order[starts[sizes == 1]]
+        floor = max(lowest, followers)
+        if floor + len(single) + 1 > len(used) - int(used[floor:].sum()):
+            used.resize(len(used) + floor + len(single) + 1, refcheck=False)
+        free = floor + np.flatnonzero(~used[floor:])[: len(single)]
+        slot[inner[single]] = free
+        offset[parent[single]] = free - wanted[single]
+
+        top = int(slot.max(initial=0)) + 1
+        base = np.full(top, top, np.int32)  # a state without children points at the end, where no slot is anyone's
         base[slot] = np.where(offset >= 0, offset, top)
+        check = np.full(top + followers + 2, -1, np.int32)
+        check[slot[inner]] = slot[parent]
+        place = np.zeros((top, width), np.int32)
         place[slot] = nodes
-        for node, kids in children.items():
-            check[slot[kids]] = slot[node]
         first = np.full(words + 1, -1, np.int32)
         first[last[heads]] = slot[heads]
         return Trie(first, symbol, base, check, place)
@@ -148,7 +158,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(_lang(docs).alias("_lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _words(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     counts: dict[str, Counter] = {}
 
     def flushed() -> pd.DataFrame:
@@ -159,14 +169,14 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, text in zip(pdf["_lang"], pdf["_text"]):
             counts.setdefault(lang, Counter()).update(tokens_of(text))
-        if sum(map(len, counts.values())) > HELD:
+        if sum(map(len, counts.values())) > most:
             yield flushed()
     yield flushed()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(_lang, _word, _n): occurrences of every word in every language."""
-    return _texts(docs).mapInPandas(_words, "_lang string, _word string, _n bigint").groupBy("_lang", "_word").agg(F.sum("_n").alias("_n"))
+    return _texts(docs).mapInPandas(partial(_words, most=HELD), "_lang string, _word string, _n bigint").groupBy("_lang", "_word").agg(F.sum("_n").alias("_n"))
 
 
 def coded_words(frequent: DataFrame) -> DataFrame:
@@ -212,8 +222,9 @@ def coded_texts(docs: DataFrame, words: DataFrame, broadcast_words: int = BROADC
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row, lang, text in zip(pdf["_row"], pdf["_lang"], pdf["_text"]):
-                found = [w.decode("utf-8", "replace") for w in tokens_of(text)]
-                yield pd.DataFrame({"_row": row, "_at": np.arange(len(found), dtype=np.int32), "_lang": lang, "_word": found})
+                found = np.array([w.decode("utf-8", "replace") for w in tokens_of(text)], object)
+                if len(found):
+                    yield pd.DataFrame({"_row": row, "_at": np.arange(len(found), dtype=np.int32), "_lang": np.full(len(found), lang, object), "_word": found})
 
     places = rows.mapInPandas(placed, "_row bigint, _at int, _lang string, _word string")
     known = places.join(words.select("_lang", "_word", "_code"), ["_lang", "_word"], "left")
