@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ LEAST_DOCS, PSEUDO, UNIT = 30, 5, 1_000_000_000
 #: Counters a task holds before it passes them on.
 HELD = 1_000_000
 #: Terms in a block and sources in a tile of the comparison; sources in one list of a text's copies.
-BLOCK_TERMS, TILE, LIST = 4096, 128, 5000
+BLOCK_TERMS, TILE, LIST = 1024, 128, 5000
 
 #: Letters of ASCII in lower case; its other characters end a term, and bytes beyond ASCII belong to terms.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -54,7 +55,7 @@ def collapsed(docs: DataFrame) -> DataFrame:
     return different.join(lists, ["_lang", "_digest"]).select("_lang", "_text", "_copies")
 
 
-def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tallied(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def flushed() -> pd.DataFrame:
@@ -87,7 +88,7 @@ def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         use[t] += n * copy["_n"]
                         have[t] += copy["_n"]
                 held += len(use)
-            if held > HELD:
+            if held > most:
                 yield flushed()
                 held = 0
     if seen:
@@ -96,7 +97,7 @@ def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(_lang, _term, _source, _count, _all): occurrences of each term kept in each source that has it, and in the language."""
-    tallied = collapsed(docs).mapInPandas(_tallied, "_lang string, _source string, _term string, _uses bigint, _docs bigint")
+    tallied = collapsed(docs).mapInPandas(partial(_tallied, most=HELD), "_lang string, _source string, _term string, _uses bigint, _docs bigint")
     # tasks have added up what they read, so terms are dealt out once, by what both sums below need
     summed = tallied.repartition("_lang", "_term").groupBy("_lang", "_term", "_source").agg(F.sum("_uses").alias("_count"), F.sum("_docs").alias("_docs"))
     whole = Window.partitionBy("_lang", "_term")
@@ -109,7 +110,7 @@ def share(count: str, total: str, terms: str) -> Column:
     return F.expr(f"1 + (cast({count} + {PSEUDO} as decimal(20,0)) * {UNIT}) div cast({total} + {PSEUDO} * {terms} as decimal(20,0))")
 
 
-def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
+def _compared(pdf: pd.DataFrame, tile: int) -> pd.DataFrame:
     """Sums of one block of terms over pairs of sources of two tiles: how much more they differ than two sources without the term."""
     marks = pdf[pdf["_term"].isna()].sort_values("_at")
     at, rest = marks["_at"].to_numpy(), marks["_rest"].to_numpy()
@@ -118,7 +119,7 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     dense = np.repeat(rest[:, None], len(names), 1)
     dense[np.searchsorted(at, entries["_at"].to_numpy()), term] = entries["_share"].to_numpy()
     low, high = int(pdf["_low"].iloc[0]), int(pdf["_high"].iloc[0])
-    own, other = np.flatnonzero(at // TILE == low), np.flatnonzero(at // TILE == high)
+    own, other = np.flatnonzero(at // tile == low), np.flatnonzero(at // tile == high)
     parts = []
     for i in own:
         j = other[at[other] > at[i]]
@@ -158,7 +159,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = 50) ->
     # every two tiles meet once; with up to TILE sources there is one
     cells = cells.join(last, "_lang").withColumn("_tile", F.floor(F.col("_at") / TILE)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")))
     cells = cells.select(*columns, "_block", F.least("_tile", "_with").alias("_low"), F.greatest("_tile", "_with").alias("_high"))
-    sums = cells.groupBy("_lang", "_block", "_low", "_high").applyInPandas(_compared, "_lang string, _a int, _b int, _sum bigint")
+    tile = TILE
+    sums = cells.groupBy("_lang", "_block", "_low", "_high").applyInPandas(lambda pdf: _compared(pdf, tile), "_lang string, _a int, _b int, _sum bigint")
     sums = sums.groupBy("_lang", "_a", "_b").agg(F.sum("_sum").alias("_sum"))
     both = sums.union(sums.select("_lang", F.col("_b").alias("_a"), F.col("_a").alias("_b"), "_sum"))
     one = groups.select("_lang", "_source", F.col("_at").alias("_a"), F.col("_rest").alias("_p"), "_terms")
