@@ -3,11 +3,12 @@
 A text's template has typed placeholders for what a question can be re-parameterised with: numbers (one with its separators),
 units behind a number, and names (runs of capitalised words on a line, function words apart, wherever they stand). A text has two
 readings: by case, with names, and without case, where names are words like others, so that a copy in other case is found too.
-Windows of WINDOW template words are hashed and joined with those of the benchmark items; a window with more than MOST_SLOTS slots,
-or nothing else, is hashed by its literal words, so verbatim text always meets. Matched windows of one document and item on one
-diagonal (the offset between both) are a match; it counts when it covers LEAST_WORDS words or a whole shorter item. Then the slots
-are compared: an item's value must stand for one value of the document throughout and the other way round, so a re-parameterised
-question is caught, and text that only looks alike is not.
+Windows of WINDOW template words are hashed and joined with those of the benchmark items; a window with hardly any word besides
+its slots is hashed by its literal words, so it meets verbatim text only. A match is a document's and an item's words on one diagonal
+(the offset between both): the matched windows, and what follows them word for word on either side. It counts when it covers LEAST_WORDS
+words or a whole shorter item. Then the slots are compared: an item's value must stand for one value of the document throughout and
+the other way round, and a match with other values must have LEAST_LITERALS plain words, so a re-parameterised question is caught,
+and text that is alike in form only is not.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.shared import id_or_none, texts
 
 WINDOW = 8
-#: Words that a match covers at least, and the most slots in a template window: more would match on form alone.
-LEAST_WORDS, MOST_SLOTS = 13, 4
+#: Words that a match covers at least; plain words it needs (or half of the item's) where a slot's value differs.
+LEAST_WORDS, LEAST_LITERALS = 13, 5
 #: Benchmark windows up to which their hashes are sent to every executor (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
 
@@ -57,10 +58,18 @@ def _tagged(text: Column) -> Column:
     return F.regexp_replace(F.lower(t), rf"({MARK}d[\p{{N}}{POINT}]+[\x20-]+)(?:{MARK}[ns])?(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f"$1{MARK}u")
 
 
-def tagged_words(tagged: Column, reading: int) -> Column:
-    """Words in lower case without signs, of a text from ``_tagged``; without case names are plain words."""
-    t = tagged if reading == BY_CASE else F.translate(F.regexp_replace(tagged, f"{MARK}[ns]", ""), JOIN, " ")
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{N}}{MARK}{JOIN}{POINT}]+"), lambda w: w != "")
+def _read(tagged: Column, reading: int) -> Column:
+    """The tagged text in one reading: without case, names are plain words."""
+    return tagged if reading == BY_CASE else F.translate(F.regexp_replace(tagged, f"{MARK}[ns]", ""), JOIN, " ")
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{N}}{MARK}{JOIN}{POINT}]+"), "")
+
+
+def _template(text: Column) -> Column:
+    """The text with each slot's mark and type only; it has as many words."""
+    return F.replace(F.regexp_replace(text, rf"({MARK}[nsdu])[\p{{L}}\p{{N}}{JOIN}{POINT}]*", "$1"), F.lit(MARK + "s"), F.lit(MARK + "n"))
 
 
 def _is_slot(w: Column) -> Column:
@@ -71,53 +80,39 @@ def _literal(w: Column) -> Column:
     return F.when(_is_slot(w), F.substring(w, 3, 1 << 30)).otherwise(w)
 
 
-def _begins(w: Column) -> Column:
-    return F.startswith(w, F.lit(MARK + "s"))
-
-
-def template(words: Column) -> Column:
-    """Hashes of the template's words: a slot counts by its type only."""
-    return F.transform(words, lambda w: F.xxhash64(F.when(_begins(w), F.lit(MARK + "n")).when(_is_slot(w), F.substring(w, 1, 2)).otherwise(w)))
-
+def _kind(w: Column) -> Column:
+    """A word as its template has it."""
+    return F.when(_is_slot(w), F.replace(F.substring(w, 1, 2), F.lit("s"), F.lit("n"))).otherwise(w)
 
-def _dense_starts(words: Column, k: Column, most: Column) -> Column:
-    """Starts of the windows of k words that hold more than ``most`` slots, from the places of the slots."""
-    slots = F.array_compact(F.transform(words, lambda w, i: F.when(_is_slot(w), i)))
-    # the slot ``most`` places further, bound beside each: a lambda that named the array would compute it anew for every slot
-    span = lambda p, q: F.sequence(F.greatest(q - k + 1, F.lit(0)), F.least(p, F.size(words) - k))
-    starts = F.zip_with(slots, F.slice(slots, most + 1, F.size(words)), lambda p, q: F.when(q - p < k, span(p, q)).otherwise(F.array().cast("array<int>")))
-    return F.array_distinct(F.flatten(starts))
 
+def _readings(tagged: Column, which: list[int]) -> Column:
+    """(_reading, _words, _template) of a tagged text, one for each reading; without names both are one."""
+    one = [F.struct(F.lit(r).alias("_reading"), _split(_read(tagged, r)).alias("_words"), _split(_template(_read(tagged, r))).alias("_template")) for r in which]
+    return F.filter(F.array(*one), lambda x: (x["_reading"] == CASELESS) | F.contains(tagged, F.lit(MARK + "n")) | F.contains(tagged, F.lit(MARK + "s")))
 
-def windows_of(words: Column, hashes: Column, k: int | Column, reading: int, both: bool = True) -> Column:
-    """(_pos, _h) of every k consecutive words, hashed by ``hashes`` of their template. Windows with too many slots for it, which
-    would match on form alone, take names at the begin of a sentence as words, and if that is not enough, every slot. Empty where
-    there are fewer words. With ``both`` these windows come by their template too, which meets none of the other side's."""
-    k = k if isinstance(k, Column) else F.lit(k)
-    n, most = F.size(words) - k + 1, F.least(F.lit(MOST_SLOTS), k - 1)
 
-    def plain(i: Column) -> Column:
-        return F.struct(i.alias("_pos"), F.xxhash64(F.lit(reading), k, F.slice(hashes, i + 1, k)).alias("_h"))
+def _windows(rows: DataFrame, ks: list[int]) -> DataFrame:
+    """A row for each window of k words, k in ``ks``, with _pos, _k and its hash _h; ``rows`` has _reading, _words and _template."""
+    rolled = F.arrays_zip(*[F.slice("_template", 1 + i, F.greatest(F.size("_template"), F.lit(1))).alias(f"t{i}") for i in range(max(ks))])
+    rows = rows.withColumn("_zip", rolled)
+    kept = [c for c in rows.columns if c not in ("_zip", "_template")]
+    rows = rows.select(*kept, F.posexplode("_zip").alias("_pos", "_w"))
 
-    def dense(i: Column) -> Column:
-        cut = F.slice(words, i + 1, k)
-        h = F.xxhash64(F.lit(reading), k, F.transform(cut, _literal))
-        if reading == BY_CASE:
-            few = F.size(F.filter(cut, lambda w: _is_slot(w) & ~_begins(w))) <= most
-            h = F.when(few, F.xxhash64(F.lit(reading), k, template(F.transform(cut, lambda w: F.when(_begins(w), _literal(w)).otherwise(w))))).otherwise(h)
-        return F.struct(i.alias("_pos"), h.alias("_h"))
+    def hashed(k: int) -> Column:
+        parts = [F.col(f"_w.t{i}") for i in range(k)]
+        plain = sum((F.when(_is_slot(t), 0).otherwise(1) for t in parts), F.lit(0))
+        literal = F.xxhash64("_reading", F.lit(-k), F.transform(F.slice("_words", F.col("_pos") + 1, F.lit(k)), _literal))
+        return F.when(parts[-1].isNotNull(), F.when(plain >= (2 if k > 5 else 1), F.xxhash64("_reading", F.lit(k), *parts)).otherwise(literal))
 
-    starts, full = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), _dense_starts(words, k, most)
-    all_ = F.concat(F.transform(starts if both else F.array_except(starts, full), plain), F.transform(full, dense))
-    return F.when(n > 0, all_).otherwise(F.array().cast("array<struct<_pos:int,_h:bigint>>"))
+    if len(ks) == 1:
+        return rows.select(*kept, "_pos", F.lit(ks[0]).alias("_k"), hashed(ks[0]).alias("_h"))
+    rows = rows.select(*kept, "_pos", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), hashed(k).alias("_h")) for k in ks])).alias("_x"))
+    return rows.select(*kept, "_pos", "_x._k", "_x._h")
 
 
-def _benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item, _reading, _k, _h, _ipos): windows of each item's readings; one shorter than WINDOW is one window of its own length."""
-    k = F.least(F.size("_iw"), F.lit(WINDOW))
-    rows = items.where(F.size("_iw") > 0).withColumn("_k", k).withColumn("_it", template(F.col("_iw")))
-    of = F.when(F.col("_reading") == BY_CASE, windows_of(F.col("_iw"), F.col("_it"), F.col("_k"), BY_CASE, False)).otherwise(windows_of(F.col("_iw"), F.col("_it"), F.col("_k"), CASELESS, False))
-    return rows.select("_item", "_reading", "_k", F.explode(of).alias("_w")).select("_item", "_reading", "_k", F.col("_w._pos").alias("_ipos"), F.col("_w._h").alias("_h"))
+def _linked(flags: Column) -> Column:
+    """Whether each word is in a matched window (flag 2) or follows one without a gap, every word between being alike (flag 1)."""
+    return F.aggregate(flags, F.array().cast("array<boolean>"), lambda done, f: F.concat(done, F.array((f == 2) | ((f == 1) & F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(False))))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -126,54 +121,54 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``n_words`` counts the item's words in the longest consistent match, ``coverage`` their share of the item, ``n_slots`` the slots in it;
     ``reparameterised`` says that a slot's value differs. Null and blank texts on either side match nothing; null ids are matched
-    like others (as one id) and given back as null; repeated rows give one row for each pair; other columns are ignored; an empty table on
-    either side gives an empty result.
+    like others (each text by itself, one row for all that hold the item) and given back as null; repeated rows give one row for each
+    pair; other columns are ignored; an empty table on either side gives an empty result.
     """
-    rows = texts(docs)
     items = benchmark.select(benchmark["item_id"].cast("string").alias("_item"), _tagged(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("_it"))
-    items = items.withColumn("_item", F.coalesce("_item", F.lit(MARK)))
-    caseless = items.select("_item", F.lit(CASELESS).alias("_reading"), tagged_words(F.col("_it"), CASELESS).alias("_iw"))
-    # without names both readings are one
-    by_case = items.where(F.col("_it").rlike(f"{MARK}[ns]")).select("_item", F.lit(BY_CASE).alias("_reading"), tagged_words(F.col("_it"), BY_CASE).alias("_iw"))
-    items = caseless.union(by_case).dropDuplicates().withColumn("_iz", F.transform("_iw", lambda w: F.size(F.split(w, JOIN))))
-    windows = _benchmark_windows(items)
-    sizes = {(r["_reading"], r["_k"]): r["n"] for r in windows.groupBy("_reading", "_k").agg(F.count("*").alias("n")).collect()}  # 2 * WINDOW rows at most
-    if not sizes:
-        sizes = {(CASELESS, WINDOW): 0}
-    hashed = rows.select("_id", _tagged(F.col("_text")).alias("_t"))
-    readings = sorted({r for r, _ in sizes})
-    hashed = hashed.select("_id", *[tagged_words(F.col("_t"), r).alias(f"_w{r}") for r in readings])
-    hashed = hashed.select("*", *[template(F.col(f"_w{r}")).alias(f"_t{r}") for r in readings])
-    mine = hashed.select("_id", F.explode(F.concat(*[windows_of(F.col(f"_w{r}"), F.col(f"_t{r}"), k, r) for r, k in sorted(sizes)])).alias("_w")).select("_id", "_w._pos", "_w._h")
-    theirs = F.broadcast(windows) if sum(sizes.values()) <= BROADCAST_WINDOWS else windows
-    hits = mine.join(theirs, "_h").groupBy("_id", "_item", "_reading", (F.col("_pos") - F.col("_ipos")).alias("_diagonal"))
-    matches = hits.agg(F.min("_ipos").alias("_first"), (F.max(F.col("_ipos") + F.col("_k"))).alias("_past"), F.collect_set("_ipos").alias("_starts"), F.max("_k").alias("_width"))
-    # the words that matched windows cover; the starts are as many as the item has windows at most
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + F.col("_width") - 1))))
-    matches = matches.withColumn("_covered", covered).drop("_starts").join(items, ["_item", "_reading"])
-    total = F.aggregate("_iz", F.lit(0), lambda n, z: n + z)
-    matches = matches.withColumn("_words", F.aggregate("_covered", F.lit(0), lambda n, p: n + F.element_at("_iz", p + 1))).withColumn("_total", total)
-    matches = matches.where(F.col("_words") >= F.least(F.lit(LEAST_WORDS), F.col("_total")))
-    tagged = rows.join(matches, "_id").withColumn("_t", _tagged(F.col("_text")))
-    both = tagged.withColumn("_dw", F.when(F.col("_reading") == BY_CASE, tagged_words(F.col("_t"), BY_CASE)).otherwise(tagged_words(F.col("_t"), CASELESS)))
-    # cut both word lists to the match, then pair them: no lambda looks at a whole text
-    wide = (F.col("_past") - F.col("_first")).cast("int")
-    mine_cut, its_cut = F.slice("_dw", (F.col("_first") + F.col("_diagonal") + 1).cast("int"), wide), F.slice("_iw", (F.col("_first") + 1).cast("int"), wide)
-    kind = lambda w: F.when(_begins(w), F.concat(F.lit(MARK + "n"), F.substring(w, 3, 1 << 30))).otherwise(w)
-    zipped = F.zip_with(its_cut, mine_cut, lambda x, y: F.struct(kind(x).alias("x"), kind(y).alias("y")))
-
-    def pair(p: Column, i: Column) -> Column:
+    items = items.withColumn("_item", F.coalesce("_item", F.lit(MARK))).select("_item", F.inline(_readings(F.col("_it"), [CASELESS, BY_CASE]))).where(F.size("_words") > 0).dropDuplicates()
+    # an item shorter than WINDOW is one window of its own length
+    short = F.least(F.size("_words"), F.lit(WINDOW))
+    ks = sorted(r["k"] for r in items.select(short.alias("k")).distinct().collect()) or [WINDOW]  # WINDOW rows at most
+    theirs = _windows(items, ks).where(F.col("_k") == short).select("_item", "_reading", "_k", F.col("_words").alias("_iw"), F.col("_pos").alias("_ipos"), "_h")
+    n, readings = theirs.count(), sorted(r["_reading"] for r in items.select("_reading").distinct().collect()) or [CASELESS]
+    theirs = F.broadcast(theirs) if n <= BROADCAST_WINDOWS else theirs
+
+    rows = texts(docs).select("_id", _tagged(F.col("_text")).alias("_t")).select("_id", F.inline(_readings(F.col("_t"), readings)))
+    hits = _windows(rows, ks).join(theirs, ["_h", "_k", "_reading"]).withColumn("_diagonal", F.col("_pos") - F.col("_ipos"))
+    # the document's words beside the item's: what is compared goes with the hit, so no text is read again
+    off = F.greatest(-F.col("_diagonal"), F.lit(0))
+    beside = F.slice("_words", F.greatest(F.col("_diagonal"), F.lit(0)) + 1, F.size("_iw") - off)
+    hits = hits.select("_id", "_item", "_reading", "_k", "_diagonal", "_ipos", off.alias("_off"), "_iw", beside.alias("_dw"))
+    matches = hits.groupBy("_id", "_item", "_reading", "_k", "_diagonal", "_off", "_iw", "_dw").agg(F.collect_set("_ipos").alias("_starts"))
+
+    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p - F.col("_off"), p - F.col("_off") + F.col("_k") - 1))))
+    matches = matches.withColumn("_cover", covered).withColumn("_own", F.slice("_iw", F.col("_off") + 1, F.size("_dw")))
+    alike = F.zip_with("_own", "_dw", lambda x, y: (_kind(x) == _kind(y)).cast("int"))
+    flags = F.transform(alike, lambda same, i: F.when((same == 1) & F.array_contains("_cover", i), 2).otherwise(same))
+    matches = matches.withColumn("_flags", flags).withColumn("_in", F.zip_with(_linked(F.col("_flags")), F.reverse(_linked(F.reverse("_flags"))), lambda x, y: x | y))
+    places = F.filter(F.sequence(F.lit(0), F.size("_own") - 1), lambda i: F.element_at("_in", i + 1))
+    matches = matches.withColumn("_places", places).where(F.size("_places") > 0)
+
+    width = lambda w: F.size(F.split(w, JOIN))
+    total = F.aggregate("_iw", F.lit(0), lambda n, w: n + width(w))
+    words = F.aggregate("_places", F.lit(0), lambda n, i: n + width(F.element_at("_own", i + 1)))
+    plain = F.size(F.filter("_places", lambda i: ~_is_slot(F.element_at("_own", i + 1))))
+    matches = matches.withColumn("_total", total).withColumn("_n", words).withColumn("_plain", plain)
+    matches = matches.where(F.col("_n") >= F.least(F.lit(LEAST_WORDS), F.col("_total")))
+
+    def pair(i: Column) -> Column:
         # a name at the match's border may have run together with a name outside
-        x, y = p["x"], p["y"]
-        loose = ((i == 0) | (i == F.col("_past") - F.col("_first") - 1)) & (F.size(F.split(x, JOIN)) < F.size(F.split(y, JOIN)))
+        named = lambda w: F.when(F.startswith(w, F.lit(MARK + "s")), F.concat(F.lit(MARK + "n"), F.substring(w, 3, 1 << 30))).otherwise(w)
+        x, y = named(F.element_at("_own", i + 1)), named(F.element_at("_dw", i + 1))
+        loose = ((i == F.element_at("_places", 1)) | (i == F.element_at("_places", -1))) & (width(x) < width(y))
         same = (x == y) | (loose & (F.startswith(y, F.concat(x, F.lit(JOIN))) | F.endswith(y, F.concat(F.lit(JOIN), _literal(x)))))
         return F.struct(x.alias("x"), y.alias("y"), loose.alias("loose"), same.alias("same"))
 
-    pairs = F.filter(F.transform(zipped, pair), lambda p: _is_slot(p["x"]) & F.coalesce(_is_slot(p["y"]), F.lit(False)))
-    judged = both.withColumn("_pairs", pairs)
+    judged = matches.withColumn("_pairs", F.transform(F.filter("_places", lambda i: _is_slot(F.element_at("_own", i + 1))), pair))
     judged = judged.withColumn("_different", F.array_distinct(F.transform(F.filter("_pairs", lambda p: ~p["loose"]), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
     values = lambda side: F.size(F.array_distinct(F.transform("_different", lambda p: p[side])))
     judged = judged.where((F.size("_different") == values("x")) & (F.size("_different") == values("y"))).withColumn("_changed", F.exists("_pairs", lambda p: ~p["same"]))
-    best = judged.groupBy("_id", "_item").agg(F.max(F.struct("_words", (F.col("_words") / F.col("_total")).alias("_share"), (~F.col("_changed")).alias("_same"), F.size("_pairs").alias("_slots"), "_changed")).alias("_b"))
+    judged = judged.where(~F.col("_changed") | (F.col("_plain") >= F.least(F.lit(LEAST_LITERALS), F.ceil(F.size("_iw") / 2))))
+    best = judged.groupBy("_id", "_item").agg(F.max(F.struct("_n", (F.col("_n") / F.col("_total")).alias("_share"), (~F.col("_changed")).alias("_same"), F.size("_pairs").alias("_slots"), "_changed")).alias("_b"))
     item = F.when(F.col("_item") != MARK, F.col("_item")).cast(benchmark.schema["item_id"].dataType)
-    return best.select(id_or_none("_id").alias("doc_id"), item.alias("item_id"), F.col("_b._words").cast("bigint").alias("n_words"), F.col("_b._share").alias("coverage"), F.col("_b._slots").cast("bigint").alias("n_slots"), F.col("_b._changed").alias("reparameterised"))
+    return best.select(id_or_none("_id").alias("doc_id"), item.alias("item_id"), F.col("_b._n").cast("bigint").alias("n_words"), F.col("_b._share").alias("coverage"), F.col("_b._slots").cast("bigint").alias("n_slots"), F.col("_b._changed").alias("reparameterised"))
