@@ -62,41 +62,55 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def learn(sets: list[np.ndarray], labels: np.ndarray, rounds: int | None = None, rate: float = 0.01, shrink: float = 2e-2, batch: int = 64, seed: int = 7) -> Machine:
+def learn(sets: list[np.ndarray], labels: np.ndarray, **how) -> Machine:
     """Fit on sets of features with labels 0 and 1; without both labels the machine says the share of ones throughout."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.int32)
+    seen = np.bincount(flat, minlength=1 << BITS) >= least_seen(len(sets))
+    keep = seen[flat]
+    return fit(flat[keep], np.add.reduceat(np.append(keep, False).astype(np.int64), np.cumsum(sizes) - sizes) * (sizes > 0) if len(sets) else sizes, labels, **how)
+
+
+def least_seen(sets: int) -> float:
+    """Sets that a feature must be in to have a weight."""
+    return max(SUPPORT, SHARE * sets)
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rounds: int | None = None, rate: float = 0.01, shrink: float = 2e-2, batch: int = 64, seed: int = 7) -> Machine:
+    """As ``learn``, from sets of features that have a weight, which lie one after the other in ``flat``."""
     rng = np.random.default_rng(seed)
     size = 1 << BITS
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 1e-3
     m = Machine(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
     if len(np.unique(labels)) < 2:
         return m
-    rounds = rounds or int(np.clip(120_000 / len(sets), 8, 60))
-    seen = np.bincount(np.concatenate(sets), minlength=size) >= max(SUPPORT, SHARE * len(sets))
-    sets = [s[seen[s]] for s in sets]
-    m.vectors[seen] = rng.normal(0, 0.01, (int(seen.sum()), FACTORS))
+    rounds = rounds or int(np.clip(120_000 / len(sizes), 8, 60))
+    begin = np.cumsum(sizes) - sizes
+    used = np.flatnonzero(np.bincount(flat, minlength=size))
+    m.vectors[used] = rng.normal(0, 0.01, (len(used), FACTORS))
     met, number = np.zeros(size, bool), np.zeros(size, np.int64)
     for _ in range(rounds):
-        order = rng.permutation(len(sets))
+        order = rng.permutation(len(sizes))
         for k in range(0, len(order), batch):
             some = order[k : k + batch]
-            sizes = np.array([len(sets[i]) for i in some])
-            flat = np.concatenate([sets[i] for i in some])
-            if not len(flat):
+            own = np.repeat(np.arange(len(some)), sizes[some])
+            if not len(own):
                 continue
-            v, w = m.vectors.take(flat, 0), m.weights.take(flat)
+            at = np.cumsum(sizes[some]) - sizes[some]
+            terms = flat.take(np.arange(len(own)) + (begin[some] - at).take(own))
+            v, w = m.vectors.take(terms, 0), m.weights.take(terms)
             x, total = np.full(len(some), m.bias, np.float64), np.zeros((len(some), FACTORS), np.float32)
-            full = np.flatnonzero(sizes)
-            at = (np.cumsum(sizes) - sizes)[full]
+            full = np.flatnonzero(sizes[some])
+            at = at[full]
             total[full] = np.add.reduceat(v, at)
             x[full] += np.add.reduceat(w, at) + ((total[full] ** 2).sum(1) - np.add.reduceat(np.einsum("ij,ij->i", v, v), at)) / 2
             error = 1 / (1 + np.exp(-np.clip(x, -30, 30))) - labels[some]
             m.bias -= rate * float(error.sum()) / 10
-            own = np.repeat(np.arange(len(some)), sizes)
-            met[flat] = True  # the batch's features in order, without a sort
+            met[terms] = True  # the batch's features in order, without a sort
             f = np.flatnonzero(met)
             met[f] = False
             number[f] = np.arange(len(f))
-            at = number[flat]
+            at = number[terms]
             e = np.bincount(at, error.take(own), len(f)).astype(np.float32)
             g = e + shrink * m.weights[f]
             # d/dv = sum of errors times (the set's total less the feature's own vector)
@@ -118,17 +132,47 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_toxic": pdf["_toxic"], "_set": [features(t).tobytes() for t in pdf["_text"]]})
 
 
+def _support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many sets of a task each feature is."""
+    total = np.zeros(1 << BITS, np.int64)
+    for pdf in batches:
+        total += np.bincount(np.frombuffer(b"".join(pdf["_set"]), np.int32), minlength=len(total))
+    met = np.flatnonzero(total)
+    yield pd.DataFrame({"_feature": met.astype(np.int32), "_n": total[met]})
+
+
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learn from labelled rows outside the held-out fold; null labels and ids are left out, of labels that repeat an id the larger counts."""
+    """Learn from labelled rows outside the held-out fold; null labels and ids are left out.
+
+    Of labels that repeat an id, and of rows whose texts have the same features, the larger label counts, once. Features are counted
+    and left out on Spark, so the driver holds what it learns from once, as numbers.
+    """
     known = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["toxic"].cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     known = known.where(fold(F.col("_id")) != 0).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` rows of 12 bytes
-    rows = written(texts(docs).join(F.broadcast(known), "_id").mapInPandas(_features, "_toxic int, _set binary"), "sample")
-    different: dict[bytes, int] = {}  # copies of a text count once
-    for r in rows.limit(2 * sample).toLocalIterator():  # ids that repeat do not lift the bound
-        different[bytes(r["_set"])] = r["_toxic"]
-    known_sets = sorted(different.items())
-    return learn([np.frombuffer(s, np.int32) for s, _ in known_sets], np.array([y for _, y in known_sets], np.float64))
+    found = texts(docs).join(F.broadcast(known), "_id").mapInPandas(_features, "_toxic int, _set binary")
+    different = found.groupBy("_set").agg(F.max("_toxic").alias("_toxic"))
+    # ids that repeat do not lift the bound
+    rows = written(different.orderBy(F.xxhash64("_set"), "_set").limit(2 * sample), "sample")
+    counted = rows.mapInPandas(_support, "_feature int, _n bigint").groupBy("_feature").agg(F.sum("_n").alias("_n"))
+    kept = np.zeros(1 << BITS, bool)
+    kept[[r["_feature"] for r in counted.where(F.col("_n") >= least_seen(rows.count())).select("_feature").toLocalIterator()]] = True
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [s[kept[s]] for s in (np.frombuffer(x, np.int32) for x in pdf["_set"])]
+            parts = (np.array([len(s) for s in sets], np.int32), np.concatenate(sets), pdf["_toxic"].to_numpy(np.int8))
+            yield pd.DataFrame({n: [x.tobytes()] for n, x in zip(("_sizes", "_flat", "_labels"), parts)})
+
+    parts = rows.mapInPandas(packed, "_sizes binary, _flat binary, _labels binary").toLocalIterator()
+    sizes, flat, marks = [], [], []
+    for r in parts:
+        sizes.append(np.frombuffer(r["_sizes"], np.int32))
+        flat.append(np.frombuffer(r["_flat"], np.int32))
+        marks.append(np.frombuffer(r["_labels"], np.int8))
+    if not sizes:
+        return learn([], np.zeros(0))
+    return fit(np.concatenate(flat), np.concatenate(sizes).astype(np.int64), np.concatenate(marks).astype(np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
