@@ -42,3 +42,36 @@ def test_null_and_repeated_ids_by_row(spark, tmp_path, monkeypatch):
     rows = [(None, a), (None, near), (None, b), (3, b), (4, c), (4, c), (4, d), (7, d), (2, d)]
     got = left(corpus_pipeline.drop_near_copies(spark, frame(rows), d_))
     assert [x for x in got if x[1] not in (a, near)] == sorted([(None, b), (4, c), (2, d)], key=str) and len(got) == 4
+
+
+def test_a_column_that_looks_like_the_key_decides_nothing(spark, tmp_path):
+    prepare(spark)
+    a, b = prose(1), prose(2)
+    rows = [(1, a, 7, "x"), (2, a, 7, "y"), (3, b, 7, None), (4, None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _pipeline_row int, _key string")
+    got = corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path))
+    assert got.columns[:4] == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4]
+    got.write.parquet(f"{tmp_path}/kept")
+    again = spark.read.parquet(f"{tmp_path}/kept")
+    assert corpus_pipeline._row(again) == "_pipeline_row_"
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, again, str(tmp_path)).collect()) == [1, 3, 4]
+
+
+def test_run_over_empty_and_long_texts(spark, tmp_path):
+    prepare(spark)
+    d, leak = str(tmp_path), prose(4)
+    long = " ".join(prose(100 + i, 400) for i in range(20))
+    rows = [(1, long, "s"), (2, long, "t"), (3, None, "s"), (4, "", "s"), (5, "word " + leak, "s"), (None, prose(9), None)]
+    spark.createDataFrame([("q", leak)], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 0), (3, 0)], "doc_id bigint, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    docs.write.parquet(f"{d}/documents.parquet")
+    got = corpus_pipeline.run(spark, d).collect()
+    # copies, one of two empty texts and the leak are gone; each piece of what is left is in one place
+    assert {r["doc_id"] for r in got} == {None, 1, 3}
+    for id_ in (None, 1, 3):
+        mine = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == id_)
+        assert [s for s, _ in mine] == [sum(n for _, n in mine[:i]) for i in range(len(mine))]
+        assert sum(n for _, n in mine) == next(r["doc_tokens"] for r in got if r["doc_id"] == id_)
+    docs.where("false").write.mode("overwrite").parquet(f"{d}/documents.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
