@@ -12,29 +12,40 @@ from eventloom.llm.queries import END_ID, table, tokenizer_path
 from eventloom.llm.shared import new_path, prepare, written
 
 
-#: A row's key, carried from the first stage on: decisions are taken by row, since ids may be null or repeat.
-ROW = "_pipeline_row"
+#: Marks the column that holds a row's key, carried from the first stage on: decisions are taken by row, since ids may be null or repeat.
+MARK = "corpus_pipeline_row"
+
+
+def _row(docs: DataFrame) -> str | None:
+    """The name of the key's column; one of the input's own that only looks like it is not marked."""
+    return next((f.name for f in docs.schema.fields if f.metadata.get(MARK)), None)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with their key; where there is none yet, rows are numbered and written, so that the numbers stay."""
-    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    if _row(docs):
+        return docs
+    name = "_pipeline_row"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id().alias(name, metadata={MARK: True})), "keyed")
 
 
 def _by_row(docs: DataFrame) -> DataFrame:
     """What the operators read, with the row's key as its id."""
-    return docs.select(F.col(ROW).alias("doc_id"), "text")
+    return docs.select(F.col(_row(docs)).alias("doc_id"), "text")
 
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    return docs.join(judged, ROW, "left_anti")
+    """Rows whose key is not among the doc_id of ``judged``."""
+    return docs.join(judged.select(F.col("doc_id").alias("_gone")), F.col(_row(docs)) == F.col("_gone"), "left_anti")
 
 
 def _without_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of each group in ``groups`` (row's key, _group) stays: that of the smallest doc_id (null first), and of its rows the first."""
-    members = groups.join(docs.select(ROW, "doc_id"), ROW)
-    kept = members.groupBy("_group").agg(F.min(F.struct("doc_id", ROW)).alias("_kept"), F.count("*").alias("_n")).where("_n > 1")
-    return _without(docs, members.join(kept, "_group").where(F.col(ROW) != F.col(f"_kept.{ROW}")).select(ROW))
+    """One row of each group in ``groups`` (doc_id: a row's key, _group) stays: that of the smallest doc_id (null first), and of its rows the first."""
+    members = groups.withColumnRenamed("doc_id", "_key").join(docs.select(F.col(_row(docs)).alias("_key"), F.col("doc_id").alias("_id")), "_key")
+    kept = members.groupBy("_group").agg(F.min(F.struct("_id", "_key")).alias("_kept"), F.count("*").alias("_n")).where("_n > 1")
+    return _without(docs, members.join(kept, "_group").where("_key != _kept._key").select(F.col("_key").alias("doc_id")))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +53,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = _keyed(docs)
     machine = fm_toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, fm_toxicity.scored(_by_row(docs), machine).where("predicted = 1").select(F.col("doc_id").alias(ROW)))
+    return _without(docs, fm_toxicity.scored(_by_row(docs), machine).where("predicted = 1"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +61,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepare(spark)
     docs = _keyed(docs)
     judged = extendible_index.exact_duplicates(_by_row(docs)).where("group_size > 1")
-    return _without_copies(docs, judged.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("_group")))
+    return _without_copies(docs, judged.select("doc_id", F.col("keep_id").alias("_group")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,14 +69,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     prepare(spark)
     docs = _keyed(docs)
     judged = minmax_near.near_duplicates(_by_row(docs))
-    return _without_copies(docs, judged.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group")))
+    return _without_copies(docs, judged.select("doc_id", F.col("component_id").alias("_group")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark item, verbatim or re-parameterised, go."""
     prepare(spark)
     docs = _keyed(docs)
-    return _without(docs, template_leaks.leaks(_by_row(docs), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)).distinct())
+    return _without(docs, template_leaks.leaks(_by_row(docs), table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
