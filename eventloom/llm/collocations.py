@@ -30,8 +30,8 @@ from eventloom.llm.shared import written
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Phrases in a trie (some 40 bytes each with their words), and words in the table of codes sent to the tasks.
 TRIE_PHRASES, BROADCAST_WORDS = 200_000, 1_000_000
-#: Counters a task holds before it passes them on.
-HELD = 1_000_000
+#: Counters a task holds before it passes them on; words of the corpus for each bucket of proposals; states in a block of counts.
+HELD, BUCKET_WORDS, STATES = 1_000_000, 1_000_000, 8192
 #: The language of rows without one.
 NO_LANG = "und"
 
@@ -249,13 +249,32 @@ def _frame(paths: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(filled, columns=_PATH).assign(_n=counts.astype(np.int64))
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest takes; the first byte says how many."""
+    kind = np.dtype(np.min_scalar_type(int(values.max(initial=0))))
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _large(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     values, at = np.unique(np.concatenate(keys), return_inverse=True)
     return values, np.bincount(at, np.concatenate(counts), len(values)).astype(np.int64)
 
 
-def _proposed(texts: DataFrame, send, words: int, length: int, own) -> DataFrame:
-    """Windows of ``length`` words whose beginning and end, a word shorter, are candidates, with the tasks' counts."""
+def _proposed(texts: DataFrame, send, words: int, length: int, own, least: int, buckets: int) -> DataFrame:
+    """Windows of ``length`` words whose beginning and end, a word shorter, are candidates, and that occur ``least`` times.
+
+    A window is a number: the state (or word) of its beginning and its last word. Tasks send the numbers they met, with counts, as
+    gaps: numbers are turned about within their bits, so that buckets, ranges of them, are even, and lie close in each.
+    """
+    heads = len(send.value.paths) if send else words + 1
+    bits = max(1, (heads * (words + 1)).bit_length())
+    turn, mask = 0x9E3779B97F4A7C15 | 1, (1 << bits) - 1
+    back = pow(turn, -1, 1 << bits)
+    wide = -(-(1 << bits) // buckets)
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie: Trie | None = send.value if send else None
@@ -265,8 +284,14 @@ def _proposed(texts: DataFrame, send, words: int, length: int, own) -> DataFrame
 
         def out() -> pd.DataFrame:
             key, n = _summed(keys, counts)
-            head, tail = key // (words + 1), (key % (words + 1))[:, None]
-            return _frame(np.concatenate([trie.paths[head][:, : length - 1] if trie else head[:, None], tail], 1), n)
+            key = key.astype(np.uint64) * np.uint64(turn) & np.uint64(mask)
+            order = np.argsort(key)
+            key, n = key[order].astype(np.int64), n[order]
+            bucket = key // wide
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            pieces = list(zip(cuts, np.append(cuts[1:], len(key))))
+            gaps = [_small(np.diff(key[i:j], prepend=bucket[i] * wide)) for i, j in pieces]
+            return pd.DataFrame({"_bucket": bucket[cuts], "_gaps": gaps, "_counts": [_small(n[i:j]) for i, j in pieces]})
 
         for pdf in batches:
             codes = _joined(pdf)
@@ -290,11 +315,19 @@ def _proposed(texts: DataFrame, send, words: int, length: int, own) -> DataFrame
         if held:
             yield out()
 
-    return texts.mapInPandas(propose, f"{_PATH_SCHEMA}, _n bigint")
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [key[0] * wide + np.cumsum(_large(g)) for g in pdf["_gaps"]]
+        values, n = _summed(found, [_large(c) for c in pdf["_counts"]])
+        values, n = values[n >= least], n[n >= least]
+        values = (values.astype(np.uint64) * np.uint64(back) & np.uint64(mask)).astype(np.int64)
+        head, tail = values // (words + 1), (values % (words + 1))[:, None]
+        return _frame(np.concatenate([send.value.paths[head][:, : length - 1] if send else head[:, None], tail], 1), n)
 
+    return texts.mapInPandas(propose, "_bucket bigint, _gaps binary, _counts binary").groupBy("_bucket").applyInPandas(add, f"{_PATH_SCHEMA}, _n bigint")
 
-def _counted(texts: DataFrame, send, length: int) -> DataFrame:
-    """Occurrences of the trie's phrases: each position counts once for each state it passes."""
+
+def _counted(texts: DataFrame, send, length: int, least: int) -> DataFrame:
+    """Phrases of the trie that occur ``least`` times: each position counts once for each state it passes; shards' counts come in blocks of states."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie: Trie = send.value
@@ -302,10 +335,15 @@ def _counted(texts: DataFrame, send, length: int) -> DataFrame:
         for pdf in batches:
             for state in trie.states(_joined(pdf), length)[1:]:
                 total += np.bincount(state[state >= 0], minlength=len(total))
-        met = np.flatnonzero(total)
-        yield _frame(trie.paths[met], total[met])
+        blocks = [i for i in range(0, len(total), STATES) if total[i : i + STATES].any()]
+        yield pd.DataFrame({"_block": np.array(blocks, np.int64), "_counts": [_small(total[i : i + STATES]) for i in blocks]})
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(_large(c) for c in pdf["_counts"])
+        met = np.flatnonzero(total >= least)
+        return _frame(send.value.paths[key[0] + met], total[met])
 
-    return texts.mapInPandas(count, f"{_PATH_SCHEMA}, _n bigint")
+    return texts.mapInPandas(count, "_block bigint, _counts binary").groupBy("_block").applyInPandas(add, f"{_PATH_SCHEMA}, _n bigint")
 
 
 def _everything(codes: np.ndarray) -> np.ndarray:
@@ -319,7 +357,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     counted = written(word_counts(docs), "word-counts")
     totals = counted.groupBy("_lang").agg(F.sum("_n").alias("_total"))
     words = written(coded_words(written(counted.where(F.col("_n") >= least), "frequent")), "codes")
-    size = words.count()
+    size, buckets = words.count(), 1 + (totals.agg(F.sum("_total").alias("n")).first()["n"] or 0) // BUCKET_WORDS
     texts = written(coded_texts(docs, words, broadcast_words), "coded-texts")
 
     def tries(candidates: list[DataFrame]) -> Iterator[tuple]:
@@ -337,21 +375,22 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     empty = docs.sparkSession.createDataFrame([], f"{_PATH_SCHEMA}, _n bigint")
     candidates: list[DataFrame] = []
     for length in range(2, longest + 1):
-        proposals = [_proposed(texts, None, size, 2, _everything)] if length == 2 else [_proposed(texts, send, size, length, own) for send, own in tries(candidates)]
+        known = [(None, _everything)] if length == 2 else tries(candidates)
+        proposals = [_proposed(texts, send, size, length, own, least, buckets) for send, own in known]
         rows = proposals[0]
         for more in proposals[1:]:
             rows = rows.union(more)
-        found = written(rows.groupBy(*_PATH).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least), f"phrases-{length}")
+        found = written(rows, f"phrases-{length}")
         if found.isEmpty():
             break
         candidates.append(found)
     if not candidates:
         return empty, words, totals
-    shards = [_counted(texts, send, len(candidates) + 1) for send, _ in tries(candidates)]
+    shards = [_counted(texts, send, len(candidates) + 1, least) for send, _ in tries(candidates)]
     rows = shards[0]
     for more in shards[1:]:
         rows = rows.union(more)
-    counts = written(rows.groupBy(*_PATH).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least), "phrases")
+    counts = written(rows.where("_c2 > 0"), "phrases")
     return counts, words, totals
 
 

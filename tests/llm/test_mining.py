@@ -114,7 +114,8 @@ def phrases(rows, least, longest, top):
 @pytest.mark.parametrize("trie_phrases, broadcast_words, held", [(500_000, 1_000_000, 1_000_000), (40, 0, 50)])
 def test_collocations(docs, rows, monkeypatch, trie_phrases, broadcast_words, held):
     """One trie and a table of words, and several tries with words coded by a join: the same, and that of brute force."""
-    monkeypatch.setattr(collocations, "HELD", held)
+    for name, value in (("HELD", held), ("BUCKET_WORDS", held), ("STATES", held)):
+        monkeypatch.setattr(collocations, name, value)
     got = collocations.collocations(docs, 4, 5, 60, trie_phrases, broadcast_words)
     want = phrases(rows, 4, 5, 60)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
