@@ -14,14 +14,6 @@ def array_mean(a: Column) -> Column:
     return F.when(F.size(a) > 0, array_sum(a) / F.size(a))
 
 
-def array_std(a: Column) -> Column:
-    """Sample standard deviation, null below two values."""
-    n = F.size(a)
-    mean = array_sum(a) / F.nullif(n, F.lit(0))
-    ss = F.aggregate(F.transform(a, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x)
-    return F.when(n > 1, F.sqrt(ss / F.nullif(n - 1, F.lit(0))))
-
-
 def array_quantile(a: Column, q: float, ordered: bool = False) -> Column:
     """Interpolated quantile of an array of non-null numbers; ``ordered`` if it is sorted already."""
     ordered = a if ordered else F.sort_array(a)
@@ -29,27 +21,3 @@ def array_quantile(a: Column, q: float, ordered: bool = False) -> Column:
     low = F.try_element_at(ordered, F.floor(at).cast("int") + 1)
     high = F.try_element_at(ordered, F.ceil(at).cast("int") + 1)
     return F.when(F.size(a) > 0, low + (high - low) * (at - F.floor(at)))
-
-
-def category_counts(a: Column) -> Column:
-    """Counts of the distinct values of an array, in ascending order of the value."""
-    return F.transform(F.sort_array(F.array_distinct(a)), lambda v: F.size(F.filter(a, lambda x: x == v)))
-
-
-def entropy(a: Column) -> Column:
-    """Shannon entropy (natural logarithm) of the values of an array; null when it is empty."""
-    n = F.size(a)
-    parts = F.transform(category_counts(a), lambda c: -(c / n) * F.log(c / n))
-    return F.when(n > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))
-
-
-def dominant(a: Column) -> Column:
-    """Most frequent value of an array, the smallest one on ties, with its count."""
-    values = F.sort_array(F.array_distinct(a))
-    pairs = F.transform(values, lambda v: F.struct(F.size(F.filter(a, lambda x: x == v)).alias("count"), v.alias("value")))
-    best = F.aggregate(
-        pairs,
-        F.try_element_at(pairs, F.lit(1)),
-        lambda b, x: F.when(x["count"] > b["count"], x).otherwise(b),
-    )
-    return F.when(F.size(a) > 0, best)

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.clock import col
-from eventloom.functions.arrays import array_mean, array_quantile, array_std
+from eventloom.operators.rolling import frame_statistics
 from eventloom.operators.slices import slice_width, solid_keys, time_slice, with_position
-from eventloom.operators.timeline import over_range
 
 
 CHUNK_ROWS = 100_000
@@ -101,24 +100,7 @@ def previous_row_windows(
     The window of a row is ``(t - w, t]`` cut at the row itself, so rows with an equal time that come
     later in the order stay out; the result is then moved one row on. Columns are ``<value>_<stat>_<width>``.
     """
-    makers = {
-        "mean": array_mean, "med": lambda a: array_quantile(a, 0.5, ordered=True), "p90": lambda a: array_quantile(a, 0.9, ordered=True), "std": array_std,
-    }
-    tie = F.struct(*[F.col(o) for o in order])
-    frames = {
-        f"_{v}_{w}": (lambda r, c=c, us=us: F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("_tie"), F.col(c).alias("x")))).over(r(-us + 1, 0)))
-        for v, c in values.items()
-        for w, us in widths.items()
-    }
-    framed = over_range(df.withColumn("_tie", tie), keys, order[0], max(widths.values()), frames, slice_us)
-    cols, sorts = [], {}
-    for v in values:
-        for w in widths:
-            kept = F.transform(F.filter(f"_{v}_{w}", lambda e: e["_tie"] <= F.col("_tie")), lambda e: e["x"].cast("double"))
-            sorts[f"_{v}_{w}"] = F.sort_array(kept)
-            cols += [makers[s](F.col(f"_{v}_{w}")).alias(f"_now_{v}_{s}_{w}") for s in stats]
-    framed = framed.withColumns(sorts)
-    now = framed.select(*df.columns, *cols)
-    names = [f"{v}_{s}_{w}" for v in values for w in widths for s in stats]
+    names = {f"{v}_{s}_{w}": (c, us, s) for v, c in values.items() for w, us in widths.items() for s in stats}
+    now = frame_statistics(df, keys, order, {f"_now_{n}": f for n, f in names.items()}, slice_us=slice_us)
     moved = over_rows(now, keys, order, 1, {n: (lambda r, n=n: r.lag(f"_now_{n}")) for n in names}, base=df)
     return moved.drop(*[f"_now_{n}" for n in names])

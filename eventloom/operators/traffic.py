@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.arrays import array_quantile, array_sum, dominant, entropy
+from eventloom.functions.arrays import array_quantile, array_sum
 from eventloom.functions.clock import SECOND, whole_div
 from eventloom.operators.asof import asof, next_after
 from eventloom.operators.ranks import quantiles
-from eventloom.operators.rowframes import nearest_percentile, over_rows
+from eventloom.operators.rolling import frame_statistics, mix
+from eventloom.operators.rowframes import over_rows
 from eventloom.operators.scan import since_change
-from eventloom.operators.timeline import Feature, Stream, before, between_open, events, over_range, trailing, until
+from eventloom.operators.timeline import Feature, Stream, before, between_open, events, trailing, until
 
 
 def occupancy(
@@ -93,12 +94,7 @@ def window_quantiles_asof(
 ) -> DataFrame:
     """Median, p75 and p90 of the window ``(s - w, s]`` at the last source event at or before t."""
     kept = source.where(F.col(value).isNotNull() & F.col(source_at).isNotNull()).select(*keys, source_at, F.col(value).cast("double").alias("_v"))
-    lists = over_range(kept, keys, source_at, width, {"_list": lambda r: F.collect_list("_v").over(r(-width + 1, 0))})
-    lists = lists.withColumn("_list", F.sort_array("_list"))
-    stats = lists.select(
-        *keys, source_at, array_quantile(F.col("_list"), 0.5, ordered=True).alias("_med"),
-        nearest_percentile(F.col("_list"), 0.75, ordered=True).alias("_p75"), nearest_percentile(F.col("_list"), 0.90, ordered=True).alias("_p90"),
-    )
+    stats = frame_statistics(kept, keys, [source_at], {"_med": ("_v", width, "med"), "_p75": ("_v", width, "near75"), "_p90": ("_v", width, "near90")}, peers=True)
     return asof(df, stats, keys, at, source_at, {f"{prefix}_med": "_med", f"{prefix}_p75": "_p75", f"{prefix}_p90": "_p90"}, tie="_med")
 
 
@@ -142,16 +138,15 @@ def headway_excess(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def configuration(df: DataFrame, keys: list[str], at: str, tie: str, resource: str, width: int) -> DataFrame:
     """Which resource dominates the events of ``[t - w, t)``: share, entropy, is-dominant flag, age of the state."""
-    lists = over_range(df, keys, at, width, {"_list": lambda r: F.collect_list(resource).over(r(-width, -1))})
-    top = dominant(F.col("_list"))
-    got = lists.select(
+    got = mix(df, keys, at, resource, width)
+    got = got.select(
         *df.columns,
-        F.size("_list").cast("long").alias("recent"),
-        (top["count"] / F.size("_list")).alias("dominant_share"),
-        entropy(F.col("_list")).alias("dominant_entropy"),
-        top["value"].alias("dominant"),
+        F.coalesce("n", F.lit(0)).alias("recent"),
+        F.when(F.col("n") > 0, F.col("top") / F.col("n")).alias("dominant_share"),
+        F.col("entropy").alias("dominant_entropy"),
+        "dominant",
+        F.coalesce(F.col("dominant") == F.col(resource), F.lit(False)).alias("is_dominant"),
     )
-    got = got.withColumn("is_dominant", F.coalesce(F.col("dominant") == F.col(resource), F.lit(False)))
     return since_change(got, keys, [at, tie], F.col("dominant"), "state_age_us")
 
 
