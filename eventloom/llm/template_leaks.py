@@ -5,8 +5,7 @@ units behind a number, and names (runs of capitalised words on a line, function
 readings: by case, with names, and without case, where names are words like others, so that a copy in other case is found too.
 Windows of WINDOW template words are hashed and joined with those of the benchmark items; a window with hardly any word besides
 its slots is hashed by its literal words, so it meets verbatim text only. A match is a document's and an item's words on one diagonal
-(the offset between both): the matched windows, and what follows them word for word on either side. It counts when it covers LEAST_WORDS
-words or a whole shorter item. Then the slots are compared: an item's value must stand for one value of the document throughout and
+(the offset between both) in matched windows. It counts when it covers LEAST_WORDS words or a whole shorter item. Then the slots are compared: an item's value must stand for one value of the document throughout and
 the other way round, and a match with other values must have LEAST_LITERALS plain words, so a re-parameterised question is caught,
 and text that is alike in form only is not.
 """
@@ -67,11 +66,6 @@ def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{N}}{MARK}{JOIN}{POINT}]+"), "")
 
 
-def _template(text: Column) -> Column:
-    """The text with each slot's mark and type only; it has as many words."""
-    return F.replace(F.regexp_replace(text, rf"({MARK}[nsdu])[\p{{L}}\p{{N}}{JOIN}{POINT}]*", "$1"), F.lit(MARK + "s"), F.lit(MARK + "n"))
-
-
 def _is_slot(w: Column) -> Column:
     return F.startswith(w, F.lit(MARK))
 
@@ -86,33 +80,35 @@ def _kind(w: Column) -> Column:
 
 
 def _readings(tagged: Column, which: list[int]) -> Column:
-    """(_reading, _words, _template) of a tagged text, one for each reading; without names both are one."""
-    one = [F.struct(F.lit(r).alias("_reading"), _split(_read(tagged, r)).alias("_words"), _split(_template(_read(tagged, r))).alias("_template")) for r in which]
-    return F.filter(F.array(*one), lambda x: (x["_reading"] == CASELESS) | F.contains(tagged, F.lit(MARK + "n")) | F.contains(tagged, F.lit(MARK + "s")))
-
+    """(_reading, _words) of a tagged text, one for each reading; without names both are one."""
+    one = [F.struct(F.lit(r).alias("_reading"), _split(_read(tagged, r)).alias("_words")) for r in which]
+    named = F.contains(tagged, F.lit(MARK + "n")) | F.contains(tagged, F.lit(MARK + "s"))
+    return F.filter(F.array(*one), lambda x: (x["_reading"] == CASELESS) | named)
 
-def _windows(rows: DataFrame, ks: list[int]) -> DataFrame:
-    """A row for each window of k words, k in ``ks``, with _pos, _k and its hash _h; ``rows`` has _reading, _words and _template."""
-    rolled = F.arrays_zip(*[F.slice("_template", 1 + i, F.greatest(F.size("_template"), F.lit(1))).alias(f"t{i}") for i in range(max(ks))])
-    rows = rows.withColumn("_zip", rolled)
-    kept = [c for c in rows.columns if c not in ("_zip", "_template")]
-    rows = rows.select(*kept, F.posexplode("_zip").alias("_pos", "_w"))
 
-    def hashed(k: int) -> Column:
-        parts = [F.col(f"_w.t{i}") for i in range(k)]
-        plain = sum((F.when(_is_slot(t), 0).otherwise(1) for t in parts), F.lit(0))
-        literal = F.xxhash64("_reading", F.lit(-k), F.transform(F.slice("_words", F.col("_pos") + 1, F.lit(k)), _literal))
-        return F.when(parts[-1].isNotNull(), F.when(plain >= (2 if k > 5 else 1), F.xxhash64("_reading", F.lit(k), *parts)).otherwise(literal))
+def _windows(rows: DataFrame, ks: list[int], own: list[str]) -> DataFrame:
+    """(own columns, _reading, _pos, _k, _h, _seen) for each window of k words, k in ``ks``: its place, hash and words.
 
+    The words roll by in one generator that carries no array along: a row has the words of its window only.
+    """
+    most = max(ks)
+    rolled = F.arrays_zip(*[F.slice("_words", 1 + i, F.greatest(F.size("_words"), F.lit(1))).alias(f"w{i}") for i in range(most)])
+    rows = rows.select(*own, "_reading", rolled.alias("_zip")).select(*own, "_reading", F.posexplode("_zip").alias("_pos", "_w"))
+    seen = [F.col(f"_w.w{i}") for i in range(most)]
+    rows = rows.select(*own, "_reading", "_pos", *[w.alias(f"_w{i}") for i, w in enumerate(seen)], *[_kind(w).alias(f"_t{i}") for i, w in enumerate(seen)])
+
+    def window(k: int) -> Column:
+        words, kinds = [F.col(f"_w{i}") for i in range(k)], [F.col(f"_t{i}") for i in range(k)]
+        plain = sum((F.when(_is_slot(w), 0).otherwise(1) for w in words), F.lit(0))
+        by_kind = F.xxhash64("_reading", F.lit(k), *kinds)
+        h = F.when(plain >= (2 if k > 5 else 1), by_kind).otherwise(F.xxhash64("_reading", F.lit(-k), *[_literal(w) for w in words]))
+        return F.when(words[-1].isNotNull(), h)
+
+    seen = [f"_w{i}" for i in range(most)]
     if len(ks) == 1:
-        return rows.select(*kept, "_pos", F.lit(ks[0]).alias("_k"), hashed(ks[0]).alias("_h"))
-    rows = rows.select(*kept, "_pos", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), hashed(k).alias("_h")) for k in ks])).alias("_x"))
-    return rows.select(*kept, "_pos", "_x._k", "_x._h")
-
-
-def _linked(flags: Column) -> Column:
-    """Whether each word is in a matched window (flag 2) or follows one without a gap, every word between being alike (flag 1)."""
-    return F.aggregate(flags, F.array().cast("array<boolean>"), lambda done, f: F.concat(done, F.array((f == 2) | ((f == 1) & F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(False))))))
+        return rows.select(*own, "_reading", "_pos", F.lit(most).alias("_k"), window(most).alias("_h"), *seen)
+    rows = rows.select(*own, "_reading", "_pos", *seen, F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), window(k).alias("_h")) for k in ks])).alias("_x"))
+    return rows.select(*own, "_reading", "_pos", "_x._k", "_x._h", *seen)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -127,44 +123,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(benchmark["item_id"].cast("string").alias("_item"), _tagged(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("_it"))
     items = items.withColumn("_item", F.coalesce("_item", F.lit(MARK))).select("_item", F.inline(_readings(F.col("_it"), [CASELESS, BY_CASE]))).where(F.size("_words") > 0).dropDuplicates()
     # an item shorter than WINDOW is one window of its own length
-    short = F.least(F.size("_words"), F.lit(WINDOW))
-    ks = sorted(r["k"] for r in items.select(short.alias("k")).distinct().collect()) or [WINDOW]  # WINDOW rows at most
-    theirs = _windows(items, ks).where(F.col("_k") == short).select("_item", "_reading", "_k", F.col("_words").alias("_iw"), F.col("_pos").alias("_ipos"), "_h")
+    items = items.withColumn("_short", F.least(F.size("_words"), F.lit(WINDOW))).withColumn("_text", F.xxhash64("_words"))
+    ks = sorted(r["_short"] for r in items.select("_short").distinct().collect()) or [WINDOW]  # WINDOW rows at most
+    theirs = _windows(items, ks, ["_item", "_text", "_short"]).where("_k = _short").select("_item", F.col("_text").alias("_which"), "_reading", "_k", F.col("_pos").alias("_ipos"), "_h")
     n, readings = theirs.count(), sorted(r["_reading"] for r in items.select("_reading").distinct().collect()) or [CASELESS]
     theirs = F.broadcast(theirs) if n <= BROADCAST_WINDOWS else theirs
 
-    rows = texts(docs).select("_id", _tagged(F.col("_text")).alias("_t")).select("_id", F.inline(_readings(F.col("_t"), readings)))
-    hits = _windows(rows, ks).join(theirs, ["_h", "_k", "_reading"]).withColumn("_diagonal", F.col("_pos") - F.col("_ipos"))
-    # the document's words beside the item's: what is compared goes with the hit, so no text is read again
-    off = F.greatest(-F.col("_diagonal"), F.lit(0))
-    beside = F.slice("_words", F.greatest(F.col("_diagonal"), F.lit(0)) + 1, F.size("_iw") - off)
-    hits = hits.select("_id", "_item", "_reading", "_k", "_diagonal", "_ipos", off.alias("_off"), "_iw", beside.alias("_dw"))
-    matches = hits.groupBy("_id", "_item", "_reading", "_k", "_diagonal", "_off", "_iw", "_dw").agg(F.collect_set("_ipos").alias("_starts"))
-
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p - F.col("_off"), p - F.col("_off") + F.col("_k") - 1))))
-    matches = matches.withColumn("_cover", covered).withColumn("_own", F.slice("_iw", F.col("_off") + 1, F.size("_dw")))
-    alike = F.zip_with("_own", "_dw", lambda x, y: (_kind(x) == _kind(y)).cast("int"))
-    flags = F.transform(alike, lambda same, i: F.when((same == 1) & F.array_contains("_cover", i), 2).otherwise(same))
-    matches = matches.withColumn("_flags", flags).withColumn("_in", F.zip_with(_linked(F.col("_flags")), F.reverse(_linked(F.reverse("_flags"))), lambda x, y: x | y))
-    places = F.filter(F.sequence(F.lit(0), F.size("_own") - 1), lambda i: F.element_at("_in", i + 1))
-    matches = matches.withColumn("_places", places).where(F.size("_places") > 0)
+    rows = texts(docs).select("_id", F.xxhash64("_text").alias("_text"), _tagged(F.col("_text")).alias("_t")).select("_id", "_text", F.inline(_readings(F.col("_t"), readings)))
+    hits = _windows(rows, ks, ["_id", "_text"]).join(theirs, ["_h", "_k", "_reading"])
+    # a hit brings the words of its window, so no text is read again
+    seen = F.slice(F.array(*[f"_w{i}" for i in range(max(ks))]), F.lit(1), F.col("_k"))
+    hits = hits.groupBy("_id", "_text", "_item", "_which", "_reading", (F.col("_pos") - F.col("_ipos")).alias("_diagonal")).agg(F.collect_set(F.struct("_ipos", seen.alias("_seen"))).alias("_hits"))
+    words = F.flatten(F.transform("_hits", lambda x: F.transform(x["_seen"], lambda w, i: F.struct((x["_ipos"] + i).alias("i"), w.alias("w")))))
+    matches = hits.withColumn("_beside", F.array_sort(F.array_distinct(words))).drop("_hits").join(items.select("_item", F.col("_text").alias("_which"), "_reading", F.col("_words").alias("_iw")), ["_item", "_which", "_reading"])
+    alike = lambda x: _kind(F.element_at("_iw", x["i"] + 1)) == _kind(x["w"])
+    # what a hash alone took for the same goes
+    matches = matches.withColumn("_beside", F.filter("_beside", alike)).where(F.size("_beside") > 0)
 
     width = lambda w: F.size(F.split(w, JOIN))
+    its = lambda x: F.element_at("_iw", x["i"] + 1)
     total = F.aggregate("_iw", F.lit(0), lambda n, w: n + width(w))
-    words = F.aggregate("_places", F.lit(0), lambda n, i: n + width(F.element_at("_own", i + 1)))
-    plain = F.size(F.filter("_places", lambda i: ~_is_slot(F.element_at("_own", i + 1))))
-    matches = matches.withColumn("_total", total).withColumn("_n", words).withColumn("_plain", plain)
+    covered = F.aggregate("_beside", F.lit(0), lambda n, x: n + width(its(x)))
+    plain = F.size(F.filter("_beside", lambda x: ~_is_slot(its(x))))
+    matches = matches.withColumn("_total", total).withColumn("_n", covered).withColumn("_plain", plain)
     matches = matches.where(F.col("_n") >= F.least(F.lit(LEAST_WORDS), F.col("_total")))
 
-    def pair(i: Column) -> Column:
+    def pair(p: Column) -> Column:
         # a name at the match's border may have run together with a name outside
         named = lambda w: F.when(F.startswith(w, F.lit(MARK + "s")), F.concat(F.lit(MARK + "n"), F.substring(w, 3, 1 << 30))).otherwise(w)
-        x, y = named(F.element_at("_own", i + 1)), named(F.element_at("_dw", i + 1))
-        loose = ((i == F.element_at("_places", 1)) | (i == F.element_at("_places", -1))) & (width(x) < width(y))
+        x, y = named(its(p)), named(p["w"])
+        loose = ((p["i"] == F.element_at("_beside", 1)["i"]) | (p["i"] == F.element_at("_beside", -1)["i"])) & (width(x) < width(y))
         same = (x == y) | (loose & (F.startswith(y, F.concat(x, F.lit(JOIN))) | F.endswith(y, F.concat(F.lit(JOIN), _literal(x)))))
         return F.struct(x.alias("x"), y.alias("y"), loose.alias("loose"), same.alias("same"))
 
-    judged = matches.withColumn("_pairs", F.transform(F.filter("_places", lambda i: _is_slot(F.element_at("_own", i + 1))), pair))
+    judged = matches.withColumn("_pairs", F.transform(F.filter("_beside", lambda x: _is_slot(its(x))), pair))
     judged = judged.withColumn("_different", F.array_distinct(F.transform(F.filter("_pairs", lambda p: ~p["loose"]), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
     values = lambda side: F.size(F.array_distinct(F.transform("_different", lambda p: p[side])))
     judged = judged.where((F.size("_different") == values("x")) & (F.size("_different") == values("y"))).withColumn("_changed", F.exists("_pairs", lambda p: ~p["same"]))
