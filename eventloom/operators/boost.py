@@ -1,79 +1,64 @@
-"""Models of the residual and of the tail on Spark ML, applied and spliced as columns."""
+"""Models of the residual and of the tail, calibrations and regimes, applied and spliced as columns."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.rows import clip
+from eventloom.operators import trees
 from eventloom.operators.calib import mean_of
 
-MISSING = -1e6  # stands for a missing input in tree models, outside every real range
-
-
-def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    """Feature vector of numeric columns; missing values become one far value, which trees can split off."""
-    filled = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in features})
-    return VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="_features").transform(filled)
-
+def _grown(train: DataFrame, features: list[str], y: Column, base: Column, held: str | None, settings: trees.Settings, models: list | None = None, member: Column | None = None, **kw) -> trees.Forest:
+    member = F.array(F.lit(0)) if member is None else member
+    return trees.fit(train, features, y, models or ["all"], member, settings=settings, base=base, held=F.col(held) if held else None, **kw)
 
-def fit_regressor(
-    train: DataFrame, features: list[str], label: Column, seed: int = 1, rounds: int = 20, depth: int = 5,
-    weight: str | None = None, stop_on: str | None = None,
-):
-    """Boosted trees on a label; ``stop_on`` names a boolean column of rows kept for early stopping."""
-    extra = {"weightCol": weight} if weight else {}
-    if stop_on:
-        extra["validationIndicatorCol"] = stop_on
-    model = GBTRegressor(featuresCol="_features", labelCol="_label", maxIter=rounds, maxDepth=depth, seed=seed, subsamplingRate=0.8, **extra)
-    return model.fit(assemble(train, features).withColumn("_label", label.cast("double")))
-
-
-def predict(model, df: DataFrame, features: list[str], name: str) -> DataFrame:
-    return model.transform(assemble(df, features)).select(*df.columns, F.col("prediction").alias(name))
 
+def residual_boost(
+    train: DataFrame, apply_to: DataFrame, features: list[str], y: str, base: str, name: str, held: str | None = None, seed: int = 1, settings: trees.Settings = trees.Settings()
+) -> DataFrame:
+    """Base prediction plus a boosted estimate of what it leaves over; ``held`` names a boolean column of rows kept for early stopping.
 
-def residual_boost(train: DataFrame, apply_to: DataFrame, features: list[str], y: str, base: str, name: str, **kw) -> DataFrame:
-    """Base prediction plus a boosted estimate of what it leaves over."""
-    model = fit_regressor(train, features, F.col(y) - F.col(base), **kw)
-    got = predict(model, apply_to, features, "_left")
-    return got.withColumn(name, F.col(base) + F.col("_left")).drop("_left")
+    With the quantile loss it is the quantile of y, with the Huber loss an estimate that far values pull no more than ``settings.at``.
+    """
+    forest = _grown(train, features, F.col(y), F.col(base), held, settings, seeds=[seed])
+    return trees.predict(forest, apply_to, "_left").withColumn(name, F.col(base) + F.col("_left")).drop("_left")
 
 
 def entity_experts(
-    train: DataFrame, apply_to: DataFrame, entity: str, entities: list, min_rows: int, features: list[str], y: str, base: str, name: str, **kw
+    train: DataFrame, apply_to: DataFrame, entity: str, min_rows: int, features: list[str], y: str, base: str, name: str, held: str | None = None, settings: trees.Settings = trees.Settings()
 ) -> DataFrame:
-    """A model of its own for every listed entity with enough rows, the pooled model for the rest.
+    """A model of its own for every entity with enough rows, the pooled model for the rest; all of them grow in the same jobs.
 
-    The list of entities comes from the caller and bounds the number of models.
+    Rows without an entity have no expert. The entities with enough rows, at most rows / ``min_rows``, come to the driver.
     """
-    counts = {r[entity]: r["n"] for r in train.where(F.col(entity).isin(entities)).groupBy(entity).agg(F.count(F.lit(1)).alias("n")).collect()}
-    strong = [e for e in entities if counts.get(e, 0) >= min_rows]
-    pooled = residual_boost(train, apply_to, features, y, base, name, **kw)
-    # rows without an entity have no expert: the pooled model is theirs
-    parts = [pooled.where(~F.coalesce(F.col(entity).isin(strong), F.lit(False))) if strong else pooled]
-    for e in strong:
-        one = F.col(entity) == F.lit(e)
-        parts.append(residual_boost(train.where(one), apply_to.where(one), features, y, base, name, **kw))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def slice_specialist(train: DataFrame, apply_to: DataFrame, mask: Column, features: list[str], y: str, general: str, name: str, bounds: tuple[float, float] | None = None, **kw) -> DataFrame:
+    counted = train.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+    strong = sorted(r[entity] for r in counted.select(entity).collect())
+    kind = train.schema[entity].dataType
+    numbers = train.sparkSession.createDataFrame([(e, i + 1) for i, e in enumerate(strong)], f"_entity {kind.simpleString()}, _expert int")
+    numbered = lambda df: df.join(numbers, df[entity] == numbers["_entity"], "left").drop("_entity")
+    member = F.array_compact(F.array(F.lit(0), F.col("_expert")))
+    forest = _grown(numbered(train), features, F.col(y), F.col(base), held, settings, ["pooled", *strong], member)
+    got = trees.predict(forest, numbered(apply_to), "_left", F.coalesce("_expert", F.lit(0)))
+    return got.withColumn(name, F.col(base) + F.col("_left")).drop("_left", "_expert")
+
+
+def slice_specialist(
+    train: DataFrame, apply_to: DataFrame, mask: Column, features: list[str], y: str, general: str, name: str, bounds: tuple[float, float] | None = None, held: str | None = None, settings: trees.Settings = trees.Settings()
+) -> DataFrame:
     """A model around the slice's own mean for the masked rows, the general prediction elsewhere; ``bounds`` clips the specialist."""
     part = train.where(mask)
     centre = part.agg(F.avg(y)).scalar()
-    centred = part.withColumn("_centre", centre)
-    special = residual_boost(centred, apply_to.withColumn("_centre", centre), features, y, "_centre", "_special", **kw)
+    special = residual_boost(part.withColumn("_centre", centre), apply_to.withColumn("_centre", centre), features, y, "_centre", "_special", held, settings=settings)
     chosen = clip(F.col("_special"), *bounds) if bounds else F.col("_special")
     return special.withColumn(name, F.when(mask, chosen).otherwise(F.col(general))).drop("_centre", "_special")
 
@@ -83,14 +68,12 @@ def balanced_weight(flag: Column, share: Column) -> Column:
     return F.when(flag, F.lit(0.5) / share).otherwise(F.lit(0.5) / (F.lit(1.0) - share))
 
 
-def tail_probability(train: DataFrame, apply_to: DataFrame, features: list[str], event: Column, name: str, rounds: int = 20, depth: int = 4, seed: int = 1) -> DataFrame:
-    """Probability of a rare event from balanced boosted trees."""
+def tail_probability(train: DataFrame, apply_to: DataFrame, features: list[str], event: Column, name: str, held: str | None = None, settings: trees.Settings = trees.Settings()) -> DataFrame:
+    """Probability of a rare event from balanced boosted trees with the logistic loss."""
     flagged = train.withColumn("_label", event.cast("double"))
-    share = flagged.agg(F.avg("_label")).scalar()
-    fit = assemble(flagged.withColumn("_w", balanced_weight(F.col("_label") == 1, share)), features)
-    model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed).fit(fit)
-    got = model.transform(assemble(apply_to, features))
-    return got.select(*apply_to.columns, vector_to_array("probability")[1].alias(name))
+    weight = balanced_weight(F.col("_label") == 1, flagged.agg(F.avg("_label")).scalar())
+    forest = _grown(flagged, features, F.col("_label"), F.lit(0.0), held, replace(settings, loss="logistic"), weight=weight)
+    return trees.predict(forest, apply_to, "_raw").withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_raw")))).drop("_raw")
 
 
 def propensity(train: DataFrame, apply_to: DataFrame, features: list[str], event: Column, name: str) -> DataFrame:
@@ -106,12 +89,16 @@ def propensity(train: DataFrame, apply_to: DataFrame, features: list[str], event
     return model.transform(filled(apply_to)).select(*apply_to.columns, vector_to_array("probability")[1].alias(name))
 
 
-def seed_average(train: DataFrame, apply_to: DataFrame, features: list[str], y: str, base: str, seeds: list[int], name: str, **kw) -> DataFrame:
-    """Mean prediction of the same model under several seeds."""
+def seed_average(
+    train: DataFrame, apply_to: DataFrame, features: list[str], y: str, base: str, seeds: list[int], name: str, held: str | None = None, settings: trees.Settings = trees.Settings()
+) -> DataFrame:
+    """Mean prediction of the same model under several seeds, which grow in the same jobs."""
+    member = F.array(*[F.lit(i) for i in range(len(seeds))])
+    forest = _grown(train, features, F.col(y), F.col(base), held, settings, seeds, member, seeds=seeds)
     got = apply_to
-    for s in seeds:
-        got = residual_boost(train, got, features, y, base, f"_p{s}", seed=s, **kw)
-    return got.withColumn(name, mean_of([f"_p{s}" for s in seeds])).drop(*[f"_p{s}" for s in seeds])
+    for i, s in enumerate(seeds):
+        got = trees.predict(forest, got, f"_p{s}", F.lit(i))
+    return got.withColumn(name, F.col(base) + mean_of([f"_p{s}" for s in seeds])).drop(*[f"_p{s}" for s in seeds])
 
 
 def isotonic(train: DataFrame, apply_to: DataFrame, x: str, y: str, name: str) -> DataFrame:
@@ -149,7 +136,7 @@ def regimes(df: DataFrame, features: list[str], ks: list[int], name: str, seed:
     return models[best].transform(scaled).select(*df.columns, name), best, scores
 
 
-def importance(model, features: list[str], classes: dict[str, str]):
-    """(feature, class, importance) rows of a tree model, as plain tuples."""
-    values = model.featureImportances.toArray()
-    return [(f, classes.get(f, "other"), float(v)) for f, v in zip(features, values)]
+def importance(train: DataFrame, features: list[str], y: str, base: str, classes: dict[str, str], held: str | None = None, settings: trees.Settings = trees.Settings()) -> list[tuple[str, str, float]]:
+    """(feature, class, share of the gain) of a boosted model of the residual."""
+    forest = _grown(train, features, F.col(y), F.col(base), held, settings)
+    return [(f, classes.get(f, "other"), share) for f, share in trees.importance(forest).items()]

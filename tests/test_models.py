@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventloom.operators import boost, calib, history, robust, score
+from eventloom.operators import boost, calib, history, robust, score, trees
 
 
 def test_group_ols_and_nonnegative_weights(spark):
@@ -61,10 +61,10 @@ def test_boosting_improves_and_specialist_stays_on_its_slice(spark):
     rows = [(i, float(i % 7), rng.uniform(0, 1), i % 2 == 0) for i in range(400)]
     rows = [(i, a, b, m, 100 * a + 50 * b + (500 if m else 0), 300.0) for i, a, b, m in rows]
     df = spark.createDataFrame(rows, "id long, a double, b double, m boolean, y double, base double")
-    got = boost.residual_boost(df, df, ["a", "b"], "y", "base", "p", rounds=5, depth=3)
+    got = boost.residual_boost(df, df, ["a", "b"], "y", "base", "p", settings=trees.Settings(rounds=5, depth=3, rate=0.3))
     s = {r.predictor: r.rmse for r in score.league(got, "y", {"base": F.col("base"), "p": F.col("p")}).collect()}
     assert s["p"] < s["base"]
-    special = boost.slice_specialist(df, df, F.col("m"), ["a", "b"], "y", "base", "p", rounds=3, depth=3)
+    special = boost.slice_specialist(df, df, F.col("m"), ["a", "b"], "y", "base", "p", settings=trees.Settings(rounds=3, depth=3, rate=0.3))
     assert special.where("NOT m AND p <> base").count() == 0
     assert special.where("m AND p = base").count() == 0
 

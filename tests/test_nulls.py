@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import boost
+from eventloom.operators import boost, trees
 from eventloom.operators.rowframes import over_rows
 from eventloom.operators.timeline import before, events, over_range, trailing
 
@@ -32,5 +32,5 @@ def test_isotonic_takes_any_range(spark):
 
 def test_experts_keep_rows_without_an_entity(spark):
     df = spark.createDataFrame([(i, [None, "a", "b"][i % 3], float(i % 7), float(i)) for i in range(60)], "id long, e string, x double, y double").withColumn("base", F.lit(0.0))
-    got = boost.entity_experts(df, df, "e", ["a", "b"], 5, ["x"], "y", "base", "p", rounds=2, depth=2)
+    got = boost.entity_experts(df, df, "e", 5, ["x"], "y", "base", "p", settings=trees.Settings(rounds=2, depth=2, least_rows=2))
     assert got.count() == 60 and got.where("p is null").count() == 0
