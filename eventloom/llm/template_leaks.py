@@ -43,72 +43,68 @@ BY_CASE, CASELESS = 1, 0
 
 
 def _tagged(text: Column) -> Column:
-    """The text in lower case; a slot is the mark, its type (n name, s name behind the end of a sentence, d number, u unit) and its value."""
-    space = r"[\x20\x09-\x0D]+"
-    name = rf"(?=\p{{Lu}}\p{{Ll}})(?!(?i:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}\p{{N}}]))"
-    t = F.translate(text, MARK + JOIN + POINT, "   ")
-    t = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", POINT)
-    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},;])({space}){name}", f"$1{MARK}n")
-    t = F.regexp_replace(t, rf"(?<!\p{{L}}){name}", f"{MARK}s")
-    # a run of names on one line is one; its first word says nothing of a sentence's begin any more
-    t = F.regexp_replace(t, rf"(?=[\x20\x09]+{MARK}[ns])(?<={MARK}[ns]\p{{L}}{{1,60}})[\x20\x09]+{MARK}[ns]", JOIN)
-    t = F.regexp_replace(t, rf"{MARK}s(?=\p{{L}}+{JOIN})", f"{MARK}n")
+    """The words in lower case, a space between; a slot is the mark, its type (n name, d number, u unit) and its value."""
+    name = rf"(?=\p{{Lu}}\p{{Ll}})(?<!\p{{L}})(?!(?i:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}\p{{N}}]))"
+    marked = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(JOIN)) | F.contains(text, F.lit(POINT))
+    t = F.when(marked, F.translate(text, MARK + JOIN + POINT, "   ")).otherwise(text)
+    t = F.regexp_replace(t, r"[.,](?=\p{N})(?<=\p{N}[.,])", POINT)
+    t = F.regexp_replace(t, name, f"{MARK}n")
+    # a run of names on one line is one
+    t = F.regexp_replace(t, rf"(?=[\x20\x09]+{MARK}n)(?<={MARK}n\p{{L}}{{1,60}})[\x20\x09]+{MARK}n", JOIN)
     t = F.regexp_replace(t, rf"(\p{{N}}[\p{{N}}{POINT}]*)", f" {MARK}d$1 ")
-    return F.regexp_replace(F.lower(t), rf"({MARK}d[\p{{N}}{POINT}]+[\x20-]+)(?:{MARK}[ns])?(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f"$1{MARK}u")
+    t = F.regexp_replace(F.lower(t), rf"({MARK}d[\p{{N}}{POINT}]+[\x20-]+)(?:{MARK}n)?(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f"$1{MARK}u")
+    return F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{MARK}{JOIN}{POINT}]+", " ")
 
 
 def _read(tagged: Column, reading: int) -> Column:
     """The tagged text in one reading: without case, names are plain words."""
-    return tagged if reading == BY_CASE else F.translate(F.regexp_replace(tagged, f"{MARK}[ns]", ""), JOIN, " ")
+    return tagged if reading == BY_CASE else F.replace(F.replace(tagged, F.lit(MARK + "n"), F.lit("")), F.lit(JOIN), F.lit(" "))
 
 
-def _split(text: Column) -> Column:
-    return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{N}}{MARK}{JOIN}{POINT}]+"), "")
+def _words(text: Column) -> Column:
+    return F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(text), " "))
 
 
-def _is_slot(w: Column) -> Column:
-    return F.startswith(w, F.lit(MARK))
+def _template(words: Column) -> Column:
+    """Words, a space between, with each slot's mark and type only."""
+    return F.regexp_replace(words, f"({MARK}[ndu])[^ ]*", "$1")
 
 
-def _literal(w: Column) -> Column:
-    return F.when(_is_slot(w), F.substring(w, 3, 1 << 30)).otherwise(w)
+def _is_slot(w: Column) -> Column:
+    return F.startswith(w, F.lit(MARK))
 
 
 def _kind(w: Column) -> Column:
     """A word as its template has it."""
-    return F.when(_is_slot(w), F.replace(F.substring(w, 1, 2), F.lit("s"), F.lit("n"))).otherwise(w)
+    return F.when(_is_slot(w), F.substring(w, 1, 2)).otherwise(w)
 
 
 def _readings(tagged: Column, which: list[int]) -> Column:
-    """(_reading, _words) of a tagged text, one for each reading; without names both are one."""
-    one = [F.struct(F.lit(r).alias("_reading"), _split(_read(tagged, r)).alias("_words")) for r in which]
-    named = F.contains(tagged, F.lit(MARK + "n")) | F.contains(tagged, F.lit(MARK + "s"))
-    return F.filter(F.array(*one), lambda x: (x["_reading"] == CASELESS) | named)
+    """(_reading, _words, _kinds) of a tagged text, one for each reading; without names the one by case is the other, and empty here."""
+    none = F.array().cast("array<string>")
+    named = lambda r, c: c if r == CASELESS else F.when(F.contains(tagged, F.lit(MARK + "n")), c).otherwise(none)
+    return F.array(*[F.struct(F.lit(r).alias("_reading"), named(r, _words(_read(tagged, r))).alias("_words"), named(r, _words(_template(_read(tagged, r)))).alias("_kinds")) for r in which])
 
 
 def _windows(rows: DataFrame, ks: list[int], own: list[str]) -> DataFrame:
-    """(own columns, _reading, _pos, _k, _h, _seen) for each window of k words, k in ``ks``: its place, hash and words.
+    """(own columns, _reading, _pos, _words, _k, _h) for each window of k words, k in ``ks``; ``rows`` has _reading, _words and _kinds.
 
-    The words roll by in one generator that carries no array along: a row has the words of its window only.
+    A row refers to its text's words; they are not copied as long as it stays in the generated code, so callers take what they need
+    of them before a shuffle.
     """
-    most = max(ks)
-    rolled = F.arrays_zip(*[F.slice("_words", 1 + i, F.greatest(F.size("_words"), F.lit(1))).alias(f"w{i}") for i in range(most)])
-    rows = rows.select(*own, "_reading", rolled.alias("_zip")).select(*own, "_reading", F.posexplode("_zip").alias("_pos", "_w"))
-    seen = [F.col(f"_w.w{i}") for i in range(most)]
-    rows = rows.select(*own, "_reading", "_pos", *[w.alias(f"_w{i}") for i, w in enumerate(seen)], *[_kind(w).alias(f"_t{i}") for i, w in enumerate(seen)])
+    rows = rows.select(*own, "_reading", "_words", "_kinds", F.posexplode("_words").alias("_pos", "_w0"))
 
     def window(k: int) -> Column:
-        words, kinds = [F.col(f"_w{i}") for i in range(k)], [F.col(f"_t{i}") for i in range(k)]
-        plain = sum((F.when(_is_slot(w), 0).otherwise(1) for w in words), F.lit(0))
-        by_kind = F.xxhash64("_reading", F.lit(k), *kinds)
-        h = F.when(plain >= (2 if k > 5 else 1), by_kind).otherwise(F.xxhash64("_reading", F.lit(-k), *[_literal(w) for w in words]))
-        return F.when(words[-1].isNotNull(), h)
+        words, kinds = ([F.get(c, F.col("_pos") + i) for i in range(k)] for c in ("_words", "_kinds"))
+        plain = sum((F.when(_is_slot(t), 0).otherwise(1) for t in kinds), F.lit(0))
+        # a window with hardly a word besides its slots goes by their values
+        h = F.when(plain >= (2 if k > 5 else 1), F.xxhash64("_reading", F.lit(k), *kinds)).otherwise(F.xxhash64("_reading", F.lit(-k), *words))
+        return F.when(F.col("_pos") + k <= F.size("_kinds"), h)
 
-    seen = [f"_w{i}" for i in range(most)]
+    rows = rows.select(*own, "_reading", "_pos", "_words", "_kinds")
     if len(ks) == 1:
-        return rows.select(*own, "_reading", "_pos", F.lit(most).alias("_k"), window(most).alias("_h"), *seen)
-    rows = rows.select(*own, "_reading", "_pos", *seen, F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), window(k).alias("_h")) for k in ks])).alias("_x"))
-    return rows.select(*own, "_reading", "_pos", "_x._k", "_x._h", *seen)
+        return rows.select("*", F.lit(ks[0]).alias("_k"), window(ks[0]).alias("_h")).drop("_kinds")
+    return rows.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), window(k).alias("_h")) for k in ks])).alias("_x")).select(*own, "_reading", "_pos", "_words", "_x._k", "_x._h")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -121,7 +117,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pair; other columns are ignored; an empty table on either side gives an empty result.
     """
     items = benchmark.select(benchmark["item_id"].cast("string").alias("_item"), _tagged(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("_it"))
-    items = items.withColumn("_item", F.coalesce("_item", F.lit(MARK))).select("_item", F.inline(_readings(F.col("_it"), [CASELESS, BY_CASE]))).where(F.size("_words") > 0).dropDuplicates()
+    items = items.withColumn("_item", F.coalesce("_item", F.lit(MARK)))
+    items = items.select("_item", F.inline(_readings(F.col("_it"), [CASELESS, BY_CASE]))).where(F.size("_words") > 0).dropDuplicates()
     # an item shorter than WINDOW is one window of its own length
     items = items.withColumn("_short", F.least(F.size("_words"), F.lit(WINDOW))).withColumn("_text", F.xxhash64("_words"))
     ks = sorted(r["_short"] for r in items.select("_short").distinct().collect()) or [WINDOW]  # WINDOW rows at most
@@ -129,10 +126,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n, readings = theirs.count(), sorted(r["_reading"] for r in items.select("_reading").distinct().collect()) or [CASELESS]
     theirs = F.broadcast(theirs) if n <= BROADCAST_WINDOWS else theirs
 
-    rows = texts(docs).select("_id", F.xxhash64("_text").alias("_text"), _tagged(F.col("_text")).alias("_t")).select("_id", "_text", F.inline(_readings(F.col("_t"), readings)))
+    rows = texts(docs).select("_id", F.xxhash64("_text").alias("_text"), _tagged(F.col("_text")).alias("_t"))
+    rows = rows.select("_id", "_text", F.inline(_readings(F.col("_t"), readings)))
     hits = _windows(rows, ks, ["_id", "_text"]).join(theirs, ["_h", "_k", "_reading"])
     # a hit brings the words of its window, so no text is read again
-    seen = F.slice(F.array(*[f"_w{i}" for i in range(max(ks))]), F.lit(1), F.col("_k"))
+    seen = F.slice("_words", F.col("_pos") + 1, F.col("_k"))
     hits = hits.groupBy("_id", "_text", "_item", "_which", "_reading", (F.col("_pos") - F.col("_ipos")).alias("_diagonal")).agg(F.collect_set(F.struct("_ipos", seen.alias("_seen"))).alias("_hits"))
     words = F.flatten(F.transform("_hits", lambda x: F.transform(x["_seen"], lambda w, i: F.struct((x["_ipos"] + i).alias("i"), w.alias("w")))))
     matches = hits.withColumn("_beside", F.array_sort(F.array_distinct(words))).drop("_hits").join(items.select("_item", F.col("_text").alias("_which"), "_reading", F.col("_words").alias("_iw")), ["_item", "_which", "_reading"])
@@ -150,10 +148,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def pair(p: Column) -> Column:
         # a name at the match's border may have run together with a name outside
-        named = lambda w: F.when(F.startswith(w, F.lit(MARK + "s")), F.concat(F.lit(MARK + "n"), F.substring(w, 3, 1 << 30))).otherwise(w)
-        x, y = named(its(p)), named(p["w"])
+        x, y = its(p), p["w"]
         loose = ((p["i"] == F.element_at("_beside", 1)["i"]) | (p["i"] == F.element_at("_beside", -1)["i"])) & (width(x) < width(y))
-        same = (x == y) | (loose & (F.startswith(y, F.concat(x, F.lit(JOIN))) | F.endswith(y, F.concat(F.lit(JOIN), _literal(x)))))
+        same = (x == y) | (loose & (F.startswith(y, F.concat(x, F.lit(JOIN))) | F.endswith(y, F.concat(F.lit(JOIN), F.substring(x, 3, 1 << 30)))))
         return F.struct(x.alias("x"), y.alias("y"), loose.alias("loose"), same.alias("same"))
 
     judged = matches.withColumn("_pairs", F.transform(F.filter("_beside", lambda x: _is_slot(its(x))), pair))
