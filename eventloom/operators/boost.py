@@ -10,7 +10,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,25 +100,6 @@ def seed_average(
     return got.withColumn(name, F.col(base) + mean_of([f"_p{s}" for s in seeds])).drop(*[f"_p{s}" for s in seeds])
 
 
-def isotonic(train: DataFrame, apply_to: DataFrame, x: str, y: str, name: str) -> DataFrame:
-    """Monotone calibration of a score of any range. The fit sees one weighted point for each distinct finite score; rows without one get null."""
-    usable = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    points = train.where(usable(x) & usable(y)).groupBy(F.col(x).cast("double").alias("_at")).agg(F.avg(y).alias("_label"), F.count(F.lit(1)).cast("double").alias("_w"))
-    model = IsotonicRegression(featuresCol="_at", labelCol="_label", weightCol="_w").fit(points)
-    got = model.transform(apply_to.withColumn("_at", F.when(usable(x), F.col(x).cast("double")).otherwise(F.lit(0.0))))
-    return got.select(*apply_to.columns, F.when(usable(x), F.col("prediction")).alias(name))
-
-
-def group_isotonic(train: DataFrame, apply_to: DataFrame, group: str, values: list, x: str, y: str, name: str) -> DataFrame:
-    """One monotone calibration per listed group value, the global one for other rows."""
-    listed = F.col(group).isin(values)
-    out = isotonic(train, apply_to.where(~listed | F.col(group).isNull()), x, y, name)
-    for v in values:
-        one = F.col(group) == F.lit(v)
-        out = out.unionByName(isotonic(train.where(one), apply_to.where(one), x, y, name))
-    return out
-
-
 def regimes(df: DataFrame, features: list[str], ks: list[int], name: str, seed: int = 1) -> tuple[DataFrame, int, dict[int, float]]:
     """Cluster standardised states; the number of clusters with the best silhouette wins."""
     filled = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from eventloom.functions.clock import HOUR
 from eventloom.operators import asof as joins
 from eventloom.operators import boost, calib, split, traffic, trees
+from eventloom.operators.monotone import isotonic
 from eventloom.operators.timeline import Stream
 from eventloom.plans.encode_queries import train_val
 from eventloom.plans.registry import query
 from eventloom.plans.tables import ticks
 
 FEATURES = ["late", "taken", "hour", "month", "slot", "carrier", "kind"]
-#: The entities that ``tables.moves`` makes.
-ENTITIES = list(range(10))
 
 
 def data(spark, folder):
@@ -24,13 +23,45 @@ def data(spark, folder):
     return tr, va.withColumn("base", F.col("late"))
 
 
-@query("m06_isotonic")
+def steps_sql(group: str) -> str:
+    """Points of the monotone fit by its definition: the highest over all begins of the lowest over all ends of the mean between them."""
+    return f"""SELECT g, x, max(low) AS v FROM (
+    SELECT a.g, b.x, min((b.s - a.s + a.t) / (b.w - a.w + a.n)) OVER (PARTITION BY a.g, a.i ORDER BY b.i DESC) AS low
+    FROM {group} a JOIN {group} b ON a.g = b.g AND a.i <= b.i)
+  GROUP BY g, x"""
+
+
+def points_sql(group: str) -> str:
+    return f"""SELECT {group} AS g, late AS x, sum(y) AS t, count(*) AS n, row_number() OVER (PARTITION BY {group} ORDER BY late) AS i,
+    sum(sum(y)) OVER (PARTITION BY {group} ORDER BY late) AS s, sum(count(*)) OVER (PARTITION BY {group} ORDER BY late) AS w FROM tr GROUP BY {group}, late"""
+
+
+def between_sql(low: str, high: str) -> str:
+    return f"""CASE WHEN {low}.v IS NULL THEN {high}.v WHEN {high}.v IS NULL OR {low}.v = {high}.v OR {low}.x = {high}.x THEN {low}.v
+    ELSE {low}.v + (va.late - {low}.x) / ({high}.x - {low}.x) * ({high}.v - {low}.v) END"""
+
+
+@query(
+    "m06_isotonic",
+    f"""WITH $TV, pe AS ({points_sql("entity")}), fe AS ({steps_sql("pe")}),
+pl AS ({points_sql("kind")}), fl AS ({steps_sql("pl")})
+SELECT va.id, va.late, round({between_sql("el", "eh")}, 4) AS iso_entity, round({between_sql("ll", "lh")}, 4) AS iso_kind
+FROM va ASOF LEFT JOIN fe el ON el.g = va.entity AND va.late >= el.x ASOF LEFT JOIN fe eh ON eh.g = va.entity AND va.late <= eh.x
+  ASOF LEFT JOIN fl ll ON ll.g = va.kind AND va.late >= ll.x ASOF LEFT JOIN fl lh ON lh.g = va.kind AND va.late <= lh.x""",
+)
 def m06(spark, folder):
-    """M6: monotone calibration, global and for every entity."""
-    tr, va = data(spark, folder)
-    got = boost.isotonic(tr, va, "late", "y", "iso")
-    got = boost.group_isotonic(tr, got, "entity", ENTITIES, "late", "y", "iso_entity")
-    return got.select("id", "late", F.round("iso", 4).alias("iso"), F.round("iso_entity", 4).alias("iso_entity"))
+    """M6: monotone calibration for every entity, and for every kind."""
+    tr, va = train_val(spark, folder)
+    got = isotonic(tr, va, "late", "y", "iso_entity", ["entity"])
+    got = isotonic(tr, got, "late", "y", "iso_kind", ["kind"])
+    return got.select("id", "late", F.round("iso_entity", 4).alias("iso_entity"), F.round("iso_kind", 4).alias("iso_kind"))
+
+
+@query("m06b_isotonic_pooled")
+def m06b(spark, folder):
+    """M6: one monotone calibration of all rows."""
+    tr, va = train_val(spark, folder)
+    return isotonic(tr, va, "late", "y", "iso").select("id", "late", F.round("iso", 4).alias("iso"))
 
 
 @query("m07_residual_boost")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventloom.operators import boost, calib, history, robust, score, trees
+from eventloom.operators import boost, calib, history, monotone, robust, score, trees
 
 
 def test_group_ols_and_nonnegative_weights(spark):
@@ -49,7 +49,7 @@ def test_isotonic_equals_pooling(spark):
     rng = random.Random(3)
     rows = [(i, float(rng.randrange(30)), rng.uniform(0, 100)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, x double, y double")
-    got = {r.x: r.p for r in boost.isotonic(df, df, "x", "y", "p").collect()}
+    got = {r.x: r.p for r in monotone.isotonic(df, df, "x", "y", "p").collect()}
     xs = sorted({x for _, x, _ in rows})
     groups = [[y for _, x, y in rows if x == v] for v in xs]
     want = pool([sum(g) / len(g) for g in groups], [len(g) for g in groups])
@@ -106,3 +106,25 @@ def test_robust_corrections(spark):
     scale = robust.robust_scale(df, "r").first()
     assert scale.mad == np.median(np.abs(x - np.median(x))) and scale.n == 100
     assert robust.positive_median(df.where("r < 0"), "r").first().scale == 1800.0
+
+
+def test_monotone_fits_of_groups_merge(spark, monkeypatch):
+    """Pools of slices, pooled again, are the pools of all points; null groups, rows without a score and unknown groups."""
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([float(rng.randrange(-40, 40)), None, float("nan"), rng.uniform(-1e6, 1e6)]), float(rng.randrange(100))) for i in range(500)]
+    rows = [(i, g, x, y + (x or 0) / 1e5 if x == x else None) for i, g, x, y in rows]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double").repartition(4)
+    asked = df.select("id", "g", "x").union(spark.createDataFrame([(900, "a", 0.5), (901, "a", -1e9), (902, "a", 1e9), (903, "new", 1.0), (904, None, None)], "id long, g string, x double"))
+    got = {r.id: r.p for r in monotone.isotonic(df, asked, "x", "y", "p", ["g"]).collect()}
+    assert len(got) == 505
+    for g in ("a", "b", None):
+        part = {}
+        for _, h, x, y in rows:
+            if h == g and x is not None and x == x and y is not None:
+                part.setdefault(x, []).append(y)
+        xs = sorted(part)
+        fit = pool([sum(part[x]) / len(part[x]) for x in xs], [len(part[x]) for x in xs])
+        for r in asked.where(F.col("g").eqNullSafe(F.lit(g))).collect():
+            usable = r.x is not None and r.x == r.x
+            assert got[r.id] is None if not usable else abs(got[r.id] - np.interp(r.x, xs, fit)) < 1e-9
+    assert got[903] is None

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import boost, trees
+from eventloom.operators import boost, monotone, trees
 from eventloom.operators.rowframes import over_rows
 from eventloom.operators.timeline import before, events, over_range, trailing
 
@@ -26,7 +26,7 @@ def test_sums_leave_out_what_is_not_finite(spark):
 
 def test_isotonic_takes_any_range(spark):
     df = spark.createDataFrame([(i, i / 100 - 0.5, float((i // 10) ** 2)) for i in range(100)] + [(100, None, 1.0)], "id long, x double, y double")
-    got = [r.p for r in boost.isotonic(df, df, "x", "y", "p").orderBy("id").collect()]
+    got = [r.p for r in monotone.isotonic(df, df, "x", "y", "p").orderBy("id").collect()]
     assert len(set(got[:100])) == 10 and got[100] is None and got[:100] == sorted(got[:100])
 
 
