@@ -1,14 +1,11 @@
-"""Models of the residual and of the tail, calibrations and regimes, applied and spliced as columns."""
+"""Models of the residual and of the tail, weights of selection, applied and spliced as columns."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,22 +97,6 @@ def seed_average(
     return got.withColumn(name, F.col(base) + mean_of([f"_p{s}" for s in seeds])).drop(*[f"_p{s}" for s in seeds])
 
 
-def regimes(df: DataFrame, features: list[str], ks: list[int], name: str, seed: int = 1) -> tuple[DataFrame, int, dict[int, float]]:
-    """Cluster standardised states; the number of clusters with the best silhouette wins."""
-    filled = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    raw = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="_raw").transform(filled)
-    scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)
-    scaled = scaler.fit(raw).transform(raw)
-    kept = scaled.select("_features").persist(StorageLevel.MEMORY_AND_DISK)  # read again by every fit; rebuilt if lost
-    scores, models = {}, {}
-    for k in ks:
-        models[k] = KMeans(featuresCol="_features", predictionCol=name, k=k, seed=seed).fit(kept)
-        scores[k] = ClusteringEvaluator(featuresCol="_features", predictionCol=name).evaluate(models[k].transform(kept))
-    kept.unpersist()
-    best = max(scores, key=scores.get)
-    return models[best].transform(scaled).select(*df.columns, name), best, scores
-
-
 def importance(train: DataFrame, features: list[str], y: str, base: str, classes: dict[str, str], held: str | None = None, settings: trees.Settings = trees.Settings()) -> list[tuple[str, str, float]]:
     """(feature, class, share of the gain) of a boosted model of the residual."""
     forest = _grown(train, features, F.col(y), F.col(base), held, settings)

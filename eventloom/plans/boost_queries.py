@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from eventloom.functions.clock import HOUR
 from eventloom.operators import asof as joins
-from eventloom.operators import boost, calib, split, traffic, trees
+from eventloom.operators import boost, calib, regimes, split, traffic, trees
 from eventloom.operators.monotone import isotonic
 from eventloom.operators.timeline import Stream
 from eventloom.plans.encode_queries import train_val
 from eventloom.plans.registry import query
 from eventloom.plans.tables import ticks
+from eventloom.sources.scratch import written
 
 FEATURES = ["late", "taken", "hour", "month", "slot", "carrier", "kind"]
 
@@ -117,16 +120,41 @@ def m16(spark, folder):
     return boost.seed_average(tr, va, FEATURES, "y", "base", [1, 2, 3, 4, 5], "p", "held").select("id", F.round("p", 4).alias("p"))
 
 
-@query("m18_regimes")
-def m18(spark, folder):
-    """Regimes of binned states, and each bin's previous regime."""
+STATES = ["hour_sin", "hour_cos", "n_all", "n_buy", "median"]
+
+
+def states(spark, folder):
+    """Binned states of every entity with the hour on a circle."""
     t = ticks(spark, folder)
     counts = {"n_all": Stream(t, ["entity"], "at_us", {"n_all": F.lit(1)}), "n_buy": Stream(t, ["entity"], "at_us", {"n_buy": F.when(F.col("kind") == "purchase", 1)})}
-    states = traffic.binned_state(t, ["entity"], "at_us", 3 * HOUR, 6 * HOUR, counts, "v")
-    got, _, _ = boost.regimes(states, ["n_all", "n_buy", "median"], [3, 4], "regime")
+    got = traffic.binned_state(t, ["entity"], "at_us", 3 * HOUR, 6 * HOUR, counts, "v")
+    turn = (F.col("bin") % 8) * F.lit(math.pi / 4)
+    return got.withColumn("hour_sin", F.sin(turn)).withColumn("hour_cos", F.cos(turn))
+
+
+@query("m18_regimes")
+def m18(spark, folder):
+    """Regimes of binned states, 3 to 6 of them from five starts each, and each bin's previous regime."""
+    table = written(states(spark, folder), "states")
+    got = regimes.assign(regimes.fit(table, STATES, [3, 4, 5, 6]), table, "regime")
     return joins.previous_bin(got, ["entity"], "bin", "regime", "prev_regime").select("entity", "bin", "regime", "prev_regime")
 
 
+@query(
+    "m18b_silhouette",
+    """WITH $TV, x AS (SELECT row_number() OVER () AS i, entity, lane, late / 100000 AS a, y / 100000 AS b FROM va),
+d AS (SELECT 'entity' AS "set", p.i, CAST(p.entity AS VARCHAR) AS c, CAST(q.entity AS VARCHAR) AS o, sum((p.a - q.a) ** 2 + (p.b - q.b) ** 2) AS d, count(*) AS n FROM x p, x q GROUP BY p.i, p.entity, q.entity
+  UNION ALL SELECT 'lane', p.i, p.lane, q.lane, sum((p.a - q.a) ** 2 + (p.b - q.b) ** 2), count(*) FROM x p, x q GROUP BY p.i, p.lane, q.lane),
+s AS (SELECT "set", i, max(CASE WHEN c = o THEN d / nullif(n - 1, 0) END) AS a, min(CASE WHEN c <> o THEN d / n END) AS b FROM d GROUP BY "set", i)
+SELECT "set", round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s GROUP BY ALL""",
+)
+def m18b(spark, folder):
+    """Silhouettes of two given groupings of the same rows."""
+    _, va = train_val(spark, folder)
+    x = va.select("entity", "lane", (F.col("late") / 100000).alias("a"), (F.col("y") / 100000).alias("b"))
+    return regimes.silhouettes(x, ["entity", "lane"], ["a", "b"]).select("set", F.round("silhouette", 6).alias("silhouette"))
+
+
 @query("m23_importance")
 def m23(spark, folder):
     """Importances of a boosted model with a class for every feature."""

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventloom.operators import boost, calib, history, monotone, robust, score, trees
+from eventloom.operators import boost, calib, history, monotone, regimes, robust, score, trees
 
 
 def test_group_ols_and_nonnegative_weights(spark):
@@ -128,3 +128,28 @@ def test_monotone_fits_of_groups_merge(spark, monkeypatch):
             usable = r.x is not None and r.x == r.x
             assert got[r.id] is None if not usable else abs(got[r.id] - np.interp(r.x, xs, fit)) < 1e-9
     assert got[903] is None
+
+
+def test_regimes_are_found_and_silhouettes_exact(spark):
+    rng = np.random.default_rng(2)
+    centres = np.array([[0, 0], [9, 0], [0, 9], [9, 9], [4.5, 20]])
+    own = rng.integers(0, 5, 300)
+    x = centres[own] + rng.normal(0, 0.5, (300, 2))
+    rows = [(i, float(a), float(b), f"c{c}", None if i % 9 else "z", "one") for i, ((a, b), c) in enumerate(zip(x, own))] + [(300, None, float("nan"), "alone", None, "one")]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, few string, one string").repartition(3)
+    model = regimes.fit(df.where("id < 300"), ["a", "b"], [3, 4, 5, 6], starts=4)
+    got = {r.id: r.regime for r in regimes.assign(model, df, "regime").collect()}
+    assert len(model.centres) == 5 and len({(got[i], own[i]) for i in range(300)}) == 5 and got[300] is not None
+    assert model.inertia[6] < model.inertia[5] < model.inertia[4] < model.inertia[3]
+    z = np.concatenate((x, [[0, 0]]))
+    apart = ((z[:, None] - z[None]) ** 2).sum(2)
+    label = np.append(own, 9)
+    want = []
+    for i in range(301):
+        mean = {c: apart[i][label == c].sum() / ((label == c).sum() - (c == label[i])) for c in set(label) if (label == c).sum() > (c == label[i])}
+        a, b = mean.get(label[i]), min(v for c, v in mean.items() if c != label[i])
+        want.append(0 if a is None else (b - a) / max(a, b))
+    got = {r["set"]: r.silhouette for r in regimes.silhouettes(df, ["c", "one", "few"], ["a", "b"]).collect()}
+    assert abs(got["c"] - np.mean(want)) < 1e-9 and got["one"] is None and got["few"] is None
+    empty = regimes.fit(df.where("false"), ["a", "b"], [3, 4], starts=2, rounds=2)
+    assert empty.silhouettes == {3: -1.0, 4: -1.0}
