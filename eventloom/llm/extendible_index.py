@@ -3,9 +3,10 @@
 Keys are 64-bit hashes of normalised texts. The directory has 2**g slots (the keys' first g bits); a bucket owns all slots that
 begin with its prefix. Starting from one bucket, a bucket with more than CAPACITY keys is split by one more bit, doubling the
 directory where needed; which splits that takes follows from counts of keys by slot, so it is one aggregation, not a loop over
-the keys. Entries are made by grouping on key and text, which compares bytes: texts with one key but other bytes are chained in
-their bucket. Equal texts are merged before they are shuffled, so a text that fills a third of the table reaches the index once per
-task. Owner tasks then take ranges of buckets and write the index files; documents are looked up in them.
+the keys. Documents go to the bucket that the directory names for their key. There entries are made by comparing bytes, with the
+smallest id and the number of rows; texts with one key but other bytes are chained. Equal texts are merged before they are shuffled, so
+a text that fills a third of the table reaches its owner once per task. Owners write the index files by ranges of buckets, and
+documents are looked up in theirs.
 """
 
 from __future__ import annotations
@@ -47,26 +48,31 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
     return chosen.select("_slot", F.col("_b._depth").alias("_depth"), F.expr(f"shiftleft(_b._prefix, {deepest} - _b._depth)").alias("_bucket")), deepest
 
 
+def _owned(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """Rows with the bucket that the directory names for their key; it is sent to all tasks, having 2**MOST_DEPTH slots of 20 bytes at most."""
+    return rows.withColumn("_slot", _slot(F.col("_key"), depth)).join(F.broadcast(slots), "_slot").drop("_slot")
+
+
 def exact_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """The index entries and the documents' keys.
+    """The index entries, and the documents' keys with the bucket that the directory names for each.
 
-    Entries (_bucket, _depth, _key, _sha, _chain, _keep, _size), one for each different text; keys (_id, _key, _sha).
+    Entries (_bucket, _depth, _key, _sha, _chain, _keep, _size), one for each different text; keys (_id, _bucket, _key, _sha).
     """
     spark = docs.sparkSession
     rows = texts(docs).select("_id", normalised(F.col("_text")).alias("_norm"))
     hashed = rows.select("_id", F.xxhash64("_norm").alias("_key"), "_norm")
-    # equal bytes are one group; the copies' digests are the group's
-    groups = hashed.groupBy("_key", "_norm").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size"))
-    entries = written(groups.select("_key", F.sha2("_norm", 256).alias("_sha"), "_keep", "_size"), "entries")
-    slots, depth = directory(entries.select("_key").distinct(), capacity)
-    placed = entries.withColumn("_slot", _slot(F.col("_key"), depth)).join(slots, "_slot")
-    chained = placed.withColumn("_chain", F.row_number().over(Window.partitionBy("_bucket", "_key").orderBy("_keep", "_sha")) - 1)
+    slots, depth = directory(hashed.select("_key").distinct(), capacity)
+    slots = written(slots, "directory")
+    # the owner of a bucket compares bytes: equal ones are one entry, with the smallest id and the number of rows
+    entries = _owned(hashed, slots, depth).groupBy("_bucket", "_depth", "_key", "_norm").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size"))
+    entries = entries.select("_bucket", "_depth", "_key", F.sha2("_norm", 256).alias("_sha"), "_keep", "_size")
+    chained = entries.withColumn("_chain", F.row_number().over(Window.partitionBy("_bucket", "_key").orderBy("_keep", "_sha")) - 1)
     path = new_path(spark, "index")
     owned = chained.select("_bucket", "_depth", "_key", "_sha", "_chain", "_keep", "_size").repartitionByRange("_bucket").sortWithinPartitions("_bucket", "_key", "_chain")
     owned.write.parquet(path)
     index = spark.read.schema(owned.schema).parquet(path)
-    keys = hashed.select("_id", "_key", F.sha2("_norm", 256).alias("_sha"))
-    return index, keys
+    keys = _owned(hashed.select("_id", "_key", F.sha2("_norm", 256).alias("_sha")), slots, depth)
+    return index, keys.select("_id", "_bucket", "_key", "_sha")
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -78,5 +84,6 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     empty table.
     """
     index, keys = exact_index(docs, capacity)
-    found = keys.join(index.select("_key", "_sha", "_keep", "_size"), ["_key", "_sha"])
+    # a document is looked up in its bucket, along its key's chain
+    found = keys.join(index.select("_bucket", "_key", "_sha", "_keep", "_size"), ["_bucket", "_key", "_sha"])
     return found.select(id_or_none("_id").alias("doc_id"), id_or_none("_keep").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_id") == F.col("_keep")).alias("kept"), F.col("_sha").alias("text_sha256"))

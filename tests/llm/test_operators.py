@@ -323,6 +323,15 @@ def test_directory_splits_only_full_buckets(docs):
     assert any(d < depth for _, d in held)
 
 
+def test_documents_are_looked_up_through_the_directory(docs, monkeypatch):
+    """Without a bucket's slots its documents are not found; with a chain's first entry gone, nor are the texts it stands for."""
+    whole = extendible_index.directory
+    monkeypatch.setattr(extendible_index, "directory", lambda keys, capacity: (lambda slots, depth: (slots.where("_bucket <> 0"), depth))(*whole(keys, capacity)))
+    index, keys = extendible_index.exact_index(docs, 8)
+    found = extendible_index.exact_duplicates(docs, 8).count()
+    assert 0 < found == keys.count() < docs.count() and index.where("_bucket = 0").count() == 0
+
+
 def test_machine_learns_a_pair():
     """Neither term alone says anything; together they do: weights cannot learn that, factors can."""
     rng = np.random.default_rng(0)
