@@ -86,7 +86,9 @@ def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rounds: int | N
         return m
     rounds = rounds or int(np.clip(120_000 / len(sizes), 8, 60))
     begin = np.cumsum(sizes) - sizes
-    used = np.flatnonzero(np.bincount(flat, minlength=size))
+    in_use = np.zeros(size, bool)
+    in_use[flat] = True
+    used = np.flatnonzero(in_use)
     m.vectors[used] = rng.normal(0, 0.01, (len(used), FACTORS))
     met, number = np.zeros(size, bool), np.zeros(size, np.int64)
     for _ in range(rounds):
@@ -155,8 +157,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     # ids that repeat do not lift the bound
     rows = written(different.orderBy(F.xxhash64("_set"), "_set").limit(2 * sample), "sample")
     counted = rows.mapInPandas(_support, "_feature int, _n bigint").groupBy("_feature").agg(F.sum("_n").alias("_n"))
-    kept = np.zeros(1 << BITS, bool)
-    kept[[r["_feature"] for r in counted.where(F.col("_n") >= least_seen(rows.count())).select("_feature").toLocalIterator()]] = True
+    kept, total = np.zeros(1 << BITS, bool), 0
+    for r in counted.where(F.col("_n") >= least_seen(rows.count())).toLocalIterator():
+        kept[r["_feature"]], total = True, total + r["_n"]
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -165,14 +168,16 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pd.DataFrame({n: [x.tobytes()] for n, x in zip(("_sizes", "_flat", "_labels"), parts)})
 
     parts = rows.mapInPandas(packed, "_sizes binary, _flat binary, _labels binary").toLocalIterator()
-    sizes, flat, marks = [], [], []
+    # one array of the known length, filled as the parts come
+    flat, at, sizes, marks = np.empty(total, np.int32), 0, [], []
     for r in parts:
-        sizes.append(np.frombuffer(r["_sizes"], np.int32))
-        flat.append(np.frombuffer(r["_flat"], np.int32))
-        marks.append(np.frombuffer(r["_labels"], np.int8))
+        part = np.frombuffer(r["_flat"], np.int32)
+        flat[at : at + len(part)], at = part, at + len(part)
+        sizes.append(np.frombuffer(r["_sizes"], np.int32).copy())
+        marks.append(np.frombuffer(r["_labels"], np.int8).copy())
     if not sizes:
         return learn([], np.zeros(0))
-    return fit(np.concatenate(flat), np.concatenate(sizes).astype(np.int64), np.concatenate(marks).astype(np.float64))
+    return fit(flat, np.concatenate(sizes).astype(np.int64), np.concatenate(marks).astype(np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
