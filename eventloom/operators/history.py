@@ -6,22 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.clock import SECOND
-from eventloom.operators.rowframes import over_rows
-from eventloom.operators.slices import UNBOUNDED, text_slice, with_position
+from eventloom.operators.slices import UNBOUNDED, slice_width, solid_keys, text_slice, time_slice, with_position
 
 PAD, UNKNOWN = 0, 1
 
 
+#: Events of a key that are packed into one array.
+CHUNK_EVENTS = 1024
+
+
+def pack(df: DataFrame, keys: list[str], order: list[str], length: int, fields: dict[str, str], at: str, chunk: int = CHUNK_EVENTS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows of ``df`` with where their history lies (_chunk, _end, _length), the packed events (_chunk, _events), and the columns both share.
+
+    Every ``chunk`` events of a key are one array, oldest first, with the ``length`` events before them in front, so what is stored grows
+    with the events and not with events times ``length``. A row's history is the ``_length`` elements up to ``_end``. A null key is a key
+    of its own; rows without a time are no events and have no history.
+    """
+    chunk = max(chunk, length)
+    rows, solid = solid_keys(df, keys, order[0])
+    rows = rows.withColumn("_slice", F.coalesce(time_slice(F.col(order[0]), slice_width([(df, order[0])])), F.lit(0)))
+    placed = with_position(rows, solid, order, "_slice", "_pos", solid=True).withColumn("_chunk", F.floor((F.col("_pos") - 1) / chunk))
+    timed = F.col(order[0]).isNotNull()
+    event = F.struct("_pos", F.col(at).alias("event_at"), *[F.col(c).alias(n) for n, c in fields.items()])
+    late = F.pmod(F.col("_pos") - 1, F.lit(chunk)) >= chunk - length
+    copies = F.explode(F.when(late, F.array(F.col("_chunk"), F.col("_chunk") + 1)).otherwise(F.array("_chunk")))
+    events = placed.where(timed).select(*solid, event.alias("_event"), copies.alias("_chunk"))
+    store = events.groupBy(*solid, "_chunk").agg(F.array_sort(F.collect_list("_event")).alias("_events"))
+    begin = F.greatest(F.col("_chunk") * chunk - length, F.lit(0))
+    index = placed.withColumn("_end", F.when(timed, F.col("_pos") - 1 - begin).cast("int"))
+    index = index.withColumn("_length", F.when(timed, F.least(F.col("_pos") - 1, F.lit(length))).cast("int"))
+    return index.select(*df.columns, *solid, "_chunk", "_end", "_length"), store, [*solid, "_chunk"]
+
+
 def histories(
-    df: DataFrame, keys: list[str], order: list[str], length: int, fields: dict[str, str], at: str, name: str = "history"
+    df: DataFrame, keys: list[str], order: list[str], length: int, fields: dict[str, str], at: str, name: str = "history", chunk: int = CHUNK_EVENTS
 ) -> DataFrame:
     """Append the last ``length`` rows before each row that are strictly earlier, oldest first, left-padded.
 
     Every element holds the named fields, ``event_at``, ``gap`` (seconds), ``log_gap`` and ``valid``; padding
-    has null fields and ``valid`` false. Arrays are bounded by ``length``.
+    has null fields and ``valid`` false. Arrays are bounded by ``length`` and cut from packed ones, see :func:`pack`.
     """
-    element = F.struct(F.col(at).alias("event_at"), *[F.col(c).alias(n) for n, c in fields.items()])
-    got = over_rows(df, keys, order, length, {"_past": lambda r: F.collect_list(element).over(r(-length, -1))})
+    index, store, shared = pack(df, keys, order, length, fields, at, chunk)
+    got = index.join(store, shared, "left").select(*df.columns, F.slice("_events", F.col("_end") - F.col("_length") + 1, F.col("_length")).alias("_past"))
     seconds = lambda e: (F.col(at) - e["event_at"]) / F.lit(float(SECOND))
     earlier = F.filter("_past", lambda e: e["event_at"] < F.col(at))
     full = F.transform(

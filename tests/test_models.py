@@ -90,6 +90,22 @@ def test_history_padding_and_audit(spark):
     assert (audit.rows, audit.future, audit.self, audit.empty) == (9, 0, 0, 2)
 
 
+def test_packed_histories_are_linear(spark):
+    rng = random.Random(17)
+    rows = [(i, rng.choice(["a", None, "b"]), rng.randrange(90)) for i in range(400)] + [(900, "a", None)]
+    df = spark.createDataFrame(rows, "id long, k string, t long").repartition(3)
+    index, store, shared = history.pack(df, ["k"], ["t", "id"], 7, {"id": "id"}, "t", 20)
+    assert store.agg(F.sum(F.size("_events"))).first()[0] <= 400 * (1 + 7 / 20) and index.count() == 401
+    got = {r.id: r.history for r in history.histories(df, ["k"], ["t", "id"], 7, {"id": "id"}, "t", chunk=20).collect()}
+    for k in ("a", "b", None):
+        mine = sorted((r for r in rows if r[1] == k and r[2] is not None), key=lambda r: (r[2], r[0]))
+        for i, r in enumerate(mine):
+            want = [x[0] for x in mine[max(0, i - 7) : i] if x[2] < r[2]]
+            assert [e.id for e in got[r[0]] if e.valid] == want and len(got[r[0]]) == 7
+            assert all(abs(e.gap - (r[2] - e.event_at) / 1e6) < 1e-12 for e in got[r[0]] if e.valid)
+    assert got[900] is None
+
+
 def test_verdict_and_threshold_rule(spark):
     s = spark.createDataFrame([("base", 100.0, 50.0), ("a", 98.0, 52.0), ("b", 99.9, 40.0)], "candidate string, first double, second double")
     assert score.verdict(s, "base", (1.5, 3.0), (0.5, 5.0)).first().asDict() == {"best": "a", "gain_first": 2.0, "gain_second": -2.0, "verdict": "ACCEPT"}
