@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.profile import forbid_columns
 from eventloom.sources.scratch import written
 
 #: Bins of what is left over, for leaves of the quantile loss.
@@ -144,15 +145,16 @@ def _edges(train: DataFrame, inputs: list[str], bins: int) -> list[np.ndarray]:
 
 def fit(
     train: DataFrame, inputs: list[str], y: Column, models: list, member: Column, seeds: list[int] | None = None,
-    settings: Settings = Settings(), base: Column | None = None, weight: Column | None = None, held: Column | None = None, tie: Column | None = None,
+    settings: Settings = Settings(), base: Column | None = None, weight: Column | None = None, held: Column | None = None, tie: Column | None = None, refuse: tuple[str, ...] = (),
 ) -> Forest:
     """Grow one model for each of ``models`` in the same jobs.
 
     ``member`` is an array of the numbers (from 0) of the models a row belongs to. ``y`` is learnt beyond ``base`` (0 without one). Rows
     without y or base are left out. ``held`` marks rows that only measure the loss, for early stopping; without any all rounds are
     grown. ``tie`` is a number that rows are sampled by, the hash of their inputs and y if none is given. ``seeds`` names each
-    model's seed. A model without rows predicts its base.
+    model's seed. ``refuse`` names parts of input names that a fit must not use. A model without rows predicts its base.
     """
+    forbid_columns(train.select(*inputs), list(refuse))
     s, spark = settings, train.sparkSession
     seeds = seeds or [1] * len(models)
     lit = F.lit(0.0) if base is None else base.cast("double")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import os
+import re
+from fnmatch import fnmatch
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,32 +55,59 @@ def read_csv_tolerant(
 ) -> DataFrame:
     """CSV files read by header name; missing columns become typed nulls and bad cells become null.
 
-    Every file's header is read on its own (one line per file), so column order and presence may differ
-    between files. ``_place`` is a path's place in ``paths``, ``_file`` the file, ``_block`` where the file's split starts, and
-    ``_line`` grows with the lines of a split: in this order they are the order of reading.
+    One scan finds the header of every file (its first line that is neither blank nor a comment), and files of one layout are read
+    together, so the plan grows with the layouts and not with the files. ``_place`` is a path's place in ``paths``, ``_file`` the file,
+    ``_block`` where the file's split starts, and ``_line`` grows with the lines of a split: in this order they are the order of
+    reading. ``_bad`` counts a row's cells that hold something else than their type.
     """
     formats = time_formats or {}
-    parts = []
-    for place, path in enumerate(paths):
-        raw = spark.read.option("header", True).option("comment", comment).option("mode", "PERMISSIVE").csv(path)
-        have = {c.strip().lower(): c for c in raw.columns}
-        lost = [c for c in required if c.lower() not in have]
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    lines = lines.where((F.trim("value") != "") & ~F.startswith(F.col("value"), F.lit(comment)))
+    headers = lines.groupBy("_file").agg(F.min_by("value", F.struct("_block", "_line")).alias("header")).collect()  # a row for each file
+    layouts: dict[str, list[str]] = {}
+    for r in headers:
+        lost = [c for c in required if c.lower() not in _names(r["header"])]
         if lost:
-            raise ValueError(f"{path}: header lacks {lost}")
-        raw = raw.withColumns({"_place": F.lit(place), "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
-        cells = []
+            raise ValueError(f"{r['_file']}: header lacks {lost}")
+        layouts.setdefault(r["header"], []).append(r["_file"])
+    parts = []
+    for header, files in sorted(layouts.items()):
+        have = {n: f"c{i}" for i, n in reversed(list(enumerate(_names(header))))}
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(_names(header)))])
+        raw = spark.read.schema(schema).option("header", True).option("comment", comment).option("mode", "PERMISSIVE").csv([unquote(f) for f in files])
+        place = F.create_map(*[F.lit(x) for f in files for x in (f, _place(f, paths))])
+        raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}).withColumn("_place", place[F.col("_file")])
+        cells, bad = [], [F.lit(0)]
         for name, kind in fields.items():
             source = have.get(name.lower())
             if source is None:
                 cells.append(F.lit(None).cast(kind).alias(name))
                 continue
-            text = F.trim(F.col(f"`{source}`"))
+            text = F.trim(F.col(source))
             text = F.when(text.isin(*null_values), None).otherwise(text)
-            cells.append(_typed(text, kind, formats.get(name)).alias(name))
-        parts.append(raw.select(*cells, "_place", "_file", "_block", "_line"))
+            cell = _typed(text, kind, formats.get(name))
+            cells.append(cell.alias(name))
+            bad.append((text.isNotNull() & cell.isNull()).cast("int"))
+        parts.append(raw.select(*cells, "_place", "_file", "_block", "_line", reduce(lambda a, b: a + b, bad).alias("_bad")))
+    if not parts:
+        empty = [T.StructField(n, T._parse_datatype_string(k)) for n, k in fields.items()]
+        kinds = (("_place", "int"), ("_file", "string"), ("_block", "bigint"), ("_line", "bigint"), ("_bad", "int"))
+        return spark.createDataFrame([], T.StructType(empty + [T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds]))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _names(header: str) -> list[str]:
+    """Column names of a header line, in lower case."""
+    return [c.strip().lower() for c in next(csv.reader([header]))]
+
+
+def _place(file: str, paths: list[str]) -> int:
+    """Which of the paths a file was found by: itself, its folder, or a pattern."""
+    plain = lambda p: re.sub(r"^[a-z0-9]+:/+", "/", p).rstrip("/")
+    name = plain(unquote(file))
+    return next((i for i, p in enumerate(paths) if name == plain(p) or name.startswith(plain(p) + "/") or fnmatch(name, plain(p) + "*")), len(paths))
+
+
 def _typed(text: Column, kind: str, time_format: str | None) -> Column:
     if kind == "timestamp":
         return F.try_to_timestamp(text, F.lit(time_format)) if time_format else F.try_to_timestamp(text)

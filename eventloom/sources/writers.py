@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.profile import forbid_columns
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
@@ -21,6 +25,30 @@ def write_json_result(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def publish(df: DataFrame, path: str, refuse: tuple[str, ...] = (), **options: str) -> bool:
+    """Write a table in two phases: into a folder beside ``path`` that nobody reads, then renamed as a whole.
+
+    Until the rename there is nothing at ``path``, so a job that fails leaves no rows; once there, a retry changes nothing and
+    returns False. ``refuse`` names parts of column names that must not be published.
+    """
+    forbid_columns(df, list(refuse))
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    if files.exists(target):
+        return False
+    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    staged = jvm.org.apache.hadoop.fs.Path(stage)
+    try:
+        df.write.options(**options).parquet(stage)
+        # of two writers one renames; the other finds the table there
+        done = not files.exists(target) and files.rename(staged, target)
+    finally:
+        if files.exists(staged):
+            files.delete(staged, True)
+    return bool(done)
+
+
 def splice(base: DataFrame, patch: DataFrame, key: str, value: str) -> DataFrame:
     """Replace values by key where the patch has one; every base row stays."""
     new = patch.select(F.col(key), F.col(value).alias("_new"))

@@ -97,3 +97,38 @@ def test_schema_checks(spark):
     with pytest.raises(ValueError):
         profile.forbid_columns(a.withColumn("taxitime_x", F.lit(1)), ["TAXITIME"])
     assert joins.keep_last(a, ["id"], F.col("s")).count() == 1
+
+
+def test_layouts_are_read_together_and_bad_cells_counted(spark, tmp_path):
+    for i in range(12):
+        head = "a,b" if i % 2 else "# first\nb , A"
+        (tmp_path / f"f {i:02}.csv").write_text(f"{head}\n{i},{'x' if i == 3 else 7}\n")
+    paths = [str(tmp_path / f"f {i:02}.csv") for i in range(12)]
+    got = readers.read_csv_tolerant(spark, paths, {"a": "int", "b": "int", "c": "string"})
+    rows = sorted((r._place, r.a, r.b, r.c, r._bad) for r in got.collect())
+    assert rows == sorted((i, i if i % 2 else 7, (None if i == 3 else 7) if i % 2 else i, None, int(i == 3)) for i in range(12))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    folder = readers.read_csv_tolerant(spark, [str(tmp_path)], {"a": "int"})
+    assert {r._place for r in folder.collect()} == {0} and folder.count() == 12
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.csv").write_text("")
+    assert readers.read_csv_tolerant(spark, [str(tmp_path / "none")], {"a": "int"}).count() == 0
+
+
+def test_published_tables_are_whole_or_not_there(spark, tmp_path):
+    path = str(tmp_path / "out")
+    broken = spark.range(100).repartition(4).select(F.when(F.col("id") == 57, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception):
+        writers.publish(broken, path)
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(ValueError):
+        writers.publish(spark.range(3).withColumn("y_true", F.lit(1)), path, refuse=("Y_true",))
+    assert writers.publish(spark.range(3), path) and not writers.publish(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_fits_refuse_columns(spark):
+    from eventloom.operators import trees
+
+    with pytest.raises(ValueError):
+        trees.fit(spark.range(3).withColumn("y_true", F.lit(1.0)), ["y_true"], F.col("id"), ["all"], F.array(F.lit(0)), refuse=("y_",))
