@@ -35,15 +35,15 @@ KEEP_ROUNDS = 25
 class Settings:
     """How trees are grown. ``loss`` is squared, huber, quantile or logistic; ``at`` its threshold or quantile."""
 
-    rounds: int = 200
+    rounds: int = 100
     depth: int = 4
-    rate: float = 0.1
+    rate: float = 0.2
     bins: int = 64
     shrink: float = 1.0
     least_rows: int = 20
     rows: float = 0.8
     inputs: float = 0.8
-    patience: int = 10
+    patience: int = 5
     loss: str = "squared"
     at: float = 0.5
 
