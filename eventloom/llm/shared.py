@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.session import tune
+from eventloom.sources.scratch import new_path, shared_folder, written  # noqa: F401
 
 #: Stands for a null id inside an operator; it comes before every other id.
 NO_ID = -(1 << 63)
-_own: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,28 +20,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests), a temporary one of this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="eventloom-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and outlives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_or_none(c: str | Column) -> Column:
     """An inner id back as a document's id."""
     c = F.col(c) if isinstance(c, str) else c
