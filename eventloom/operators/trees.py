@@ -1,8 +1,9 @@
 """Second-order boosted trees, many models at a time, grown from histograms that Spark adds up.
 
 Inputs are cut at quantiles into at most ``bins`` codes of a byte; a missing input is a code of its own below all others. Rows
-lie packed in blocks in a written table. For each level of the trees, tasks put every row into its node and add its gradient and
-curvature to histograms by (model, node, input, code); a task for each model sums them over the blocks and finds the best split of
+lie packed in blocks, sorted by model, with their scores. Once a round the trees of the last one are added to the scores, and the rows drawn get
+their gradient and curvature; both stay persisted while the round lasts. For each level of its trees, tasks put those rows into their
+nodes and add them to histograms by (model, node, input, code); a task for each model sums them over the blocks and finds the best split of
 each node, and only the splits reach the driver. All models grow in the same jobs, so the number of jobs is that of levels times rounds
 whatever the number of models. Rows may belong to several models (an entity's and the pooled one, or one for each seed).
 
@@ -14,21 +15,25 @@ or for the quantile loss the quantile of what is left in them. Rows held out mea
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators.profile import forbid_columns
+from eventloom.operators.ranks import quantiles
 from eventloom.sources.scratch import written
 
 #: Bins of what is left over, for leaves of the quantile loss.
 REST_BINS = 2048
-#: Rounds after which rows' scores are written again, so no task repeats more trees than these.
+#: Rounds after which rows' scores are written again, so a lost block repeats no more trees than these.
 KEEP_ROUNDS = 25
+#: Rows of a block, and so those that a task has in its hands at a time.
+BLOCK_ROWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -64,10 +69,6 @@ class Forest:
     gains: np.ndarray | None = None
     losses: list[np.ndarray] = field(default_factory=list)
 
-    def since(self, r: int) -> Forest:
-        """The same with the trees from round r on."""
-        return replace(self, where=self.where[r:], cut=self.cut[r:], leaf=self.leaf[r:], best=None)
-
     def codes(self, columns: list[np.ndarray]) -> np.ndarray:
         """Codes of the inputs, a row each: 0 is missing."""
         out = np.zeros((len(columns[0]), len(columns)), np.uint8)
@@ -85,7 +86,7 @@ class Forest:
         return total
 
 
-def _node(codes: np.ndarray, model: np.ndarray, where: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+def _node(codes: np.ndarray, model: np.ndarray | int, where: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
     """The node of the given level that each row is in; a node without a split sends all rows to its lower side."""
     at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
     for level in range(levels):
@@ -95,7 +96,7 @@ def _node(codes: np.ndarray, model: np.ndarray, where: np.ndarray, cut: np.ndarr
     return at
 
 
-def _walk(codes: np.ndarray, model: np.ndarray, where: np.ndarray, cut: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+def _walk(codes: np.ndarray, model: np.ndarray | int, where: np.ndarray, cut: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     return leaf[model, _node(codes, model, where, cut, int(leaf.shape[1]).bit_length() - 1)]
 
 
@@ -165,7 +166,7 @@ def fit(
     forest = Forest(models, inputs, _edges(train, inputs, s.bins), s, np.zeros(len(models)))
     learnt = rows.where("not _held").groupBy("_model")
     if s.loss in ("quantile", "huber"):
-        first = learnt.agg(F.percentile(F.col("_y") - F.col("_base"), s.at if s.loss == "quantile" else 0.5).alias("v"))
+        first = quantiles(rows.where("not _held"), ["_model"], F.col("_y") - F.col("_base"), {"v": s.at if s.loss == "quantile" else 0.5})
     elif s.loss == "logistic":
         p = F.greatest(F.least(F.sum(F.col("_y") * F.col("_w")) / F.sum("_w"), F.lit(1 - 1e-6)), F.lit(1e-6))
         first = learnt.agg(F.log(p / (1 - p)).alias("v"))
@@ -175,7 +176,8 @@ def fit(
         forest.start[r["_model"]] = r["v"]
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _gathered(batches):
+            pdf = pdf.sort_values("_model", kind="stable")
             model = pdf["_model"].to_numpy(np.int32)
             columns = [pdf[c].to_numpy(np.float64, na_value=np.nan) for c in inputs]
             score = pdf["_base"].to_numpy(np.float64) + forest.start[model]
@@ -186,167 +188,213 @@ def fit(
     many, width, codes = len(models), len(inputs), s.bins + 1
     open_, done, best = np.ones(many, bool), np.zeros(many, np.int64), np.full(many, np.inf)
     forest.gains = np.zeros((many, width))
-    kept_at, measured = 0, held is not None
-
-    for r in range(s.rounds):
-        if r - kept_at == KEEP_ROUNDS:
-            blocks, kept_at = _rescored(blocks, forest.since(kept_at)), r
-        where, cut = np.full((many, (1 << s.depth) - 1), -1, np.int32), np.zeros((many, (1 << s.depth) - 1), np.int32)
-        leaf = np.zeros((many, 1 << s.depth))
-        for level in range(s.depth):
-            send = spark.sparkContext.broadcast((forest.since(kept_at), where, cut, open_))
-            found = _splits(blocks, send, r, level, seeds, (width, codes))
-            for x in found.collect():  # a row for each node of each model
-                m, node = x["_model"], x["_node"]
-                if node < 0:  # the rows held out, as the trees so far leave them
-                    if x["_loss"] < best[m] - 1e-12:
-                        best[m], done[m] = x["_loss"], r
-                    elif r - done[m] >= s.patience:
-                        open_[m] = False
-                    continue
-                i = node + (1 << level) - 1
-                where[m, i], cut[m, i] = x["_input"], x["_code"]
-                if x["_input"] >= 0:
-                    forest.gains[m, x["_input"]] += x["_gain"]
-                if level + 1 == s.depth:
-                    leaf[m, [node << 1, (node << 1) + 1]] = x["_left"] * s.rate, x["_right"] * s.rate
-            send.destroy()
-            if not open_.any():
+    measured = held is not None
+    state, drawn, old = blocks.rdd.map(_block), None, None
+
+    try:
+        for r in range(s.rounds):
+            if r and r % KEEP_ROUNDS == 0:
+                state, last = _rescored(spark, state), state
+                last.unpersist()
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            drawn = state.map(_drawn(s, r, seeds)).persist(StorageLevel.MEMORY_AND_DISK)
+            where, cut = np.full((many, (1 << s.depth) - 1), -1, np.int32), np.zeros((many, (1 << s.depth) - 1), np.int32)
+            leaf = np.zeros((many, 1 << s.depth))
+            for level in range(s.depth):
+                for m, node, input_, code, gain, left, right, loss in _splits(drawn, s, r, where, cut, open_, level, seeds, (width, codes)).collect():  # a row for each node of each model
+                    if node < 0:  # the rows held out, as the trees so far leave them
+                        if loss < best[m] - 1e-12:
+                            best[m], done[m] = loss, r
+                        elif r - done[m] >= s.patience:
+                            open_[m] = False
+                        continue
+                    i = node + (1 << level) - 1
+                    where[m, i], cut[m, i] = input_, code
+                    if input_ >= 0:
+                        forest.gains[m, input_] += gain
+                    if level + 1 == s.depth:
+                        leaf[m, [node << 1, (node << 1) + 1]] = left * s.rate, right * s.rate
+                if old is not None:
+                    old, _ = None, old.unpersist()
+                if not open_.any():
+                    break
+            if not open_.any() or (where[open_] < 0).all() and s.loss != "quantile" and s.inputs == s.rows == 1:
                 break
-        if not open_.any() or (where[open_] < 0).all() and s.loss != "quantile" and s.inputs == s.rows == 1:
-            break
-        if s.loss == "quantile":
-            leaf = _rest_quantiles(blocks, spark.sparkContext.broadcast((forest.since(kept_at), where, cut, open_)), leaf.shape)
-        leaf[~open_] = 0
-        forest.where.append(where)
-        forest.cut.append(cut)
-        forest.leaf.append(leaf)
+            if s.loss == "quantile":
+                leaf = _rest_quantiles(state, s, where, cut, open_, leaf.shape)
+            leaf[~open_] = 0
+            forest.where.append(where)
+            forest.cut.append(cut)
+            forest.leaf.append(leaf)
+            drawn.unpersist()
+            state, old = state.map(_grown(where, cut, leaf, open_.copy())), state
+    finally:
+        for held_rows in (state, drawn, old):
+            if held_rows is not None:
+                held_rows.unpersist()
     forest.best = np.where(np.isfinite(best), done, len(forest.leaf)) if measured else np.full(many, len(forest.leaf))
     return forest
 
 
-def _now(block: dict[str, np.ndarray], forest: Forest) -> np.ndarray:
-    """The rows' scores: the written ones and the trees grown since."""
-    score = block["score"].copy()
-    for r in range(len(forest.leaf)):
-        score += _walk(block["codes"], block["model"], forest.where[r], forest.cut[r], forest.leaf[r])
-    return score
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow batches put together to blocks of BLOCK_ROWS rows or a little more."""
+    parts: list[pd.DataFrame] = []
+    for pdf in batches:
+        parts.append(pdf)
+        if sum(map(len, parts)) >= BLOCK_ROWS:
+            yield pd.concat(parts, ignore_index=True)
+            parts = []
+    if any(map(len, parts)):
+        yield pd.concat(parts, ignore_index=True)
+
+
+def _stretches(model: np.ndarray) -> list[tuple[int, slice]]:
+    """The rows of every model in a block, whose rows lie in the order of their models."""
+    found, first = np.unique(model, return_index=True)
+    return [(int(m), slice(a, b)) for m, a, b in zip(found, first, [*first[1:], len(model)])]
+
+
+def _grown(where: np.ndarray, cut: np.ndarray, leaf: np.ndarray, open_: np.ndarray) -> Callable[[dict], dict]:
+    """Put a round's trees into a block's scores, and leave out the rows of models that have stopped."""
+
+    def work(b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        some = open_[b["model"]]
+        b = b if some.all() else {n: x[some] for n, x in b.items()}
+        score = b["score"].copy()
+        for m, rows in _stretches(b["model"]):
+            score[rows] += _walk(b["codes"][rows], m, where, cut, leaf)
+        return b | {"score": score}
+
+    return work
 
 
-def _rescored(blocks: DataFrame, grown: Forest) -> DataFrame:
-    send = blocks.sparkSession.sparkContext.broadcast(grown)
+def _rescored(spark: SparkSession, state: RDD) -> RDD:
+    """The same blocks from a written table, so that their lineage is short again."""
+    rows = state.map(lambda b: tuple(np.ascontiguousarray(b[n]).tobytes() for n in ("codes", *_KINDS)))
+    return written(spark.createDataFrame(rows, _BLOCKS, verifySchema=False), "blocks").rdd.map(_block)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                yield pd.DataFrame({n: [v] for n, v in row.items() if n != "score"} | _bytes(score=_now(_block(row), send.value)))[[*row]]
 
-    return written(blocks.mapInPandas(work, _BLOCKS), "blocks")
+def _drawn(s: Settings, r: int, seeds: list[int]) -> Callable[[dict], dict]:
+    """What a round's levels need of a block: the rows drawn with gradient and curvature (None: all 1), and each model's loss of the rows held out."""
 
+    def work(b: dict[str, np.ndarray]) -> dict:
+        grad, curve, loss = _steps(s, b["y"], b["score"])
+        out, held = np.zeros(len(grad), bool), {}
+        for m, rows in _stretches(b["model"]):
+            mine, w = b["held"][rows], b["weight"][rows]
+            held[m] = np.array([(loss[rows] * w)[mine].sum(), w[mine].sum()])
+            out[rows] = ~mine & (_hash(b["key"][rows], seeds[m], r) < s.rows)
+        w = b["weight"][out]
+        h = curve[out] * w
+        return {"model": b["model"][out], "codes": b["codes"][out], "grad": grad[out] * w, "curve": None if (h == 1).all() else h, "held": held}
 
-def _splits(blocks: DataFrame, send, r: int, level: int, seeds: list[int], shape: tuple[int, int]) -> DataFrame:
-    """The best split of every node of a level in every model, and on the first level the loss of the rows held out (node -1)."""
+    return work
+
+
+def _splits(drawn: RDD, s: Settings, r: int, where: np.ndarray, cut: np.ndarray, open_: np.ndarray, level: int, seeds: list[int], shape: tuple[int, int]) -> RDD:
+    """The best split of every node of a level in every model, and on the first level the loss of the rows held out (node -1).
+
+    Rows are (model, node, input, code, gain, value below, value above, loss).
+    """
     nodes, (width, codes) = 1 << level, shape
+    where, cut, open_ = where.copy(), cut.copy(), open_.copy()
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, where, cut, open_ = send.value
-        s, held = forest.settings, {}
+    def add(blocks: Iterator[dict]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
         sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                b = _block(row)
-                some = open_[b["model"]]
-                b = {n: x[some] for n, x in b.items()}
-                score = _now(b, forest)
-                grad, curve, loss = _steps(s, b["y"], score)
-                if not level:
-                    for m in np.unique(b["model"][b["held"]]):
-                        mine = b["held"] & (b["model"] == m)
-                        held[m] = held.get(m, 0) + np.array([(loss * b["weight"])[mine].sum(), b["weight"][mine].sum()])
-                node = _node(b["codes"], b["model"], where, cut, level)
-                chance = np.zeros(len(score))
-                for seed in set(seeds):
-                    mine = np.array(seeds)[b["model"]] == seed
-                    chance[mine] = _hash(b["key"][mine], seed, r)
-                for m in np.unique(b["model"]):
-                    mine = (b["model"] == m) & ~b["held"] & (chance < s.rows)
-                    w = b["weight"][mine]
-                    at = ((node[mine, None] * width + np.arange(width)) * codes + b["codes"][mine]).ravel()
-                    total = sums.setdefault(int(m), np.zeros((3, nodes * width * codes)))
-                    for i, x in enumerate((grad[mine] * w, curve[mine] * w, np.ones(len(w)))):
-                        total[i] += np.bincount(at, np.repeat(x, width), total.shape[1])
-        out = [(m, x.tobytes(), held.get(m, np.zeros(2)).tobytes()) for m, x in sums.items()]
-        yield pd.DataFrame(out, columns=["_model", "_sums", "_held"])
-
-    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        forest, s, m = send.value[0], send.value[0].settings, int(key[0])
-        g, h, n = sum(np.frombuffer(x) for x in pdf["_sums"]).reshape(3, nodes, width, codes)
-        loss, weight = sum(np.frombuffer(x) for x in pdf["_held"])
+        held: dict[int, np.ndarray] = {}
+        for b in blocks:
+            for m, x in b["held"].items():
+                if open_[m]:
+                    held[m] = held.get(m, 0) + x
+                    sums.setdefault(m, np.zeros((3, nodes, width, codes)))
+            for m, rows in _stretches(b["model"]):
+                if not open_[m]:
+                    continue
+                own, grad, curve, total = b["codes"][rows], b["grad"][rows], b["curve"], sums[m]
+                first = _node(own, m, where, cut, level) * codes
+                for f in range(width):
+                    at = first + own[:, f]
+                    n = np.bincount(at, minlength=nodes * codes).reshape(nodes, codes)
+                    total[0, :, f] += np.bincount(at, grad, nodes * codes).reshape(nodes, codes)
+                    total[1, :, f] += n if curve is None else np.bincount(at, curve[rows], nodes * codes).reshape(nodes, codes)
+                    total[2, :, f] += n
+        for m, x in sums.items():
+            yield m, (x, held[m] if not level else np.zeros(2))
+
+    def choose(found: tuple[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+        m, ((g, h, n), (loss, weight)) = found
         used = _hash(np.arange(width), seeds[m], r, 77)
         used = used <= np.sort(used)[max(0, int(np.ceil(s.inputs * width)) - 1)]
         gl, hl, nl = (np.cumsum(x, 2)[:, :, :-1] for x in (g, h, n))
         gt, ht, nt = (x[:, 0].sum(1)[:, None, None] for x in (g, h, n))
-        gain = gl**2 / (hl + s.shrink) + (gt - gl) ** 2 / (ht - hl + s.shrink) - gt**2 / (ht + s.shrink)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = gl**2 / (hl + s.shrink) + (gt - gl) ** 2 / (ht - hl + s.shrink) - gt**2 / (ht + s.shrink)
         gain = np.where((nl >= s.least_rows) & (nt - nl >= s.least_rows) & used[:, None], gain, -np.inf).reshape(nodes, -1)
         top = gain.argmax(1)
         out = []
         for i in range(nodes):
             f, c = divmod(int(top[i]), codes - 1)
-            whole = -float(gt[i, 0, 0]) / (float(ht[i, 0, 0]) + s.shrink)
+            below, above = float(gt[i, 0, 0]), float(ht[i, 0, 0])
             if gain[i, top[i]] > 1e-9:
                 a, b = float(gl[i, f, c]), float(hl[i, f, c])
-                out.append((m, i, f, c, float(gain[i, top[i]]), -a / (b + s.shrink), -(float(gt[i, 0, 0]) - a) / (float(ht[i, 0, 0]) - b + s.shrink), 0.0))
+                out.append((m, i, f, c, float(gain[i, top[i]]), -a / (b + s.shrink), -(below - a) / (above - b + s.shrink), 0.0))
             else:
-                out.append((m, i, -1, 0, 0.0, whole, 0.0, 0.0))
+                out.append((m, i, -1, 0, 0.0, -below / (above + s.shrink) if above + s.shrink else 0.0, 0.0, 0.0))
         if weight > 0:
-            out.append((m, -1, -1, 0, 0.0, 0.0, 0.0, loss / weight))
-        return pd.DataFrame(out, columns=["_model", "_node", "_input", "_code", "_gain", "_left", "_right", "_loss"])
+            out.append((m, -1, -1, 0, 0.0, 0.0, 0.0, float(loss / weight)))
+        return out
 
-    sums = blocks.mapInPandas(add, "_model int, _sums binary, _held binary")
-    return sums.groupBy("_model").applyInPandas(choose, "_model int, _node int, _input int, _code int, _gain double, _left double, _right double, _loss double")
+    tasks = min(len(seeds), drawn.context.defaultParallelism)
+    return drawn.mapPartitions(add).reduceByKey(lambda x, y: (x[0] + y[0], x[1] + y[1]), tasks).flatMap(choose)
 
 
-def _rest_quantiles(blocks: DataFrame, send, shape: tuple[int, int]) -> np.ndarray:
+def _rest_quantiles(state: RDD, s: Settings, where: np.ndarray, cut: np.ndarray, open_: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Leaves of the quantile loss: the quantile of what is left over in each, from counts in fine bins between the extremes."""
-    leaves = shape[1]
-
-    def rest(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        forest, where, cut, open_ = send.value
-        for row in pdf.to_dict("records"):
-            b = _block(row)
-            some = open_[b["model"]] & ~b["held"]
-            b = {n: x[some] for n, x in b.items()}
-            yield b["model"], _node(b["codes"], b["model"], where, cut, leaves.bit_length() - 1), b["y"] - _now(b, forest), b["weight"]
-
-    def extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for model, leaf, left, _ in rest(pdf):
-                yield pd.DataFrame({"_m": model, "_l": leaf, "_x": left}).groupby(["_m", "_l"])["_x"].agg(_lo="min", _hi="max").reset_index()
-
-    bounds = blocks.mapInPandas(extremes, "_m int, _l int, _lo double, _hi double").groupBy("_m", "_l").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).collect()
+    many, leaves = shape
+    tasks, open_ = min(many, state.context.defaultParallelism), open_.copy()
+
+    def rest(blocks: Iterator[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for b in blocks:
+            for m, rows in _stretches(b["model"]):
+                some = ~b["held"][rows]
+                if open_[m] and some.any():
+                    node = _node(b["codes"][rows][some], m, where, cut, leaves.bit_length() - 1)
+                    yield m, node, (b["y"][rows] - b["score"][rows])[some], b["weight"][rows][some]
+
+    def extremes(blocks: Iterator[dict]) -> Iterator[tuple[int, np.ndarray]]:
+        out: dict[int, np.ndarray] = {}
+        for m, node, left, _ in rest(blocks):
+            ends = out.setdefault(m, np.full((2, leaves), np.inf))
+            np.minimum.at(ends[0], node, left)
+            np.minimum.at(ends[1], node, -left)
+        yield from out.items()
+
     low, high = np.zeros(shape), np.ones(shape)
-    for x in bounds:  # a row for each leaf of each model
-        low[x["_m"], x["_l"]], high[x["_m"], x["_l"]] = x["_lo"], x["_hi"]
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for model, leaf, left, weight in rest(pdf):
-                lo, hi = low[model, leaf], high[model, leaf]
-                bin_ = np.minimum((left - lo) / np.maximum(hi - lo, 1e-300) * REST_BINS, REST_BINS - 1).astype(np.int64)
-                yield pd.DataFrame({"_m": model, "_l": leaf, "_b": bin_, "_w": weight}).groupby(["_m", "_l", "_b"])["_w"].sum().reset_index()
-
-    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m, i = int(key[0]), int(key[1])
-        pdf = pdf.groupby("_b")["_w"].sum().sort_index()
-        share = pdf.cumsum() / pdf.sum()
-        at = int(pdf.index[min(int(np.searchsorted(share.to_numpy(), send.value[0].settings.at)), len(pdf) - 1)])
-        value = low[m, i] + (at + 0.5) / REST_BINS * (high[m, i] - low[m, i])
-        return pd.DataFrame({"_m": [m], "_l": [i], "_v": [value]})
-
-    got = blocks.mapInPandas(counts, "_m int, _l int, _b int, _w double").groupBy("_m", "_l").applyInPandas(choose, "_m int, _l int, _v double")
+    for m, ends in state.mapPartitions(extremes).reduceByKey(np.minimum, tasks).collect():  # the leaves of each model
+        met = np.isfinite(ends[0])
+        low[m, met], high[m, met] = ends[0][met], -ends[1][met]
+
+    def counts(blocks: Iterator[dict]) -> Iterator[tuple[int, np.ndarray]]:
+        out: dict[int, np.ndarray] = {}
+        for m, node, left, weight in rest(blocks):
+            lo, hi = low[m, node], high[m, node]
+            bin_ = np.minimum((left - lo) / np.maximum(hi - lo, 1e-300) * REST_BINS, REST_BINS - 1).astype(np.int64)
+            out[m] = out.get(m, 0) + np.bincount(node * REST_BINS + bin_, weight, leaves * REST_BINS)
+        yield from out.items()
+
+    def choose(found: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+        m, value = found[0], np.zeros(leaves)
+        for i, weight in enumerate(found[1].reshape(leaves, REST_BINS)):
+            bins = np.flatnonzero(weight)
+            if len(bins):
+                share = np.cumsum(weight[bins]) / weight[bins].sum()
+                at = int(bins[min(int(np.searchsorted(share, s.at)), len(bins) - 1)])
+                value[i] = low[m, i] + (at + 0.5) / REST_BINS * (high[m, i] - low[m, i])
+        return m, value
+
     leaf = np.zeros(shape)
-    for x in got.collect():
-        leaf[x["_m"], x["_l"]] = x["_v"] * send.value[0].settings.rate
+    for m, value in state.mapPartitions(counts).reduceByKey(lambda x, y: x + y, tasks).map(choose).collect():
+        leaf[m] = value * s.rate
     return leaf
 
 

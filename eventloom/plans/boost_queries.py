@@ -20,10 +20,13 @@ FEATURES = ["late", "taken", "hour", "month", "slot", "carrier", "kind"]
 
 
 def data(spark, folder):
-    """Training rows, of which the last 15 % in time are held out for early stopping, and the rows to predict."""
+    """Training rows, of which the last 15 % in time are held out for early stopping, and the rows to predict.
+
+    Fits read the training rows several times, so they are written once.
+    """
     tr, va = train_val(spark, folder)
     tr = split.tail_split(tr.withColumn("base", F.col("late")), "moved_us", "id", 0.15, "held")
-    return tr, va.withColumn("base", F.col("late"))
+    return written(tr, "train"), va.withColumn("base", F.col("late"))
 
 
 def steps_sql(group: str) -> str:
