@@ -7,6 +7,9 @@ the corpus are dropped by a count; the rest carry the hashed words around their
 follows. Neighbours in that order, among those that agree on 0, 1, 2 ... words to the left, are compared, which finds for every
 length to the left the longest match to the right. Matches are extended both ways word by word, and those of ``least`` words or more count;
 the places of a long passage overlap, so their extended matches join up to the whole of it.
+
+Where a seed has too many suffixes to be sorted in one task, the windows of LEAST words around their places are dealt by their
+hashes instead, and those that stand in two documents are matches: any match holds such windows, which join up to it.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ SPAN = 19
 SEED = LEAST - SPAN + 1
 #: Words carried to the left and to the right of a place, and bytes that stand for a word.
 LEFT, RIGHT, WIDTH = SPAN - 1, LEAST, 4
-#: Suffixes with one seed up to which they stay in one task; larger groups are cut by what follows the seed.
+#: Suffixes with one seed up to which they are sorted in one task; larger groups are met by their windows.
 GROUP_ROWS = 100_000
 #: Rows that a task compares at a time, and rows of a group carried over.
 CHUNK = 50_000
@@ -59,7 +62,10 @@ def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For the kept places of a text: the words to the left, nearest first, and to the right, as comparable bytes."""
+    """For the kept places of a text: the words to the left, nearest first, and to the right, as comparable bytes.
+
+    Around places whose seed has too many suffixes: the windows of LEAST words that hold the place among their first SPAN words.
+    """
     for pdf in batches:
         rows: list[tuple] = []
         for i, text, kept in zip(pdf["_id"], pdf["_text"], pdf["_kept"]):
@@ -67,11 +73,20 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = (h >> np.uint64(32)).astype(">u4")
             raw, back = w.tobytes(), w[::-1].tobytes()
             n = len(w)
+            hot = [k["_at"] for k in kept if k["_hot"]]
             for k in kept:
                 p = k["_at"]
+                if k["_hot"]:
+                    continue
                 left = back[(n - p) * WIDTH : (n - p + LEFT) * WIDTH]
                 right = raw[p * WIDTH : (p + RIGHT) * WIDTH]
-                rows.append((i, p, k["_seed"], right if k["_hot"] else b"", left, right))
+                rows.append((i, p, k["_seed"], b"", left, right))
+            if hot and n >= LEAST:
+                one, two = window_hashes(h, LEAST).view(np.int64), window_hashes(h, LEAST, 2)
+                around = np.unique(np.add.outer(hot, np.arange(-LEFT, 1)))
+                for q in around[(around >= 0) & (around < len(one))].tolist():
+                    # in order of window, id and place; ids are shifted so that their bytes sort as they do
+                    rows.append((i, q, one[q], two[q].tobytes() + (i + (1 << 63)).to_bytes(8, "big") + q.to_bytes(4, "big"), None, None))
         yield pd.DataFrame(rows, columns=["_id", "_at", "_seed", "_cut", "_left", "_right"])
 
 
@@ -104,9 +119,28 @@ def _neighbours(key: np.ndarray, own: np.ndarray, order: np.ndarray) -> tuple[np
     return order[by[np.concatenate((before[low], here[high]))]], order[by[np.concatenate((here[low], after[high]))]]
 
 
+def _repeats(pdf: pd.DataFrame, within: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Spans of sorted windows that stand in two documents (``within``: or at two places of one), and the last window's rows of its smallest id."""
+    ids, at = pdf["_id"].to_numpy(np.int64), pdf["_at"].to_numpy(np.int64)
+    window = np.stack((pdf["_seed"].to_numpy(np.int64), np.frombuffer(b"".join(c[:8] for c in pdf["_cut"]), np.int64)))
+    new = np.concatenate(([True], (window[:, 1:] != window[:, :-1]).any(axis=0)))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    last = np.append(np.flatnonzero(new)[1:], len(ids))[np.cumsum(new) - 1] - 1
+    low, high = ids[first], ids[last]
+    beyond = np.minimum.reduceat(np.where(ids != low, ids, np.iinfo(np.int64).max), np.flatnonzero(new))[np.cumsum(new) - 1]
+    partner = np.where(ids != low, low, beyond)
+    hit = low != high
+    if within:
+        twice = (ids == low) & (np.maximum.reduceat(np.where(ids == low, at, -1), np.flatnonzero(new))[np.cumsum(new) - 1] != at[first])
+        partner, hit = np.where(twice, low, partner), hit | twice
+    held = pdf[(first == first[-1]) & (ids == low)].drop_duplicates(["_id", "_at"])
+    return pd.DataFrame({"_id": ids[hit], "_from": at[hit], "_to": at[hit] + LEAST, "_with": partner[hit]}), held
+
+
 def _matches(batches: Iterator[pd.DataFrame], least: int, within: bool) -> Iterator[pd.DataFrame]:
     """Spans of matches between sorted suffixes; the rows of the last seed are carried over to the next chunk."""
     held: list[pd.DataFrame] = []
+    windows: pd.DataFrame | None = None
     fresh = 0
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,12 +168,17 @@ def _matches(batches: Iterator[pd.DataFrame], least: int, within: bool) -> Itera
         return pd.DataFrame({"_id": ids[hit], "_from": at[hit] - begin[hit], "_to": at[hit] + end[hit], "_with": ids[other[hit]]})
 
     for pdf in batches:
+        hot = pdf["_left"].isna()
+        if hot.any():
+            found, windows = _repeats(pdf[hot] if windows is None else pd.concat((windows, pdf[hot]), ignore_index=True), within)
+            yield found
+            pdf = pdf[~hot]
         held.append(pdf)
         fresh += len(pdf)
         if fresh >= CHUNK:
             whole = pd.concat(held, ignore_index=True)
             yield compare(whole)
-            held, fresh = [whole[whole["_seed"] == whole["_seed"].iloc[-1]].tail(GROUP_ROWS)], 0
+            held, fresh = [whole[whole["_seed"] == whole["_seed"].iloc[-1]]], 0
     if fresh:
         yield compare(pd.concat(held, ignore_index=True))
 
@@ -172,7 +211,7 @@ def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
     often = kept.groupBy("_seed").agg(F.count("*").alias("_m")).where("_m > 1")
     shared = kept.join(often, "_seed").groupBy("_id").agg(F.collect_list(F.struct("_at", "_seed", (F.col("_m") > GROUP_ROWS).alias("_hot"))).alias("_kept"))
     around = rows.join(shared, "_id").mapInPandas(_contexts, "_id bigint, _at int, _seed bigint, _cut binary, _left binary, _right binary")
-    dealt = around.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_seed", "_cut").sortWithinPartitions("_seed", "_cut")
+    dealt = around.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_seed").sortWithinPartitions("_seed", "_cut")
     spans = dealt.mapInPandas(lambda b: _matches(b, LEAST, within), "_id bigint, _from int, _to int, _with bigint")
     by_doc = spans.groupBy("_id").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"), F.min("_with").alias("_with"))
     out = by_doc.mapInPandas(_joined, "_id bigint, n_spans bigint, n_words bigint, spans string, _with bigint")

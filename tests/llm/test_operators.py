@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from eventloom.llm import countmin_spans, disclosure, extendible_index, fm_toxicity, html_regions, minmax_near, simple8b, slack_packing, sparse_suffix, template_leaks
@@ -181,6 +182,52 @@ def test_sparse_suffix_in_small_chunks(docs, monkeypatch):
     assert sorted(map(tuple, sparse_suffix.repeated_passages(docs).select("doc_id", "spans").collect())) == want
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_sparse_suffix_of_seeds_with_many_suffixes(spark, docs, monkeypatch, within):
+    """Groups too large to be sorted in one task find what sorting them does."""
+    rng = random.Random(9)
+    shared = prose(rng, 45)  # one seed whose suffixes go on in several ways, before and after it
+    ends, fronts = [prose(rng, 30) for _ in range(3)], [prose(rng, 30) for _ in range(3)]
+    more = [(1000 + i, f"{rng.choice(fronts)} {shared} {rng.choice(ends)}") for i in range(40)] + [(2000, f"{fronts[0]} {shared} {prose(rng, 5)} {shared} {ends[1]}")]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(more, docs.select("doc_id", "text").schema))
+    spans = lambda: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["spans"]) for r in sparse_suffix.repeated_passages(both, within).collect())
+    want = spans()
+    assert len(want) > 60
+    for rows_ in (0, 3, 20):
+        monkeypatch.setattr(sparse_suffix, "GROUP_ROWS", rows_)
+        assert spans() == want
+
+
+def test_sparse_suffix_loses_no_partner_of_a_large_group(spark, monkeypatch):
+    """All documents hold one run of 46 words; with the five words before it each has one partner, whatever follows."""
+    prepare(spark)
+    rng = random.Random(21)
+    shared, fronts = prose(rng, 46), [prose(rng, 5) for _ in range(40)]
+    df = spark.createDataFrame([(i, f"{prose(rng, 9)} end{i} {fronts[i % 40]} {shared} next{i} {prose(rng, 30)}") for i in range(80)], "doc_id long, text string")
+    monkeypatch.setattr(sparse_suffix, "GROUP_ROWS", 3)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r["doc_id"]: (r["spans"], r["partner_doc_id"]) for r in sparse_suffix.repeated_passages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == {i: ("10:61", (i + 40) % 80) for i in range(80)}
+
+
+def test_windows_meet_over_chunks():
+    """A window's rows that come in several chunks are one group, and a lone one is no match."""
+    def chunk(*rows_):
+        return pd.DataFrame([(i, q, w, b"12345678" + (i + (1 << 63)).to_bytes(8, "big") + q.to_bytes(4, "big"), None, None) for w, i, q in rows_], columns=["_id", "_at", "_seed", "_cut", "_left", "_right"])
+
+    def run(within):
+        got = pd.concat(sparse_suffix._matches(iter([chunk((1, 5, 0), (2, -7, 3)), chunk((2, -7, 9)), chunk((2, 4, 1), (2, 8, 2), (3, 6, 0), (4, 6, 1)), chunk((4, 6, 5))]), 50, within))
+        return {tuple(map(int, r)) for r in got.itertuples(index=False)}
+
+    two = {(-7, 3, 53, 4), (-7, 9, 59, 4), (4, 1, 51, -7), (8, 2, 52, -7)}
+    assert run(False) == two
+    assert {x[:3] for x in run(True)} == {x[:3] for x in two} | {(6, 1, 51), (6, 5, 55)}
+
+
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
