@@ -147,7 +147,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Learn from labelled rows outside the held-out fold; null labels and ids are left out.
 
     Of labels that repeat an id, and of rows whose texts have the same features, the larger label counts, once. Features are counted
-    and left out on Spark, so the driver holds what it learns from once, as numbers.
+    on Spark, and one task learns from the bounded sample; only the features that have a weight, and then their weights, reach the driver.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["toxic"].cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     known = known.where(fold(F.col("_id")) != 0).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -161,23 +161,25 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     for r in counted.where(F.col("_n") >= least_seen(rows.count())).toLocalIterator():
         kept[r["_feature"]], total = True, total + r["_n"]
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learnt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # one array of the known length, filled as the rows come
+        flat, at, sizes, marks = np.empty(total, np.int32), 0, [], []
         for pdf in batches:
-            sets = [s[kept[s]] for s in (np.frombuffer(x, np.int32) for x in pdf["_set"])]
-            parts = (np.array([len(s) for s in sets], np.int32), np.concatenate(sets), pdf["_toxic"].to_numpy(np.int8))
-            yield pd.DataFrame({n: [x.tobytes()] for n, x in zip(("_sizes", "_flat", "_labels"), parts)})
-
-    parts = rows.mapInPandas(packed, "_sizes binary, _flat binary, _labels binary").toLocalIterator()
-    # one array of the known length, filled as the parts come
-    flat, at, sizes, marks = np.empty(total, np.int32), 0, [], []
-    for r in parts:
-        part = np.frombuffer(r["_flat"], np.int32)
-        flat[at : at + len(part)], at = part, at + len(part)
-        sizes.append(np.frombuffer(r["_sizes"], np.int32).copy())
-        marks.append(np.frombuffer(r["_labels"], np.int8).copy())
-    if not sizes:
-        return learn([], np.zeros(0))
-    return fit(flat, np.concatenate(sizes).astype(np.int64), np.concatenate(marks).astype(np.float64))
+            for x in pdf["_set"]:
+                part = np.frombuffer(x, np.int32)
+                part = part[kept[part]]
+                flat[at : at + len(part)], at = part, at + len(part)
+                sizes.append(len(part))
+            marks.append(pdf["_toxic"].to_numpy(np.float64))
+        m = fit(flat, np.array(sizes, np.int64), np.concatenate([*marks, np.zeros(0)]))
+        used = np.flatnonzero((m.weights != 0) | (m.vectors != 0).any(axis=1))
+        yield pd.DataFrame({"_bias": [m.bias]} | {n: [x.tobytes()] for n, x in (("_used", used), ("_weights", m.weights[used]), ("_vectors", m.vectors[used]))})
+
+    m = learn([], np.zeros(0))
+    for r in rows.coalesce(1).mapInPandas(learnt, "_bias double, _used binary, _weights binary, _vectors binary").collect():
+        used, m.bias = np.frombuffer(r["_used"], np.int64), r["_bias"]
+        m.weights[used], m.vectors[used] = np.frombuffer(r["_weights"], np.float32), np.frombuffer(r["_vectors"], np.float32).reshape(-1, FACTORS)
+    return m
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

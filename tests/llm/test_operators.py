@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, with nulls, blanks, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -412,6 +413,21 @@ def test_toxicity(spark, docs, empty):
     assert fm_toxicity.toxicity(d, labels.where("false")).count() == 602
 
 
+def test_toxicity_is_not_learnt_by_the_driver(spark, monkeypatch):
+    d = prepare(spark).createDataFrame([(i, ("schuft " if i % 2 else "freund ") + WORDS[i % 40]) for i in range(400)], "doc_id bigint, text string")
+    labels = d.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    here, fit = os.getpid(), fm_toxicity.fit
+
+    def elsewhere(*a, **how):
+        assert os.getpid() != here or not len(a[1])
+        return fit(*a, **how)
+
+    monkeypatch.setattr(fm_toxicity, "fit", elsewhere)
+    m = fm_toxicity.fitted(d, labels)
+    low, high = m.score([fm_toxicity.features("freund"), fm_toxicity.features("schuft")])
+    assert m.weights.shape == (1 << fm_toxicity.BITS,) and low < 0.5 < high
+
+
 @pytest.mark.parametrize("top", [1, 2, 900, 50_000, 1 << 35, 1 << 63])
 def test_simple8b_round_trip(top):
     rng = np.random.default_rng(top % 97)
