@@ -24,3 +24,14 @@ def components(links: DataFrame) -> DataFrame:
         if new.where("component <> old").isEmpty():
             return new.select("node", "component")
         label = new.select("node", "component")
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) and further ``links`` (a, b) between any ids: components are joined, not found anew."""
+    for side in ("a", "b"):
+        own = found.select(F.col("node").alias(side), F.col("component").alias("_c"))
+        links = links.join(own, side, "left").withColumn(side, F.coalesce("_c", side)).drop("_c")
+    top = components(links).select(F.col("node").alias("component"), F.col("component").alias("_top"))
+    old = found.join(top, "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
+    new = top.select(F.col("component").alias("node"), F.col("_top").alias("component"))
+    return written(old.unionByName(new.join(found.select("node"), "node", "left_anti")), "labels")

@@ -122,6 +122,42 @@ def test_second_round_links_what_stars_miss(spark):
     assert len(set(comp)) > 3
 
 
+@pytest.mark.parametrize("linked", [False, True])
+def test_a_large_bucket_makes_few_pairs(spark, monkeypatch, linked):
+    """Members that are all just below the threshold, and members all linked with each other but not with the smallest ids."""
+    rng = random.Random(2)
+    base = prose(rng, 200).split()
+    # changed words stand apart, so each takes five shingles
+    changes = [4] * 70 + [1] * 150 if linked else [2] * 200
+    made = []
+    for g, n in enumerate(changes):
+        w = list(base)
+        for k in rng.sample(range(2, 198, 6), n):
+            w[k] = f"g{g}x{k}"
+        made.append(" ".join(w))
+    sets = [shingle_set(t) for t in made]
+    near = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    comp = list(range(len(sets)))
+    for _ in range(9):
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    tried, confirmed = [], minmax_near.confirmed
+    monkeypatch.setattr(minmax_near, "confirmed", lambda pairs, *a: tried.append(pairs.count()) or confirmed(pairs, *a))
+    df = prepare(spark).createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    assert [r["component_id"] for r in minmax_near.near_duplicates(df).orderBy("doc_id").collect()] == comp
+    assert (len(near) > 10_000) == linked and sum(tried[1:]) < 10 * len(made)
+
+
+def test_parities_never_differ_in_more_cells_than_sets_do():
+    rng = np.random.default_rng(3)
+    for n in (1, 15, 16, 17, 300, 40_000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        others = [np.unique(np.append(a[k:], rng.integers(0, 1 << 63, m, dtype=np.uint64))) for k, m in ((0, 0), (1, 0), (n // 9, n // 7), (0, n), (n, 1))]
+        got = minmax_near.apart(minmax_near.parities(a), [minmax_near.parities(o) for o in others])
+        real = [len(np.setxor1d(a, o)) for o in others]
+        assert got[0] == 0 and all(x <= y for x, y in zip(got, real)) and got[1] == 1 and (n < 300 or n > 1000 or got[2] > 0.9 * real[2])
+
+
 def brute_windows(texts, k=20):
     first, out = {}, {}
     for i in sorted(texts):
