@@ -33,7 +33,10 @@ REST_BINS = 2048
 #: Rounds after which rows' scores are written again, so a lost block repeats no more trees than these.
 KEEP_ROUNDS = 25
 #: Rows of a block, and so those that a task has in its hands at a time.
-BLOCK_ROWS = 1 << 17
+BLOCK_ROWS = 1 << 15
+#: How blocks are written. A row is a block of a MB or two, so sizes are looked at with each row (the writer's default is from the hundredth on):
+#: a reader has a whole row group in its memory.
+BLOCK_FILES = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 
 
 @dataclass(frozen=True)
@@ -184,7 +187,7 @@ def fit(
             yield pd.DataFrame(_bytes(codes=forest.codes(columns), model=model, key=pdf["_key"].to_numpy(np.int64), y=pdf["_y"].to_numpy(np.float64), weight=pdf["_w"].to_numpy(np.float64), score=score, held=pdf["_held"].to_numpy(bool)))
 
     ready = [F.col(c).cast("double").alias(c) for c in inputs]
-    blocks = written(rows.select(*ready, "_y", "_base", "_w", "_held", "_key", F.col("_model").cast("int").alias("_model")).mapInPandas(packed, _BLOCKS), "blocks")
+    blocks = written(rows.select(*ready, "_y", "_base", "_w", "_held", "_key", F.col("_model").cast("int").alias("_model")).mapInPandas(packed, _BLOCKS), "blocks", options=BLOCK_FILES)
     many, width, codes = len(models), len(inputs), s.bins + 1
     open_, done, best = np.ones(many, bool), np.zeros(many, np.int64), np.full(many, np.inf)
     forest.gains = np.zeros((many, width))
@@ -271,7 +274,7 @@ def _grown(where: np.ndarray, cut: np.ndarray, leaf: np.ndarray, open_: np.ndarr
 def _rescored(spark: SparkSession, state: RDD) -> RDD:
     """The same blocks from a written table, so that their lineage is short again."""
     rows = state.map(lambda b: tuple(np.ascontiguousarray(b[n]).tobytes() for n in ("codes", *_KINDS)))
-    return written(spark.createDataFrame(rows, _BLOCKS, verifySchema=False), "blocks").rdd.map(_block)
+    return written(spark.createDataFrame(rows, _BLOCKS, verifySchema=False), "blocks", options=BLOCK_FILES).rdd.map(_block)
 
 
 def _drawn(s: Settings, r: int, seeds: list[int]) -> Callable[[dict], dict]:

@@ -29,8 +29,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+def written(df: DataFrame, name: str, *partition_by: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; ``options`` are the writer's."""
     path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.options(**(options or {})).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

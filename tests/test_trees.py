@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,24 @@ def test_early_stopping_and_importance(spark, df):
 def test_nothing_to_learn_from(spark, df):
     got = boost.residual_boost(df.where("false"), df, ["a", "b"], "y", "base", "p", "held", settings=Settings(rounds=2, depth=2))
     assert got.where("p <> base").count() == 0 and got.count() == 600
+
+
+def test_blocks_are_written_in_row_groups_that_a_reader_can_hold(spark, monkeypatch):
+    """A reader takes a whole row group at once, and a block is a row, so the writer must look at sizes long before its hundredth row."""
+    files, write = [], trees.written
+
+    def kept(*args, **kw):
+        out = write(*args, **kw)
+        files.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(trees, "written", kept)
+    monkeypatch.setattr(trees, "KEEP_ROUNDS", 1)
+    rows = spark.range(0, 1_000_000, 1, 1).select(F.rand(1).alias("a"), F.rand(2).alias("y"))
+    forest = trees.fit(rows, ["a"], F.col("y"), ["all"], F.array(F.lit(0)), settings=Settings(rounds=2, depth=1))
+    assert len(forest.leaf) == 2
+    groups = [pq.read_metadata(f.removeprefix("file://")) for f in files]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    # the blocks, and those of the second round; before 19 MB a row group each time
+    assert len(files) >= 2 and sum(sizes) > 30 << 20
+    assert max(sizes) <= 16 << 20
