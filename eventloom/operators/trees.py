@@ -2,7 +2,7 @@
 
 Inputs are cut at quantiles into at most ``bins`` codes of a byte; a missing input is a code of its own below all others. Rows
 lie packed in blocks, sorted by model, with their scores. Once a round the trees of the last one are added to the scores, and the rows drawn get
-their gradient and curvature; both stay persisted while the round lasts. For each level of its trees, tasks put those rows into their
+their gradient and curvature; both stay persisted on disk while the round lasts. For each level of its trees, tasks put those rows into their
 nodes and add them to histograms by (model, node, input, code); a task for each model sums them over the blocks and finds the best split of
 each node, and only the splits reach the driver. All models grow in the same jobs, so the number of jobs is that of levels times rounds
 whatever the number of models. Rows may belong to several models (an entity's and the pooled one, or one for each seed).
@@ -37,6 +37,9 @@ BLOCK_ROWS = 1 << 15
 #: How blocks are written. A row is a block of a MB or two, so sizes are looked at with each row (the writer's default is from the hundredth on):
 #: a reader has a whole row group in its memory.
 BLOCK_FILES = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+#: Where a round's rows stay: on disk, which the system keeps in memory as far as there is some. In an executor's heap they lie in chunks of a MB and
+#: a few bytes, each of which takes two regions of a small heap, so the share that Spark allows for them would fill all of it.
+KEPT = StorageLevel.DISK_ONLY
 
 
 @dataclass(frozen=True)
@@ -199,8 +202,8 @@ def fit(
             if r and r % KEEP_ROUNDS == 0:
                 state, last = _rescored(spark, state), state
                 last.unpersist()
-            state = state.persist(StorageLevel.MEMORY_AND_DISK)
-            drawn = state.map(_drawn(s, r, seeds)).persist(StorageLevel.MEMORY_AND_DISK)
+            state = state.persist(KEPT)
+            drawn = state.map(_drawn(s, r, seeds)).persist(KEPT)
             where, cut = np.full((many, (1 << s.depth) - 1), -1, np.int32), np.zeros((many, (1 << s.depth) - 1), np.int32)
             leaf = np.zeros((many, 1 << s.depth))
             for level in range(s.depth):

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from eventloom.operators import boost, trees
@@ -155,3 +156,11 @@ def test_blocks_are_written_in_row_groups_that_a_reader_can_hold(spark, monkeypa
     # the blocks, and those of the second round; before 19 MB a row group each time
     assert len(files) >= 2 and sum(sizes) > 30 << 20
     assert max(sizes) <= 16 << 20
+
+
+def test_rows_of_a_round_stay_out_of_the_heap(df, monkeypatch):
+    """Serialised blocks of a large table fill an executor's heap, whose regions they fit badly."""
+    levels, persist = [], RDD.persist
+    monkeypatch.setattr(RDD, "persist", lambda self, level: levels.append(level) or persist(self, level))
+    trees.fit(df, ["a", "b"], F.col("y"), ["all"], F.array(F.lit(0)), settings=Settings(rounds=2, depth=1))
+    assert len(levels) == 4 and all(x.useDisk and not x.useMemory for x in levels)
