@@ -20,8 +20,9 @@ from eventloom.llm.shared import id_or_none, texts
 WINDOW = 8
 #: Words that a match covers at least; plain words it needs (or half of the item's) where a slot's value differs.
 LEAST_WORDS, LEAST_LITERALS = 13, 5
-#: Benchmark windows up to which their hashes are sent to every executor (16 bytes each); beyond, both sides are shuffled.
-BROADCAST_WINDOWS = 500_000
+#: Windows of the benchmark's distinct texts up to which they are sent to every executor. Beyond, their distinct hashes are sent to pick
+#: the documents' windows that are shuffled to them, and beyond BROADCAST_HASHES all windows are shuffled.
+BROADCAST_WINDOWS, BROADCAST_HASHES = 500_000, 1_000_000
 
 # Unit names as they stand in questions.
 UNITS = (
@@ -90,7 +91,8 @@ def _windows(rows: DataFrame, ks: list[int], own: list[str]) -> DataFrame:
     """(own columns, _reading, _pos, _words, _k, _h) for each window of k words, k in ``ks``; ``rows`` has _reading, _words and _kinds.
 
     A row refers to its text's words; they are not copied as long as it stays in the generated code, so callers take what they need
-    of them before a shuffle.
+    of them before a shuffle or an aggregation, and before a join whose rows go there: rows that leave the generated code are copied, those of
+    a whole text at once.
     """
     rows = rows.select(*own, "_reading", "_words", "_kinds", F.posexplode("_words").alias("_pos", "_w0"))
 
@@ -118,22 +120,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select(benchmark["item_id"].cast("string").alias("_item"), _tagged(F.coalesce(benchmark["text"].cast("string"), F.lit(""))).alias("_it"))
     items = items.withColumn("_item", F.coalesce("_item", F.lit(MARK)))
-    items = items.select("_item", F.inline(_readings(F.col("_it"), [CASELESS, BY_CASE]))).where(F.size("_words") > 0).dropDuplicates()
+    items = items.select("_item", F.inline(_readings(F.col("_it"), [CASELESS, BY_CASE]))).where(F.size("_words") > 0).withColumn("_which", F.xxhash64("_words"))
+    owners, items = items.select("_item", "_which", "_reading").distinct(), items.drop("_item").dropDuplicates(["_which", "_reading"])
     # an item shorter than WINDOW is one window of its own length
-    items = items.withColumn("_short", F.least(F.size("_words"), F.lit(WINDOW))).withColumn("_text", F.xxhash64("_words"))
+    items = items.withColumn("_short", F.least(F.size("_words"), F.lit(WINDOW)))
     ks = sorted(r["_short"] for r in items.select("_short").distinct().collect()) or [WINDOW]  # WINDOW rows at most
-    theirs = _windows(items, ks, ["_item", "_text", "_short"]).where("_k = _short").select("_item", F.col("_text").alias("_which"), "_reading", "_k", F.col("_pos").alias("_ipos"), "_h")
+    theirs = _windows(items, ks, ["_which", "_short"]).where("_k = _short").select("_which", "_reading", "_k", F.col("_pos").alias("_ipos"), "_h")
     n, readings = theirs.count(), sorted(r["_reading"] for r in items.select("_reading").distinct().collect()) or [CASELESS]
-    theirs = F.broadcast(theirs) if n <= BROADCAST_WINDOWS else theirs
 
     rows = texts(docs).select("_id", F.xxhash64("_text").alias("_text"), _tagged(F.col("_text")).alias("_t"))
     rows = rows.select("_id", "_text", F.inline(_readings(F.col("_t"), readings)))
-    hits = _windows(rows, ks, ["_id", "_text"]).join(theirs, ["_h", "_k", "_reading"])
-    # a hit brings the words of its window, so no text is read again
-    seen = F.slice("_words", F.col("_pos") + 1, F.col("_k"))
-    hits = hits.groupBy("_id", "_text", "_item", "_which", "_reading", (F.col("_pos") - F.col("_ipos")).alias("_diagonal")).agg(F.collect_set(F.struct("_ipos", seen.alias("_seen"))).alias("_hits"))
+    # a window brings its own words, so no text is read again and none is copied with its hits
+    ours = _windows(rows, ks, ["_id", "_text"]).select("_id", "_text", "_reading", "_pos", "_k", "_h", F.slice("_words", F.col("_pos") + 1, F.col("_k")).alias("_seen"))
+    if n <= BROADCAST_WINDOWS:
+        theirs = F.broadcast(theirs)
+    else:
+        hashes = theirs.select("_h").distinct()
+        ours = ours.join(F.broadcast(hashes), ["_h"], "left_semi") if hashes.count() <= BROADCAST_HASHES else ours
+    hits = ours.join(theirs, ["_h", "_k", "_reading"])
+    hits = hits.groupBy("_id", "_text", "_which", "_reading", (F.col("_pos") - F.col("_ipos")).alias("_diagonal")).agg(F.collect_set(F.struct("_ipos", "_seen")).alias("_hits"))
     words = F.flatten(F.transform("_hits", lambda x: F.transform(x["_seen"], lambda w, i: F.struct((x["_ipos"] + i).alias("i"), w.alias("w")))))
-    matches = hits.withColumn("_beside", F.array_sort(F.array_distinct(words))).drop("_hits").join(items.select("_item", F.col("_text").alias("_which"), "_reading", F.col("_words").alias("_iw")), ["_item", "_which", "_reading"])
+    matches = hits.withColumn("_beside", F.array_sort(F.array_distinct(words))).drop("_hits").join(items.select("_which", "_reading", F.col("_words").alias("_iw")), ["_which", "_reading"])
     alike = lambda x: _kind(F.element_at("_iw", x["i"] + 1)) == _kind(x["w"])
     # what a hash alone took for the same goes
     matches = matches.withColumn("_beside", F.filter("_beside", alike)).where(F.size("_beside") > 0)
@@ -158,6 +165,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values = lambda side: F.size(F.array_distinct(F.transform("_different", lambda p: p[side])))
     judged = judged.where((F.size("_different") == values("x")) & (F.size("_different") == values("y"))).withColumn("_changed", F.exists("_pairs", lambda p: ~p["same"]))
     judged = judged.where(~F.col("_changed") | (F.col("_plain") >= F.least(F.lit(LEAST_LITERALS), F.ceil(F.size("_iw") / 2))))
-    best = judged.groupBy("_id", "_item").agg(F.max(F.struct("_n", (F.col("_n") / F.col("_total")).alias("_share"), (~F.col("_changed")).alias("_same"), F.size("_pairs").alias("_slots"), "_changed")).alias("_b"))
+    found = judged.groupBy("_id", "_which", "_reading").agg(F.max(F.struct("_n", (F.col("_n") / F.col("_total")).alias("_share"), (~F.col("_changed")).alias("_same"), F.size("_pairs").alias("_slots"), "_changed")).alias("_b"))
+    best = found.join(owners, ["_which", "_reading"]).groupBy("_id", "_item").agg(F.max("_b").alias("_b"))
     item = F.when(F.col("_item") != MARK, F.col("_item")).cast(benchmark.schema["item_id"].dataType)
     return best.select(id_or_none("_id").alias("doc_id"), item.alias("item_id"), F.col("_b._n").cast("bigint").alias("n_words"), F.col("_b._share").alias("coverage"), F.col("_b._slots").cast("bigint").alias("n_slots"), F.col("_b._changed").alias("reparameterised"))

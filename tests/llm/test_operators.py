@@ -383,6 +383,36 @@ def test_leaks_in_other_case_place_and_values(spark):
     assert all(r["coverage"] == 1 for r in got.values())
 
 
+def shuffled(node):
+    """Bytes that each exchange of an executed plan got."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return shuffled(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return shuffled(node.plan())
+    mine = [node.metrics().get("dataSize").get().value()] if name == "Exchange" else []
+    return sum((shuffled(node.children().apply(i)) for i in range(node.children().size())), mine)
+
+
+@pytest.mark.parametrize("limits", [(500_000, 1_000_000), (0, 1_000_000), (0, 0)])
+def test_leaks_with_windows_of_a_large_benchmark(spark, monkeypatch, limits):
+    """However the benchmark's windows meet the documents', pairs are the same, and a window brings its own words, not those of its whole text."""
+    monkeypatch.setattr(template_leaks, "BROADCAST_WINDOWS", limits[0])
+    monkeypatch.setattr(template_leaks, "BROADCAST_HASHES", limits[1], raising=False)
+    rng = random.Random(11)
+    item, other, short = prose(rng, 30), prose(rng, 20) + " costs 12 euros in Rome", "what is six by nine"
+    # two items of one text, one item of two texts, a null id
+    items = [("a", item), ("b", item), ("c", other), ("c", short), (None, short)]
+    docs = [(1, prose(rng, 2000) + ". " + item + ". " + prose(rng, 1000)), (2, other.replace("12", "15")), (3, "so " + short), (None, item.upper()), (4, prose(rng, 50))]
+    d = prepare(spark).createDataFrame(docs, "doc_id bigint, text string")
+    found = template_leaks.leaks(d, spark.createDataFrame(items, "item_id string, text string"))
+    got = {(r["doc_id"], r["item_id"]): r for r in found.collect()}
+    assert set(got) == {(1, "a"), (1, "b"), (2, "c"), (3, "c"), (3, None), (None, "a"), (None, "b")}
+    assert {k for k, r in got.items() if r["reparameterised"]} == {(2, "c")} and all(r["coverage"] == 1 for r in got.values())
+    # before, each of 3,000 windows took the text's 3,000 words to the shuffle
+    assert max(shuffled(found._jdf.queryExecution().executedPlan())) < 4 << 20
+
+
 @pytest.mark.parametrize("capacity", [4096, 4])
 def test_exact_duplicates(docs, texts, empty, capacity):
     norm = {i: SPACE.sub(" ", t or "") for i, t in texts.items()}
