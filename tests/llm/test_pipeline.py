@@ -5,8 +5,9 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from eventloom.llm import fm_toxicity
+from eventloom.llm import fm_toxicity, template_leaks
 from eventloom.llm.shared import prepare
+from test_operators import shuffled
 
 
 def prose(seed, n=60):
@@ -75,3 +76,20 @@ def test_run_over_empty_and_long_texts(spark, tmp_path):
         assert sum(n for _, n in mine) == next(r["doc_tokens"] for r in got if r["doc_id"] == id_)
     docs.where("false").write.mode("overwrite").parquet(f"{d}/documents.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_leaks_of_a_long_text_leave_without_its_words(spark, tmp_path, monkeypatch):
+    """The stage's exchanges get texts once, and no window takes the words of its whole text along."""
+    prepare(spark)
+    monkeypatch.setattr(template_leaks, "BROADCAST_WINDOWS", 0)
+    leak, d_ = prose(7, 40), str(tmp_path)
+    spark.createDataFrame([("q", leak)], "item_id string, text string").write.parquet(f"{d_}/benchmark.parquet")
+    rows = [(1, prose(8, 1500) + " " + leak + " " + prose(9, 1500)), (None, prose(10)), (2, prose(11, 100))]
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_leaks(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), d_)
+        assert left(out) == left(spark.createDataFrame(rows[1:], "doc_id bigint, text string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert max(shuffled(out._jdf.queryExecution().executedPlan())) < 4 << 20
