@@ -275,8 +275,8 @@ def _grown(where: np.ndarray, cut: np.ndarray, leaf: np.ndarray, open_: np.ndarr
 
 
 def _rescored(spark: SparkSession, state: RDD) -> RDD:
-    """The same blocks from a written table, so that their lineage is short again."""
-    rows = state.map(lambda b: tuple(np.ascontiguousarray(b[n]).tobytes() for n in ("codes", *_KINDS)))
+    """The same blocks from a written table, so that their lineage is short again; those whose models have all stopped are empty, and left out."""
+    rows = state.filter(lambda b: len(b["y"]) > 0).map(lambda b: tuple(np.ascontiguousarray(b[n]).tobytes() for n in ("codes", *_KINDS)))
     return written(spark.createDataFrame(rows, _BLOCKS, verifySchema=False), "blocks", options=BLOCK_FILES).rdd.map(_block)
 
 

@@ -164,3 +164,10 @@ def test_rows_of_a_round_stay_out_of_the_heap(df, monkeypatch):
     monkeypatch.setattr(RDD, "persist", lambda self, level: levels.append(level) or persist(self, level))
     trees.fit(df, ["a", "b"], F.col("y"), ["all"], F.array(F.lit(0)), settings=Settings(rounds=2, depth=1))
     assert len(levels) == 4 and all(x.useDisk and not x.useMemory for x in levels)
+
+
+def test_blocks_of_stopped_models_are_left_out_when_written_again(spark):
+    """A block whose models have all stopped has no rows left."""
+    block = lambda n: {"codes": np.ones((n, 2), np.uint8)} | {c: np.ones(n, k) for c, k in trees._KINDS.items()}
+    got = trees._rescored(spark, spark.sparkContext.parallelize([block(0), block(3)], 1)).collect()
+    assert [b["codes"].tolist() for b in got] == [[[1, 1]] * 3] and got[0]["score"].tolist() == [1.0] * 3
